@@ -94,7 +94,7 @@ def _ml_kmeans(df, features, k, max_iter, init, epsilon, seed) -> KMeansResult:
     model = KMeans(k=k, maxIter=max_iter, tol=epsilon, seed=seed,
                    initMode="k-means||" if init == "k-means||" else "random",
                    featuresCol="_v").fit(vec)
-    centers = np.array([c.toArray() for c in model.clusterCenters()])
+    centers = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     summary = model.summary
     return KMeansResult(centers, [summary.trainingCost], summary.numIter, True)
 

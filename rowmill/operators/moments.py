@@ -43,7 +43,8 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
         parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(F.size(x)).alias("d_min"),
+            F.max(F.size(x)).alias("d_max")]
     for i in range(d):
         for j in range(i, d):
             aggs.append(F.sum(x[i] * x[j]).alias(f"xx_{i}_{j}"))
@@ -57,6 +58,9 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
             for i in range(d):
                 aggs.append(F.sum(x[i] * yc).alias(f"xy_{i}_{c}"))
     row = df.agg(*aggs).first()
+    if row["n"] and (row["d_min"] != d or row["d_max"] != d):
+        raise ValueError(f"{features}: rows of unequal length, expected {d}, "
+                         f"found {row['d_min']}..{row['d_max']}")
     if label is not None and label_kind == "class" and row["bad"]:
         raise ValueError(f"class id out of range [0,{k}) in {row['bad']} rows")
     xx = np.zeros((d, d))
