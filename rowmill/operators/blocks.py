@@ -99,6 +99,33 @@ def list_array(mat: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), type=pa.float64()))
 
 
+# Output blocks built inside a task are cut into pieces of about this size.
+CHUNK_BYTES = 32 << 20
+
+
+def row_chunks(rows: int, width: int):
+    """Row slices whose (rows x width) float64 block stays near CHUNK_BYTES."""
+    step = max(1, CHUNK_BYTES // max(1, 8 * width))
+    for start in range(0, rows, step):
+        yield start, min(rows, start + step)
+
+
+def combine_tasks(df: DataFrame, partial_rows: int) -> DataFrame:
+    """Fewer, larger map tasks before a per-partition partial aggregate.
+
+    Every map task emits ``partial_rows`` model-sized rows, so the shuffle
+    carries partitions x partial_rows rows. When the input has many more
+    partitions than 4x the cluster's cores, it is coalesced (narrow, no
+    shuffle) to that many tasks: every core stays busy, the partial
+    shuffle shrinks by the coalescing factor."""
+    target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
+    if partial_rows >= 64:
+        parts = df.rdd.getNumPartitions()
+        if parts > target:
+            return df.coalesce(target)
+    return df
+
+
 def _long_rows(keys: dict[str, np.ndarray], v: np.ndarray) -> pa.RecordBatch:
     cols = {k: pa.array(a.astype(np.int32), type=pa.int32()) for k, a in keys.items()}
     cols["v"] = pa.array(v.astype(np.float64), type=pa.float64())
@@ -106,7 +133,7 @@ def _long_rows(keys: dict[str, np.ndarray], v: np.ndarray) -> pa.RecordBatch:
 
 
 def partial_sums(df: DataFrame, columns: list, update: Callable,
-                 emit: Callable, key_names: list[str]) -> DataFrame:
+                 emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
     """Generic per-partition accumulate + shuffle-sum.
 
     ``update(state, batch) -> state`` folds one non-empty record batch;
@@ -125,7 +152,7 @@ def partial_sums(df: DataFrame, columns: list, update: Callable,
             keys, vals = emit(state)
             yield _long_rows(keys, vals)
 
-    part = df.select(*columns).mapInArrow(run, schema)
+    part = combine_tasks(df.select(*columns), partial_rows).mapInArrow(run, schema)
     return part.groupBy(*key_names).agg(F.sum("v").alias("v"))
 
 
@@ -189,7 +216,8 @@ def normal_equation_partials(df: DataFrame, features: str, d: int,
         return ({"kind": np.concatenate(kinds), "i": np.concatenate(ii),
                  "j": np.concatenate(jj)}, np.concatenate(vv))
 
-    return partial_sums(df, cols, update, emit, ["kind", "i", "j"])
+    return partial_sums(df, cols, update, emit, ["kind", "i", "j"],
+                        partial_rows=d * (d + 1) // 2 + d * k + k + 1)
 
 
 def collect_moments(partials: DataFrame, d: int, k: int = 1,
@@ -230,7 +258,7 @@ def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray) ->
         gi, gc = np.meshgrid(np.arange(d), np.arange(k), indexing="ij")
         return {"i": gi.ravel(), "c": gc.ravel()}, state.ravel()
 
-    return partial_sums(df, [features], update, emit, ["i", "c"])
+    return partial_sums(df, [features], update, emit, ["i", "c"], partial_rows=d * k)
 
 
 def gram_times(df: DataFrame, features: str, d: int, p: np.ndarray) -> np.ndarray:
@@ -285,4 +313,5 @@ def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray)
         vals = np.concatenate([sums.ravel(), counts, [cost]])
         return {"cluster": clusters, "j": js}, vals
 
-    return partial_sums(df, [features], update, emit, ["cluster", "j"])
+    return partial_sums(df, [features], update, emit, ["cluster", "j"],
+                        partial_rows=k * d + k + 1)

@@ -68,10 +68,11 @@ def apply_rff(df: DataFrame, features: str, z: np.ndarray, v: np.ndarray,
                 continue
             x = blocks.to_matrix(b.column(features), d, features)
             zt_v = handle.value
-            phi = np.cos(x @ zt_v[:d] + zt_v[d]) * scale
-            cols = {name: b.column(name) for name in keep}
-            cols[out] = blocks.list_array(phi)
-            yield pa.RecordBatch.from_pydict(cols)
+            for lo, hi in blocks.row_chunks(x.shape[0], max(s, d)):
+                phi = np.cos(x[lo:hi] @ zt_v[:d] + zt_v[d]) * scale
+                cols = {name: b.column(name).slice(lo, hi - lo) for name in keep}
+                cols[out] = blocks.list_array(phi)
+                yield pa.RecordBatch.from_pydict(cols)
 
     return src.mapInArrow(run, schema)
 
@@ -85,11 +86,18 @@ def sketch_params(d: int, s: int, seed: int = SKETCH_SEED) -> tuple[np.ndarray,
     return h, sign
 
 
+# Up to this input dimension the bucket/sign tables are inlined in the plan
+# as array literals; above it they are shipped to the tasks.
+SKETCH_LITERAL_D = 4096
+
+
 def count_sketch(df: DataFrame, sparse: str, d: int, s: int, keep: list[str] | None = None,
                  out: str = "features", seed: int = SKETCH_SEED) -> DataFrame:
     """``sparse`` is a map<int,double> row (index in [0, d)); output is the
     dense s-vector. Indices outside [0, d) fail the query."""
     h, sign = sketch_params(d, s, seed)
+    if d > SKETCH_LITERAL_D:
+        return _count_sketch_arrow(df, sparse, d, s, h, sign, keep or [], out)
     h_arr = F.array(*[F.lit(int(v)) for v in h])
     s_arr = F.array(*[F.lit(float(v)) for v in sign])
     entries = F.map_entries(F.col(sparse))
@@ -101,3 +109,36 @@ def count_sketch(df: DataFrame, sparse: str, d: int, s: int, keep: list[str] | N
 
     dense = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), bucket_sum)
     return df.select(*(keep or []), dense.alias(out))
+
+
+def _count_sketch_arrow(df, sparse, d, s, h, sign, keep, out):
+    """Row-local scatter-add per Arrow batch with shipped (bucket, sign)."""
+    handle = blocks.ship(df.sparkSession, np.stack([h.astype(np.float64), sign.astype(np.float64)]))
+    src = df.select(*keep, sparse)
+    kept = [f for f in src.schema.fields if f.name in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] +
+                       [f"`{out}` array<double>"])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            col = b.column(sparse)
+            if isinstance(col, pa.ChunkedArray):
+                col = col.combine_chunks()
+            offsets = col.offsets.to_numpy()
+            keys = col.keys.to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = col.items.to_numpy(zero_copy_only=False).astype(np.float64)
+            lo, hi = offsets[0], offsets[-1]
+            keys, vals = keys[lo:hi], vals[lo:hi]
+            if keys.size and (keys.min() < 0 or keys.max() >= d):
+                raise ValueError(f"{sparse}: index outside [0, {d})")
+            row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            table = handle.value
+            phi = np.zeros((b.num_rows, s))
+            np.add.at(phi, (row, table[0, keys].astype(np.int64)), vals * table[1, keys])
+            cols = {name: b.column(name) for name in keep}
+            cols[out] = blocks.list_array(phi)
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return src.mapInArrow(run, schema)

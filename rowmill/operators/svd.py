@@ -123,9 +123,10 @@ def reconstruct(df: DataFrame, features: str, v: np.ndarray, keep: list[str] | N
                 continue
             x = blocks.to_matrix(b.column(features), d, features)
             vv = handle.value
-            cols = {name: b.column(name) for name in keep}
-            cols["features_hat"] = blocks.list_array((x @ vv) @ vv.T)
-            yield pa.RecordBatch.from_pydict(cols)
+            for lo, hi in blocks.row_chunks(x.shape[0], d):
+                cols = {name: b.column(name).slice(lo, hi - lo) for name in keep}
+                cols["features_hat"] = blocks.list_array((x[lo:hi] @ vv) @ vv.T)
+                yield pa.RecordBatch.from_pydict(cols)
 
     return src.mapInArrow(run, schema)
 
@@ -154,7 +155,7 @@ def approximation_error(df: DataFrame, features: str, v: np.ndarray) -> DataFram
         def emit(state):
             return {"i": np.array([0, 1])}, state
 
-        parts = blocks.partial_sums(df, [features], update, emit, ["i"])
+        parts = blocks.partial_sums(df, [features], update, emit, ["i"], partial_rows=2)
         agg = parts.agg(F.sum(F.when(F.col("i") == 0, F.col("v"))).alias("err"),
                         F.sum(F.when(F.col("i") == 1, F.col("v"))).alias("fro_sq"))
     return agg.select("err", "fro_sq",

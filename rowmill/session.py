@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Bound Arrow batches by bytes as well as rows, so wide feature rows
+    # (d or s in the thousands) never build huge numpy blocks per batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
@@ -56,6 +59,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster; "
+                             "a machine-local temporary folder does not survive executor loss")
         conf_dir = tempfile.mkdtemp(prefix="rowmill-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -1,0 +1,33 @@
+"""Fitted models applied to streaming frames.
+
+The original is batch-only; what carries over to Structured Streaming are
+the row-local operators, which run unchanged on a streaming DataFrame
+(no state, no watermark needed): linear scores, class argmax, nearest
+centre, random Fourier features. Model fitting stays a batch job.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+
+from ..operators import features as feat
+from ..operators import kmeans, ridge
+
+
+def score_linear(stream: DataFrame, features: str, w, keep: list[str] | None = None) -> DataFrame:
+    return ridge.linear_score(stream, features, w, keep)
+
+
+def predict_classes(stream: DataFrame, features: str, W, keep: list[str] | None = None) -> DataFrame:
+    return ridge.predict_class(stream, features, np.asarray(W), keep)
+
+
+def assign_clusters(stream: DataFrame, features: str, centers,
+                    keep: list[str] | None = None) -> DataFrame:
+    return kmeans.assign(stream, features, centers, keep)
+
+
+def random_features(stream: DataFrame, features: str, z: np.ndarray, v: np.ndarray,
+                    keep: list[str] | None = None, out: str = "features") -> DataFrame:
+    return feat.apply_rff(stream, features, z, v, keep, out)
