@@ -24,7 +24,7 @@ def contingency(df: DataFrame, u: str, v: str) -> DataFrame:
 def nmi(df: DataFrame, u: str = "label", v: str = "prediction") -> DataFrame:
     cont = contingency(df, u, v)
     cont = cont.select(
-        "u", "v", "n_uv",
+        "n_uv",
         F.sum("n_uv").over(Window.partitionBy("u")).alias("n_u"),
         F.sum("n_uv").over(Window.partitionBy("v")).alias("n_v"))
     ln = F.log
@@ -33,15 +33,16 @@ def nmi(df: DataFrame, u: str = "label", v: str = "prediction") -> DataFrame:
         F.sum(F.col("n_uv") * ln("n_uv")).alias("S"),
         F.sum(F.col("n_uv") * ln("n_u")).alias("Su"),
         F.sum(F.col("n_uv") * ln("n_v")).alias("Sv"),
-        F.countDistinct("u").alias("k_u"),
-        F.countDistinct("v").alias("k_v"))
+        F.max("n_u").alias("max_u"),
+        F.max("n_v").alias("max_v"))
     mi = (F.col("S") - F.col("Su") - F.col("Sv")) / F.col("N") + ln("N")
     hu = ln("N") - F.col("Su") / F.col("N")
     hv = ln("N") - F.col("Sv") / F.col("N")
-    # a labeling with a single value has exactly zero entropy
+    # a labeling with a single value (its one marginal holds all N rows) has
+    # exactly zero entropy
     base = agg.select(F.greatest(mi, F.lit(0.0)).alias("mi"),
-                      F.when(F.col("k_u") == 1, F.lit(0.0)).otherwise(hu).alias("h_u"),
-                      F.when(F.col("k_v") == 1, F.lit(0.0)).otherwise(hv).alias("h_v"))
+                      F.when(F.col("max_u") == F.col("N"), F.lit(0.0)).otherwise(hu).alias("h_u"),
+                      F.when(F.col("max_v") == F.col("N"), F.lit(0.0)).otherwise(hv).alias("h_v"))
 
     def normalised(denominator):
         return (F.when((F.col("h_u") == 0) & (F.col("h_v") == 0), F.lit(1.0))

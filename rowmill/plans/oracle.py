@@ -125,6 +125,62 @@ SELECT iter, round((greatest(sse, 0) + ng * wn) / (2 * n), {digits}) AS objectiv
        round(greatest(sse, 0) / n, {digits}) AS train_error FROM it"""
 
 
+def multitask_history_sql(src_ctes: str, src: str, ys: dict[str, str], gamma: float,
+                          iters: int = 3, digits: int = 12, tol: float = 1e-8,
+                          rel_tol: float = 1e-10) -> str:
+    """Block CG on 3 features and len(ys) outputs, unrolled ``iters`` times
+    in staged CTEs; rows (iter, residual_sq) up to and including the first
+    iteration that meets a stop rule."""
+    names = list(ys)
+    reg = f"n * {lit(gamma)}"
+    first = ["*"]
+    for c in names:
+        first += [f"b_{c}_{i} AS r0_{c}_{i}" for i in range(3)]
+        first += [f"b_{c}_{i} AS p0_{c}_{i}" for i in range(3)]
+        first.append(f"({' + '.join(f'b_{c}_{i}*b_{c}_{i}' for i in range(3))}) AS rs0_{c}")
+    total0 = " + ".join(f"rs0_{c}" for c in names)
+    stages = [f"st0 AS (SELECT {', '.join(first)}, ({total0}) AS tot0 FROM mom)"]
+    for t in range(iters):
+        a, b = t, t + 1
+        ap = {}
+        cols = ["*"]
+        for c in names:
+            for i in range(3):
+                ap[(c, i)] = (f"({reg} * p{a}_{c}_{i} + "
+                              + " + ".join(f"{_g(i, j)} * p{a}_{c}_{j}" for j in range(3)) + ")")
+            pap = " + ".join(f"p{a}_{c}_{i} * {ap[(c, i)]}" for i in range(3))
+            cols.append(f"CASE WHEN ({pap}) = 0 OR rs{a}_{c} = 0 THEN 0.0 "
+                        f"ELSE rs{a}_{c} / ({pap}) END AS al{a}_{c}")
+        stages.append(f"sa{a} AS (SELECT {', '.join(cols)} FROM st{a})")
+        cols = ["*"]
+        for c in names:
+            for i in range(3):
+                cols.append(f"r{a}_{c}_{i} - al{a}_{c} * {ap[(c, i)]} AS r{b}_{c}_{i}")
+        stages.append(f"sr{a} AS (SELECT {', '.join(cols)} FROM sa{a})")
+        cols = ["*"]
+        for c in names:
+            cols.append(f"({' + '.join(f'r{b}_{c}_{i}*r{b}_{c}_{i}' for i in range(3))}) AS rs{b}_{c}")
+        stages.append(f"ss{a} AS (SELECT {', '.join(cols)} FROM sr{a})")
+        cols = ["*", f"({' + '.join(f'rs{b}_{c}' for c in names)}) AS tot{b}"]
+        for c in names:
+            for i in range(3):
+                cols.append(f"r{b}_{c}_{i} + (CASE WHEN rs{a}_{c} = 0 THEN 0.0 ELSE rs{b}_{c} / rs{a}_{c} END)"
+                            f" * p{a}_{c}_{i} AS p{b}_{c}_{i}")
+        stages.append(f"st{b} AS (SELECT {', '.join(cols)} FROM ss{a})")
+    rel = lit(rel_tol * rel_tol)
+
+    def stopped(b):
+        return f"(tot{b} < {lit(tol)} OR tot{b} <= {rel} * tot0)"
+
+    rows = []
+    for t in range(iters):
+        earlier = " AND ".join(f"NOT {stopped(b)}" for b in range(1, t + 1)) or "TRUE"
+        rows.append(f"SELECT CAST({t} AS BIGINT) AS iter, round(tot{t + 1}, {digits}) AS residual_sq "
+                    f"FROM st{iters} WHERE {earlier}")
+    return (f"WITH {src_ctes}, {moment_cols(src, ['x0', 'x1', 'x2'], ys)}, "
+            + ",\n".join(stages) + "\n" + " UNION ALL ".join(rows))
+
+
 # ---------------------------------------------------------------------------
 # Lloyd's iterations, unrolled
 # ---------------------------------------------------------------------------
@@ -209,5 +265,5 @@ v AS (SELECT sqrt(l1) AS s1, sqrt(greatest(l2, 0)) AS s2,
 
 
 __all__ = ["lit", "dlist", "LI", "li_scaled", "sparse", "EMB", "emb_long", "moment_cols",
-           "solve3_exprs", "sse_expr", "cg_history_sql", "kmeans_ctes", "nmi_sql",
+           "solve3_exprs", "sse_expr", "cg_history_sql", "multitask_history_sql", "kmeans_ctes", "nmi_sql",
            "PART2", "SVD2", "np"]

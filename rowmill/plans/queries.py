@@ -83,15 +83,17 @@ def part2(spark, sf) -> DataFrame:
 
 def sparse_rows(spark, sf, d: int = SPARSE_D) -> DataFrame:
     """Per order a sparse row: index l_suppkey % d, value sum(l_quantity).
-    Entries are pre-aggregated per (order, index) before rows are built, so
-    an order holding a huge share of lineitem still yields at most d
-    entries per group."""
-    entries = (spark.read.parquet(f"{sf}/lineitem.parquet")
-               .groupBy(F.col("l_orderkey").alias("id"),
-                        (F.col("l_suppkey") % d).cast("int").alias("j"))
-               .agg(F.sum("l_quantity").alias("x")))
-    return entries.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("features"))
+
+    One shuffle by order key: d conditional sums are pre-aggregated map-side
+    (an order holding a huge share of lineitem costs one partial row per
+    task), then the row keeps the indices that occurred."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    j = (F.col("l_suppkey") % d).cast("int")
+    sums = li.groupBy(F.col("l_orderkey").alias("id")).agg(
+        *[F.sum(F.when(j == c, F.col("l_quantity"))).alias(f"s{c}") for c in range(d)])
+    entries = F.array(*[F.struct(F.lit(c).alias("j"), F.col(f"s{c}").alias("x")) for c in range(d)])
+    present = F.filter(entries, lambda e: e["x"].isNotNull())
+    return sums.select("id", F.map_from_entries(present).alias("features"))
 
 
 def _long(df: DataFrame, id_col: str, arr: str, j: str = "j", v: str = "x",
@@ -407,10 +409,13 @@ def q_mt_fit(spark, sf):
     return ridge.weights_frame(spark, res.weights).select("j", "c", R("weight", 8).alias("weight"))
 
 
-@register("ridge_multitask_history")
+@register("ridge_multitask_history", O.multitask_history_sql(
+    _EMB3, "e3", {f"c{c}": f"CASE WHEN label = {c} THEN 1.0 ELSE 0.0 END" for c in range(K)},
+    MT_GAMMA, iters=3, digits=12))
 def q_mt_history(spark, sf):
     res = ridge.ridge_multitask_cg(emb3(spark, sf), "features", "label", MT_GAMMA, 3, K)
-    return ridge.history_frame(spark, res.history, multi=True)
+    h = ridge.history_frame(spark, res.history, multi=True)
+    return h.select("iter", R("residual_sq", 12).alias("residual_sq"))
 
 
 @register("argmax_class", f"""
