@@ -132,13 +132,18 @@ def _long_rows(keys: dict[str, np.ndarray], v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(cols)
 
 
-def partial_sums(df: DataFrame, columns: list, update: Callable,
-                 emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
-    """Generic per-partition accumulate + shuffle-sum.
+# Partial results (partitions x partial rows) up to this many rows are
+# summed on the driver straight from the map stage (as treeAggregate would);
+# above it they are combined by a shuffle first.
+DIRECT_COMBINE_ROWS = 1_000_000
+
+
+def partial_frame(df: DataFrame, columns: list, update: Callable,
+                  emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
+    """Uncombined per-partition partials ``(key_names..., v)``.
 
     ``update(state, batch) -> state`` folds one non-empty record batch;
     ``emit(state) -> (keys dict, values)`` produces the partial rows.
-    Returns the combined DataFrame ``(key_names..., v)``.
     """
     schema = ", ".join(f"{k} int" for k in key_names) + ", v double"
 
@@ -152,10 +157,36 @@ def partial_sums(df: DataFrame, columns: list, update: Callable,
             keys, vals = emit(state)
             yield _long_rows(keys, vals)
 
-    part = combine_tasks(df.select(*columns), partial_rows).mapInArrow(run, schema)
+    return combine_tasks(df.select(*columns), partial_rows).mapInArrow(run, schema)
+
+
+def partial_sums(df: DataFrame, columns: list, update: Callable,
+                 emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
+    """Per-partition partials combined by ``groupBy(keys).sum`` (lazy)."""
+    part = partial_frame(df, columns, update, emit, key_names, partial_rows)
     return part.groupBy(*key_names).agg(F.sum("v").alias("v"))
 
 
+def reduce_partials(part: DataFrame, key_names: list[str], partial_rows: int) -> list[tuple]:
+    """Driver-side combined rows ``(keys..., v)`` of a ``partial_frame``.
+
+    The row count reaching the driver is bounded: uncombined partials only
+    when partitions x partial_rows <= DIRECT_COMBINE_ROWS, otherwise the
+    shuffle-combined result (one row per key, model-sized)."""
+    if part.rdd.getNumPartitions() * max(1, partial_rows) <= DIRECT_COMBINE_ROWS:
+        table = part.toArrow()
+        if table.num_rows == 0:
+            return []
+        keys = np.stack([table.column(k).to_numpy() for k in key_names], axis=1)
+        vals = table.column("v").to_numpy()
+        uniq, inv = np.unique(keys, axis=0, return_inverse=True)
+        sums = np.zeros(len(uniq))
+        np.add.at(sums, inv.reshape(-1), vals)
+        return [tuple(int(x) for x in u) + (float(v),) for u, v in zip(uniq, sums)]
+    combined = part.groupBy(*key_names).agg(F.sum("v").alias("v"))
+    return [tuple(r) for r in combined.collect()]
+
+
 # ---------------------------------------------------------------------------
 # Normal equations: X'X, X'Y, Y'Y, n in one pass
 # ---------------------------------------------------------------------------
@@ -174,7 +205,8 @@ class Moments:
 
 def normal_equation_partials(df: DataFrame, features: str, d: int,
                              label: str | None = None, k: int = 1,
-                             label_kind: str = "scalar") -> DataFrame:
+                             label_kind: str = "scalar", frame_only: bool = False,
+                             with_xx: bool = True) -> DataFrame:
     """One pass: upper triangle of X'X, X'Y, diag(Y'Y) and n as long rows
     ``(kind, i, j, v)``. ``label_kind``: 'scalar' (k=1), 'vector'
     (array<double> of length k) or 'class' (int id one-hot encoded in the
@@ -185,8 +217,9 @@ def normal_equation_partials(df: DataFrame, features: str, d: int,
     def update(state, b):
         x = to_matrix(b.column(0), d, features)
         if state is None:
-            state = [np.zeros((d, d)), np.zeros((d, k)), np.zeros(k), 0.0]
-        state[0] += x.T @ x
+            state = [np.zeros((d, d)) if with_xx else None, np.zeros((d, k)), np.zeros(k), 0.0]
+        if with_xx:
+            state[0] += x.T @ x
         if label:
             if label_kind == "scalar":
                 y = to_vector(b.column(1), label)[:, None]
@@ -201,8 +234,10 @@ def normal_equation_partials(df: DataFrame, features: str, d: int,
 
     def emit(state):
         xx, xy, yy, n = state
-        kinds = [np.full(iu[0].size, KIND_XX)]
-        ii, jj, vv = [iu[0]], [iu[1]], [xx[iu]]
+        if with_xx:
+            kinds, ii, jj, vv = [np.full(iu[0].size, KIND_XX)], [iu[0]], [iu[1]], [xx[iu]]
+        else:
+            kinds, ii, jj, vv = [], [], [], []
         if label:
             gi, gc = np.meshgrid(np.arange(d), np.arange(k), indexing="ij")
             kinds += [np.full(d * k, KIND_XY), np.full(k, KIND_YY)]
@@ -216,18 +251,25 @@ def normal_equation_partials(df: DataFrame, features: str, d: int,
         return ({"kind": np.concatenate(kinds), "i": np.concatenate(ii),
                  "j": np.concatenate(jj)}, np.concatenate(vv))
 
-    return partial_sums(df, cols, update, emit, ["kind", "i", "j"],
-                        partial_rows=d * (d + 1) // 2 + d * k + k + 1)
+    fn = partial_frame if frame_only else partial_sums
+    return fn(df, cols, update, emit, ["kind", "i", "j"],
+              partial_rows=normal_equation_rows(d if with_xx else 0, k) + (0 if with_xx else d * k))
+
+
+def normal_equation_rows(d: int, k: int = 1) -> int:
+    return d * (d + 1) // 2 + d * k + k + 1
 
 
 def collect_moments(partials: DataFrame, d: int, k: int = 1,
                     with_label: bool = True) -> Moments:
-    """Driver side: the collected rows are model-sized (d^2/2 + dk + k + 1)."""
+    """Driver side, from an uncombined ``normal_equation_partials(...,
+    frame_only=True)``: combined rows are model-sized (d^2/2 + dk + k + 1)."""
     xx = np.zeros((d, d))
     xy = np.zeros((d, k)) if with_label else None
     yy = np.zeros(k) if with_label else None
     n = 0.0
-    for kind, i, j, v in partials.collect():
+    rows = reduce_partials(partials, ["kind", "i", "j"], normal_equation_rows(d, k))
+    for kind, i, j, v in rows:
         if kind == KIND_XX:
             xx[i, j] = v
             xx[j, i] = v
@@ -244,7 +286,8 @@ def collect_moments(partials: DataFrame, d: int, k: int = 1,
 # Matrix-free Gram products  X'X P  (P: d x k)
 # ---------------------------------------------------------------------------
 
-def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray) -> DataFrame:
+def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray,
+                        frame_only: bool = False) -> DataFrame:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     k = p.shape[1]
     handle = ship(df.sparkSession, p)
@@ -258,13 +301,15 @@ def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray) ->
         gi, gc = np.meshgrid(np.arange(d), np.arange(k), indexing="ij")
         return {"i": gi.ravel(), "c": gc.ravel()}, state.ravel()
 
-    return partial_sums(df, [features], update, emit, ["i", "c"], partial_rows=d * k)
+    fn = partial_frame if frame_only else partial_sums
+    return fn(df, [features], update, emit, ["i", "c"], partial_rows=d * k)
 
 
 def gram_times(df: DataFrame, features: str, d: int, p: np.ndarray) -> np.ndarray:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     out = np.zeros_like(p)
-    for i, c, v in gram_times_partials(df, features, d, p).collect():
+    part = gram_times_partials(df, features, d, p, frame_only=True)
+    for i, c, v in reduce_partials(part, ["i", "c"], p.size):
         out[i, c] = v
     return out
 
@@ -291,7 +336,8 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     return arg, best
 
 
-def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray) -> DataFrame:
+def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray,
+                      frame_only: bool = False) -> DataFrame:
     k = centers.shape[0]
     handle = ship(df.sparkSession, np.asarray(centers, dtype=np.float64))
 
@@ -313,5 +359,11 @@ def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray)
         vals = np.concatenate([sums.ravel(), counts, [cost]])
         return {"cluster": clusters, "j": js}, vals
 
-    return partial_sums(df, [features], update, emit, ["cluster", "j"],
-                        partial_rows=k * d + k + 1)
+    fn = partial_frame if frame_only else partial_sums
+    return fn(df, [features], update, emit, ["cluster", "j"], partial_rows=k * d + k + 1)
+
+
+def centroid_sums(df: DataFrame, features: str, d: int, centers: np.ndarray) -> list[tuple]:
+    k = centers.shape[0]
+    part = centroid_partials(df, features, d, centers, frame_only=True)
+    return reduce_partials(part, ["cluster", "j"], k * d + k + 1)

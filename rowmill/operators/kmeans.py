@@ -65,7 +65,7 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
             sums = np.zeros((k, d))
             counts = np.zeros(k)
             cost = 0.0
-            for cl, j, v in blocks.centroid_partials(frame, features, d, centers).collect():
+            for cl, j, v in blocks.centroid_sums(frame, features, d, centers):
                 if j == blocks.COUNT_J:
                     counts[cl] = v
                 elif j == blocks.COST_J:

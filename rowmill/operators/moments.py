@@ -40,7 +40,8 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
             k: int = 1, label_kind: str = "scalar", method: str = "auto") -> Moments:
     """X'X, X'Y, diag(Y'Y) and n, collected to the driver (model-sized)."""
     if _pick(method, d) == "arrow":
-        parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind)
+        parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind,
+                                                frame_only=True)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)
     aggs = [F.count(F.lit(1)).alias("n"), F.min(F.size(x)).alias("d_min"),

@@ -84,16 +84,17 @@ def part2(spark, sf) -> DataFrame:
 def sparse_rows(spark, sf, d: int = SPARSE_D) -> DataFrame:
     """Per order a sparse row: index l_suppkey % d, value sum(l_quantity).
 
-    One shuffle by order key: d conditional sums are pre-aggregated map-side
-    (an order holding a huge share of lineitem costs one partial row per
-    task), then the row keeps the indices that occurred."""
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    j = (F.col("l_suppkey") % d).cast("int")
-    sums = li.groupBy(F.col("l_orderkey").alias("id")).agg(
-        *[F.sum(F.when(j == c, F.col("l_quantity"))).alias(f"s{c}") for c in range(d)])
-    entries = F.array(*[F.struct(F.lit(c).alias("j"), F.col(f"s{c}").alias("x")) for c in range(d)])
-    present = F.filter(entries, lambda e: e["x"].isNotNull())
-    return sums.select("id", F.map_from_entries(present).alias("features"))
+    Two-level aggregation: entries are first summed per (order, index)
+    (partial aggregation map-side), then gathered per order. A group holds
+    at most d entries however many lineitem rows an order has. (One
+    groupBy(order) with d conditional sums saves the second shuffle but
+    evaluates d conditions per input row; measured slower already at d=16.)"""
+    entries = (spark.read.parquet(f"{sf}/lineitem.parquet")
+               .groupBy(F.col("l_orderkey").alias("id"),
+                        (F.col("l_suppkey") % d).cast("int").alias("j"))
+               .agg(F.sum("l_quantity").alias("x")))
+    return entries.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("features"))
 
 
 def _long(df: DataFrame, id_col: str, arr: str, j: str = "j", v: str = "x",
