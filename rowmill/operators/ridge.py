@@ -21,6 +21,7 @@ relative test (r·r <= rel_tol²·r0·r0) that also stops unscaled problems.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,6 +111,7 @@ class RidgeResult:
     iterations: int = 0
     converged: bool = False
     method: str = "gram"
+    elapsed: list = field(default_factory=list)   # seconds since training start, per history row
 
 
 class _GramOperator:
@@ -160,9 +162,11 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
     ``record_every``-th iteration t (t = 0, 2, 4, ...) after that step's
     update and before the stop test.
     """
+    t0 = time.perf_counter()
     method, m, apply_xx, frame = _prepare(df, features, label, d, 1, "scalar", method)
     try:
         n = m.n
+        elapsed = []
         b = m.xy[:, 0]
         yy = float(m.yy[0])
         ng = n * gamma
@@ -188,13 +192,14 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
             if t % record_every == 0:
                 sse = max(float(w @ xxw) - 2.0 * float(w @ b) + yy, 0.0)
                 hist.append((t, (sse + ng * float(w @ w)) / (2.0 * n), sse / n))
+                elapsed.append(time.perf_counter() - t0)
             if rs_new < tol_abs or (rel_tol is not None and rs_new <= rel_tol * rel_tol * rs0):
                 converged = True
                 break
             beta = rs_new / rs if rs != 0.0 else 0.0
             p = r + beta * p
             rs = rs_new
-        return RidgeResult(w, hist, int(n), it, converged, method)
+        return RidgeResult(w, hist, int(n), it, converged, method, elapsed)
     finally:
         if frame is not None:
             frame.unpersist()
@@ -211,9 +216,11 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
     without rows, or an output already solved) keeps α = β = 0 instead of
     turning NaN. History rows: ``(iter, residual_sq)`` with Σ_c r_c·r_c.
     """
+    t0 = time.perf_counter()
     method, m, apply_xx, frame = _prepare(df, features, label, d, k, label_kind, method)
     try:
         n = m.n
+        elapsed = []
         ng = n * gamma
         W = np.zeros((d, k))
         R = m.xy.copy()
@@ -232,13 +239,14 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
             rs_new = (R * R).sum(axis=0)
             total = float(rs_new.sum())
             hist.append((t, total))
+            elapsed.append(time.perf_counter() - t0)
             if total < tol or (rel_tol is not None and total <= rel_tol * rel_tol * rs0):
                 converged = True
                 break
             beta = np.divide(rs_new, rs, out=np.zeros(k), where=rs != 0.0)
             P = R + beta * P
             rs = rs_new
-        return RidgeResult(W, hist, int(n), it, converged, method)
+        return RidgeResult(W, hist, int(n), it, converged, method, elapsed)
     finally:
         if frame is not None:
             frame.unpersist()
@@ -258,6 +266,16 @@ def weights_frame(spark: SparkSession, w: np.ndarray) -> DataFrame:
         "j long, c long, weight double")
 
 
+def history_report(spark: SparkSession, res: RidgeResult) -> DataFrame:
+    """Training history with elapsed seconds, for display (``.show()``):
+    ``(iter, objective, train_error, elapsed_sec)``; timings are not part of
+    any value-checked output."""
+    rows = [(int(t), float(o), float(e), float(s))
+            for (t, o, e), s in zip(res.history, res.elapsed)]
+    return spark.createDataFrame(rows, "iter long, objective double, train_error double, "
+                                       "elapsed_sec double")
+
+
 def history_frame(spark: SparkSession, hist: list, multi: bool = False) -> DataFrame:
     if multi:
         return spark.createDataFrame([(int(t), float(v)) for t, v in hist],

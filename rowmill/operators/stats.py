@@ -100,21 +100,31 @@ def frobenius_norm_sq(df: DataFrame, features: str = "features", d: int | None =
     return df.agg(F.sum(V.norm_sq(features, d)).alias("fro_sq"))
 
 
-def rbf_bandwidth(df: DataFrame, features: str = "features", d: int | None = None) -> DataFrame:
+def rbf_bandwidth(df: DataFrame, features: str = "features", d: int | None = None,
+                  by: str | None = None) -> DataFrame:
     """Mean squared pairwise distance over all ordered pairs (self-pairs
     included) and its square root, without forming pairs:
-    mean_{i,j} ||x_i - x_j||^2 = 2 * sum_j var_pop(x_.j)."""
+    mean_{i,j} ||x_i - x_j||^2 = 2 * sum_j var_pop(x_.j).
+
+    With ``by`` (a block column) the mean is taken within each block and
+    the block means are averaged unweighted, the way the original averaged
+    its per-partition estimates; blocks never form pairs either."""
+    keys = [by] if by else []
     if d is not None and d <= WIDE_D:
         total = V._sum([F.var_pop(F.col(features)[j]) for j in range(d)])
-        agg = df.agg((F.lit(2.0) * total).alias("sigma_sq"))
+        agg = df.groupBy(*keys).agg((F.lit(2.0) * total).alias("sigma_sq"))
     else:
-        agg = (_long_features(df, features).groupBy("j").agg(F.var_pop("x").alias("v"))
-               .agg((F.lit(2.0) * F.sum("v")).alias("sigma_sq")))
+        agg = (df.select(*keys, F.posexplode(features).alias("j", "x"))
+               .groupBy(*keys, "j").agg(F.var_pop("x").alias("v"))
+               .groupBy(*keys).agg((F.lit(2.0) * F.sum("v")).alias("sigma_sq")))
+    if by:
+        agg = agg.agg(F.avg("sigma_sq").alias("sigma_sq"))
     return agg.select("sigma_sq", F.sqrt("sigma_sq").alias("sigma"))
 
 
-def bandwidth_value(df: DataFrame, features: str = "features", d: int | None = None) -> float:
-    return float(rbf_bandwidth(df, features, d).first()["sigma"])
+def bandwidth_value(df: DataFrame, features: str = "features", d: int | None = None,
+                    by: str | None = None) -> float:
+    return float(rbf_bandwidth(df, features, d, by).first()["sigma"])
 
 
 __all__ = ["dims", "require_dims", "label_mean", "feature_max_abs", "scale_stats",

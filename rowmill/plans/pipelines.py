@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators import kmeans, nmi, ridge, stats, svd
-from ..session import cached
+from ..session import cached, durable
 from ..sources.matrix import partition_control
 
 
@@ -73,10 +73,18 @@ def ridge_regression(df: DataFrame, gamma: float, features: str = "features",
                     ridge.weights_frame(spark, res.weights))
 
 
+def _hold(df: DataFrame, durable_features: bool) -> DataFrame:
+    """Keep a derived feature frame for an iterative loop: persisted by
+    default (recomputed from lineage on executor loss), or written as a
+    reliable checkpoint in the shared checkpoint folder when the map is
+    expensive enough that recomputation should be avoided."""
+    return durable(df) if durable_features else cached(df)
+
+
 def rfm_regression(df: DataFrame, gamma: float, num_random: int,
                    features: str = "features", label: str = "label", sigma: float | None = None,
                    max_iter: int = 500, rng: str = "java48",
-                   rel_tol: float | None = 1e-10) -> RidgeRun:
+                   rel_tol: float | None = 1e-10, durable_features: bool = False) -> RidgeRun:
     """E2 with the random-feature step enabled; sigma defaults to the
     bandwidth estimate of the scaled features."""
     spark = df.sparkSession
@@ -86,10 +94,11 @@ def rfm_regression(df: DataFrame, gamma: float, num_random: int,
     try:
         if sigma is None:
             sigma = stats.bandwidth_value(data, features, d)
-        mapped = feat.rbf_random_features(data, features, d, num_random, sigma,
-                                          keep=[label], rng=rng)
+        mapped = _hold(feat.rbf_random_features(data, features, d, num_random, sigma,
+                                                keep=[label], rng=rng), durable_features)
         res = ridge.ridge_cg(mapped, features, label, gamma, num_random,
                              max_iter=max_iter, rel_tol=rel_tol)
+        mapped.unpersist()
     finally:
         data.unpersist()
     return RidgeRun(res, sc, ridge.history_frame(spark, res.history),
@@ -106,12 +115,13 @@ class RfmClassification:
 def rfm_classification(df: DataFrame, num_classes: int, num_random: int, gamma: float,
                        sigma: float, features: str = "features", label: str = "label",
                        max_iter: int = 500, rng: str = "java48",
-                       rel_tol: float | None = 1e-10) -> RfmClassification:
+                       rel_tol: float | None = 1e-10,
+                       durable_features: bool = False) -> RfmClassification:
     """Kernel ridge classification: RFF map, one-hot targets (encoded inside
     the data pass), block CG, training misclassification."""
     d = infer_dim(df, features)
-    mapped = cached(feat.rbf_random_features(df, features, d, num_random, sigma,
-                                             keep=[label], rng=rng))
+    mapped = _hold(feat.rbf_random_features(df, features, d, num_random, sigma,
+                                            keep=[label], rng=rng), durable_features)
     try:
         res = ridge.ridge_multitask_cg(mapped, features, label, gamma, num_random, num_classes,
                                        label_kind="class", max_iter=max_iter, rel_tol=rel_tol)

@@ -123,3 +123,33 @@ def test_count_sketch_arrow_path_equals_literal_path(spark, monkeypatch):
     for i in a:
         assert np.allclose(a[i], b[i])
     assert b[99] == [0.0] * 6
+
+
+def test_count_sketch_preserves_dot_products_in_expectation():
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal(50), rng.standard_normal(50)
+    est = []
+    for seed in range(400):
+        h, sg = features.sketch_params(50, 8, seed=seed)
+        px, py = np.zeros(8), np.zeros(8)
+        np.add.at(px, h, sg * x)
+        np.add.at(py, h, sg * y)
+        est.append(px @ py)
+    assert abs(np.mean(est) - x @ y) < 4 * np.std(est) / np.sqrt(len(est))
+
+
+def test_bandwidth_by_block_averages_block_estimates(spark, emb, emb_np):
+    _, _, x = emb_np
+    blocks_ = emb.withColumn("blk", (F.col("id") % 3).cast("int"))
+    got = stats.rbf_bandwidth(blocks_, d=64, by="blk").first()["sigma_sq"]
+    ids = np.arange(len(x))
+    want = np.mean([((x[ids % 3 == b][:, None] - x[ids % 3 == b][None]) ** 2).sum(-1).mean()
+                    for b in range(3)])
+    assert got == pytest.approx(want, rel=1e-10)
+
+
+def test_null_feature_row_fails_clearly(spark):
+    from rowmill.operators import blocks
+    df = spark.createDataFrame([([1.0, 2.0],), (None,)], "features array<double>")
+    with pytest.raises(Exception, match="null rows"):
+        blocks.gram_times(df, "features", 2, np.ones(2))

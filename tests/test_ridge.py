@@ -113,3 +113,21 @@ def test_direct_and_shuffle_combine_agree(emb, monkeypatch):
     kb = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=3, order_by="id")
     assert np.allclose(a.xx, b.xx, atol=1e-12) and np.allclose(a.xy, b.xy) and a.n == b.n
     assert np.allclose(ka.centers, kb.centers, atol=1e-13)
+
+
+def test_single_row_and_history_report(spark):
+    df = spark.createDataFrame([(2.0, [1.0, 0.5])], "label double, features array<double>")
+    res = ridge.ridge_cg(df, "features", "label", 0.1, 2)
+    x, y = np.array([[1.0, 0.5]]), np.array([2.0])
+    assert np.allclose(res.weights, closed_form(x, y, 0.1), rtol=1e-10)
+    rep = ridge.history_report(spark, res)
+    assert rep.columns == ["iter", "objective", "train_error", "elapsed_sec"]
+    assert rep.count() == len(res.history)
+
+
+def test_rfm_pipeline_with_durable_features(emb):
+    from rowmill.plans import pipelines
+    a = pipelines.rfm_classification(emb, 10, 6, 1e-3, 1.0)
+    b = pipelines.rfm_classification(emb, 10, 6, 1e-3, 1.0, durable_features=True)
+    assert np.allclose(a.result.weights, b.result.weights, atol=1e-12)
+    assert a.errors.first()["errors"] == b.errors.first()["errors"]
