@@ -80,11 +80,12 @@ def gram_matrix(df: DataFrame, features: str, d: int, method: str = "auto") -> D
     if _pick(method, d) == "arrow":
         parts = blocks.normal_equation_partials(df, features, d).filter(
             F.col("kind") == blocks.KIND_XX)
-        upper = parts.select(F.col("i").cast("long").alias("i"),
-                             F.col("j").cast("long").alias("j"), F.col("v").alias("g"))
-        lower = upper.filter(F.col("i") != F.col("j")).select(
-            F.col("j").alias("i"), F.col("i").alias("j"), "g")
-        return upper.unionByName(lower)
+        i, j = F.col("i").cast("long"), F.col("j").cast("long")
+        cell = F.struct(i.alias("i"), j.alias("j"), F.col("v").alias("g"))
+        mirror = F.struct(j.alias("i"), i.alias("j"), F.col("v").alias("g"))
+        # the lower triangle is mirrored from the same combined rows (one pass)
+        both = F.when(i == j, F.array(cell)).otherwise(F.array(cell, mirror))
+        return parts.select(F.explode(both).alias("c")).select("c.*")
     x = F.col(features)
     row = df.agg(*[F.sum(x[i] * x[j]).alias(f"g_{i}_{j}") for i in range(d) for j in range(i, d)])
     cells = []
