@@ -110,18 +110,31 @@ def row_chunks(rows: int, width: int):
         yield start, min(rows, start + step)
 
 
+def exchange_free_partitions(df: DataFrame) -> int | None:
+    """Partition count of a frame whose plan has no shuffle (scans, cached
+    scans, projections, maps), read without running anything; None when
+    the plan shuffles (under AQE, asking for its RDD would already run the
+    shuffle stages)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return None
+    return df.rdd.getNumPartitions()
+
+
 def combine_tasks(df: DataFrame, partial_rows: int) -> DataFrame:
     """Fewer, larger map tasks before a per-partition partial aggregate.
 
     Every map task emits ``partial_rows`` model-sized rows, so the shuffle
-    carries partitions x partial_rows rows. When the input has many more
-    partitions than 4x the cluster's cores, it is coalesced (narrow, no
-    shuffle) to that many tasks: every core stays busy, the partial
-    shuffle shrinks by the coalescing factor."""
+    carries partitions x partial_rows rows. When a scan-like input has many
+    more partitions than 4x the cluster's cores, it is coalesced (narrow,
+    no shuffle) to that many tasks: every core stays busy, the partial
+    shuffle shrinks by the coalescing factor. Inputs that end in a shuffle
+    already have spark.sql.shuffle.partitions (AQE-coalesced) partitions
+    and are left alone."""
     target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
     if partial_rows >= 64:
-        parts = df.rdd.getNumPartitions()
-        if parts > target:
+        parts = exchange_free_partitions(df)
+        if parts is not None and parts > target:
             return df.coalesce(target)
     return df
 
@@ -171,9 +184,11 @@ def reduce_partials(part: DataFrame, key_names: list[str], partial_rows: int) ->
     """Driver-side combined rows ``(keys..., v)`` of a ``partial_frame``.
 
     The row count reaching the driver is bounded: uncombined partials only
-    when partitions x partial_rows <= DIRECT_COMBINE_ROWS, otherwise the
+    when the partition count is known without running anything and
+    partitions x partial_rows <= DIRECT_COMBINE_ROWS, otherwise the
     shuffle-combined result (one row per key, model-sized)."""
-    if part.rdd.getNumPartitions() * max(1, partial_rows) <= DIRECT_COMBINE_ROWS:
+    parts = exchange_free_partitions(part)
+    if parts is not None and parts * max(1, partial_rows) <= DIRECT_COMBINE_ROWS:
         table = part.toArrow()
         if table.num_rows == 0:
             return []
