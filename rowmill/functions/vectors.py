@@ -38,7 +38,7 @@ def element(col, i: int) -> Column:
     return _c(col).getItem(i)
 
 
-def _sum(terms: list[Column]) -> Column:
+def sum_columns(terms: list[Column]) -> Column:
     if not terms:
         return F.lit(0.0)
     acc = terms[0]
@@ -51,7 +51,7 @@ def dot(a, b, d: int | None = None) -> Column:
     """Inner product of two array<double> columns."""
     a, b = _c(a), _c(b)
     if d is not None and d <= EXPAND_LIMIT:
-        return _sum([a[i] * b[i] for i in range(d)])
+        return sum_columns([a[i] * b[i] for i in range(d)])
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
                        lambda acc, v: acc + v)
 
@@ -61,7 +61,7 @@ def dot_const(a, w: Sequence[float]) -> Column:
     a = _c(a)
     w = [float(v) for v in w]
     if len(w) <= EXPAND_LIMIT:
-        return _sum([a[i] * F.lit(wi) for i, wi in enumerate(w)])
+        return sum_columns([a[i] * F.lit(wi) for i, wi in enumerate(w)])
     return dot(a, F.array(*[F.lit(v) for v in w]))
 
 
@@ -69,7 +69,7 @@ def norm_sq(a, d: int | None = None) -> Column:
     """Squared L2 norm of a row."""
     a = _c(a)
     if d is not None and d <= EXPAND_LIMIT:
-        return _sum([a[i] * a[i] for i in range(d)])
+        return sum_columns([a[i] * a[i] for i in range(d)])
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
@@ -77,7 +77,7 @@ def sqdist(a, b, d: int | None = None) -> Column:
     """Squared Euclidean distance of two array columns."""
     a, b = _c(a), _c(b)
     if d is not None and d <= EXPAND_LIMIT:
-        return _sum([(a[i] - b[i]) * (a[i] - b[i]) for i in range(d)])
+        return sum_columns([(a[i] - b[i]) * (a[i] - b[i]) for i in range(d)])
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
                        F.lit(0.0), lambda acc, v: acc + v)
 
@@ -86,7 +86,7 @@ def sqdist_const(a, c: Sequence[float]) -> Column:
     a = _c(a)
     c = [float(v) for v in c]
     if len(c) <= EXPAND_LIMIT:
-        return _sum([(a[i] - F.lit(ci)) * (a[i] - F.lit(ci)) for i, ci in enumerate(c)])
+        return sum_columns([(a[i] - F.lit(ci)) * (a[i] - F.lit(ci)) for i, ci in enumerate(c)])
     return sqdist(a, F.array(*[F.lit(v) for v in c]))
 
 

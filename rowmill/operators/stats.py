@@ -6,7 +6,6 @@ Canonical frame: ``(id, label, features array<double>)``.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,7 +110,7 @@ def rbf_bandwidth(df: DataFrame, features: str = "features", d: int | None = Non
     its per-partition estimates; blocks never form pairs either."""
     keys = [by] if by else []
     if d is not None and d <= WIDE_D:
-        total = V._sum([F.var_pop(F.col(features)[j]) for j in range(d)])
+        total = V.sum_columns([F.var_pop(F.col(features)[j]) for j in range(d)])
         agg = df.groupBy(*keys).agg((F.lit(2.0) * total).alias("sigma_sq"))
     else:
         agg = (df.select(*keys, F.posexplode(features).alias("j", "x"))
@@ -129,4 +128,4 @@ def bandwidth_value(df: DataFrame, features: str = "features", d: int | None = N
 
 __all__ = ["dims", "require_dims", "label_mean", "feature_max_abs", "scale_stats",
            "center_maxabs_scale", "row_norm_sq", "frobenius_norm_sq", "rbf_bandwidth",
-           "bandwidth_value", "ScaleStats", "math"]
+           "bandwidth_value", "ScaleStats"]

@@ -140,7 +140,7 @@ def approximation_error(df: DataFrame, features: str, v: np.ndarray) -> DataFram
         proj = _projection(v)
         x = F.col(features)
         resid = [x[j] - V.dot_const(features, proj[j]) for j in range(d)]
-        agg = df.agg(F.sum(V._sum([e * e for e in resid])).alias("err"),
+        agg = df.agg(F.sum(V.sum_columns([e * e for e in resid])).alias("err"),
                      F.sum(V.norm_sq(features, d)).alias("fro_sq"))
     else:
         handle = blocks.ship(df.sparkSession, v)

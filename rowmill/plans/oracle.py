@@ -9,8 +9,6 @@ seeded random draws) are inlined as literals.
 
 from __future__ import annotations
 
-import numpy as np
-
 
 def lit(x: float) -> str:
     """Full-precision double literal."""
@@ -185,7 +183,7 @@ def multitask_history_sql(src_ctes: str, src: str, ys: dict[str, str], gamma: fl
 # Lloyd's iterations, unrolled
 # ---------------------------------------------------------------------------
 
-def _sqdist(a: str, b: str) -> str:
+def sqdist_sql(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
 
 
@@ -198,8 +196,8 @@ def kmeans_ctes(k: int, iters: int) -> str:
         prev = f"c{t - 1}"
         parts.append(
             f"a{t} AS (SELECT p.vec_id, p.label, "
-            f"arg_min(c.cluster, [{_sqdist('p.x', 'c.center')}, CAST(c.cluster AS DOUBLE)]) AS prediction, "
-            f"min({_sqdist('p.x', 'c.center')}) AS dist "
+            f"arg_min(c.cluster, [{sqdist_sql('p.x', 'c.center')}, CAST(c.cluster AS DOUBLE)]) AS prediction, "
+            f"min({sqdist_sql('p.x', 'c.center')}) AS dist "
             f"FROM pts p, {prev} c GROUP BY p.vec_id, p.label)")
         if t == iters + 1:
             break
@@ -266,4 +264,4 @@ v AS (SELECT sqrt(l1) AS s1, sqrt(greatest(l2, 0)) AS s2,
 
 __all__ = ["lit", "dlist", "LI", "li_scaled", "sparse", "EMB", "emb_long", "moment_cols",
            "solve3_exprs", "sse_expr", "cg_history_sql", "multitask_history_sql", "kmeans_ctes", "nmi_sql",
-           "PART2", "SVD2", "np"]
+           "sqdist_sql", "PART2", "SVD2"]

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,4 +156,4 @@ def svd_error(df: DataFrame, k: int, features: str = "features", method: str = "
 
 
 __all__ = ["infer_dim", "kmeans_nmi", "ridge_regression", "rfm_regression",
-           "rfm_classification", "svd_error", "np"]
+           "rfm_classification", "svd_error"]

@@ -577,7 +577,7 @@ def q_pipeline_svd(spark, sf):
 
 @register("sqdist_to_mean", f"""
 WITH {O.EMB}, {O.emb_long()}, mu AS (SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(v) AS m FROM el GROUP BY j))
-SELECT vec_id, round({O._sqdist('x', 'm')}, 10) AS sqdist FROM pts, mu""")
+SELECT vec_id, round({O.sqdist_sql('x', 'm')}, 10) AS sqdist FROM pts, mu""")
 def q_sqdist(spark, sf):
     e = emb(spark, sf)
     mean = e.agg(*[F.avg(F.col("features")[j]).alias(f"m{j}") for j in range(EMB_D)]).first()

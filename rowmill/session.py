@@ -8,7 +8,6 @@ which is the local/test case.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -86,9 +85,4 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "durable", "cached",
-           "local_path", "os"]
+__all__ = ["get_spark", "checkpoint_root", "scratch_path", "durable", "cached"]
