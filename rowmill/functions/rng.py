@@ -83,14 +83,20 @@ class JavaRandom:
             r = self._next_bits(31, count)
             return ((bound * r) >> 31).astype(np.int64)
         out = np.empty(count, dtype=np.int64)
-        for i in range(count):
-            while True:
-                bits = int(self._next_bits(31, 1)[0])
-                val = bits % bound
-                # the 32-bit overflow test of the specification
-                if bits - val + (bound - 1) < 2 ** 31:
-                    break
-            out[i] = val
+        filled = 0
+        while filled < count:
+            need = count - filled
+            saved = self.state
+            bits = self._next_bits(31, need + need // 32 + 8)
+            vals = bits % bound
+            # the 32-bit overflow test of the specification rejects a draw
+            ok = np.flatnonzero(bits - vals + (bound - 1) < 2 ** 31)[:need]
+            # rewind, then consume exactly the draws up to the last one used
+            # (rejected draws after it are drawn, and rejected, again)
+            self.state = saved
+            self._states(int(ok[-1]) + 1 if ok.size else bits.size)
+            out[filled: filled + ok.size] = vals[ok]
+            filled += ok.size
         return out
 
     def next_gaussians(self, count: int) -> np.ndarray:

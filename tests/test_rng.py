@@ -25,3 +25,13 @@ def test_block_boundaries():
     r = JavaRandom(99)
     b = np.concatenate([r.next_doubles(1), r.next_doubles(1023), r.next_doubles(3976)])
     assert np.array_equal(a, b)
+
+
+def test_rejection_path_matches_jvm(spark):
+    # a bound just above 2^30 rejects about half of all draws
+    jvm = spark._jvm
+    bound = (1 << 30) + 12345
+    jr, r = jvm.java.util.Random(5), JavaRandom(5)
+    got = r.next_ints(bound, 300)
+    assert list(got) == [jr.nextInt(bound) for _ in range(300)]
+    assert r.next_doubles(3).tolist() == [jr.nextDouble() for _ in range(3)]
