@@ -121,22 +121,34 @@ def exchange_free_partitions(df: DataFrame) -> int | None:
     return df.rdd.getNumPartitions()
 
 
-def combine_tasks(df: DataFrame, partial_rows: int) -> DataFrame:
-    """Fewer, larger map tasks before a per-partition partial aggregate.
-
-    Every map task emits ``partial_rows`` model-sized rows, so the shuffle
-    carries partitions x partial_rows rows. When a scan-like input has many
-    more partitions than 4x the cluster's cores, it is coalesced (narrow,
-    no shuffle) to that many tasks: every core stays busy, the partial
-    shuffle shrinks by the coalescing factor. Inputs that end in a shuffle
-    already have spark.sql.shuffle.partitions (AQE-coalesced) partitions
-    and are left alone."""
+@dataclass
+class Prepared:
+    """Input of a partial kernel, planned once: the selected columns (maybe
+    coalesced) and the partition count when known without running anything.
+    Iterative fits prepare their persisted frame once and reuse it.
+
+    Every map task emits ``partial_rows`` model-sized rows, so the partial
+    shuffle carries partitions x partial_rows rows. When a scan-like input
+    has many more partitions than 4x the cluster's cores, it is coalesced
+    (narrow, no shuffle) to that many tasks: every core stays busy and the
+    partial shuffle shrinks by the coalescing factor. Inputs that end in a
+    shuffle already have spark.sql.shuffle.partitions (AQE-coalesced)
+    partitions and are left alone."""
+    df: DataFrame
+    partitions: int | None
+
+
+def _session(df):
+    return (df.df if isinstance(df, Prepared) else df).sparkSession
+
+
+def prepare(df: DataFrame, columns: list, partial_rows: int) -> Prepared:
+    src = df.select(*columns)
+    parts = exchange_free_partitions(src)
     target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
-    if partial_rows >= 64:
-        parts = exchange_free_partitions(df)
-        if parts is not None and parts > target:
-            return df.coalesce(target)
-    return df
+    if parts is not None and partial_rows >= 64 and parts > target:
+        return Prepared(src.coalesce(target), target)
+    return Prepared(src, parts)
 
 
 def _long_rows(keys: dict[str, np.ndarray], v: np.ndarray) -> pa.RecordBatch:
@@ -151,7 +163,7 @@ def _long_rows(keys: dict[str, np.ndarray], v: np.ndarray) -> pa.RecordBatch:
 DIRECT_COMBINE_ROWS = 1_000_000
 
 
-def partial_frame(df: DataFrame, columns: list, update: Callable,
+def partial_frame(df: "DataFrame | Prepared", columns: list, update: Callable,
                   emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
     """Uncombined per-partition partials ``(key_names..., v)``.
 
@@ -170,7 +182,8 @@ def partial_frame(df: DataFrame, columns: list, update: Callable,
             keys, vals = emit(state)
             yield _long_rows(keys, vals)
 
-    return combine_tasks(df.select(*columns), partial_rows).mapInArrow(run, schema)
+    src = df if isinstance(df, Prepared) else prepare(df, columns, partial_rows)
+    return src.df.mapInArrow(run, schema)
 
 
 def partial_sums(df: DataFrame, columns: list, update: Callable,
@@ -180,14 +193,15 @@ def partial_sums(df: DataFrame, columns: list, update: Callable,
     return part.groupBy(*key_names).agg(F.sum("v").alias("v"))
 
 
-def reduce_partials(part: DataFrame, key_names: list[str], partial_rows: int) -> list[tuple]:
+def reduce_partials(part: DataFrame, key_names: list[str], partial_rows: int,
+                    partitions: int | None = -1) -> list[tuple]:
     """Driver-side combined rows ``(keys..., v)`` of a ``partial_frame``.
 
     The row count reaching the driver is bounded: uncombined partials only
     when the partition count is known without running anything and
     partitions x partial_rows <= DIRECT_COMBINE_ROWS, otherwise the
     shuffle-combined result (one row per key, model-sized)."""
-    parts = exchange_free_partitions(part)
+    parts = exchange_free_partitions(part) if partitions == -1 else partitions
     if parts is not None and parts * max(1, partial_rows) <= DIRECT_COMBINE_ROWS:
         table = part.toArrow()
         if table.num_rows == 0:
@@ -305,7 +319,7 @@ def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray,
                         frame_only: bool = False) -> DataFrame:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     k = p.shape[1]
-    handle = ship(df.sparkSession, p)
+    handle = ship(_session(df), p)
 
     def update(state, b):
         x = to_matrix(b.column(0), d, features)
@@ -320,11 +334,12 @@ def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray,
     return fn(df, [features], update, emit, ["i", "c"], partial_rows=d * k)
 
 
-def gram_times(df: DataFrame, features: str, d: int, p: np.ndarray) -> np.ndarray:
+def gram_times(df: "DataFrame | Prepared", features: str, d: int, p: np.ndarray) -> np.ndarray:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
+    src = df if isinstance(df, Prepared) else prepare(df, [features], p.size)
     out = np.zeros_like(p)
-    part = gram_times_partials(df, features, d, p, frame_only=True)
-    for i, c, v in reduce_partials(part, ["i", "c"], p.size):
+    part = gram_times_partials(src, features, d, p, frame_only=True)
+    for i, c, v in reduce_partials(part, ["i", "c"], p.size, src.partitions):
         out[i, c] = v
     return out
 
@@ -354,7 +369,7 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
 def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray,
                       frame_only: bool = False) -> DataFrame:
     k = centers.shape[0]
-    handle = ship(df.sparkSession, np.asarray(centers, dtype=np.float64))
+    handle = ship(_session(df), np.asarray(centers, dtype=np.float64))
 
     def update(state, b):
         x = to_matrix(b.column(0), d, features)
@@ -378,7 +393,9 @@ def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray,
     return fn(df, [features], update, emit, ["cluster", "j"], partial_rows=k * d + k + 1)
 
 
-def centroid_sums(df: DataFrame, features: str, d: int, centers: np.ndarray) -> list[tuple]:
+def centroid_sums(df: "DataFrame | Prepared", features: str, d: int,
+                  centers: np.ndarray) -> list[tuple]:
     k = centers.shape[0]
-    part = centroid_partials(df, features, d, centers, frame_only=True)
-    return reduce_partials(part, ["cluster", "j"], k * d + k + 1)
+    src = df if isinstance(df, Prepared) else prepare(df, [features], k * d + k + 1)
+    part = centroid_partials(src, features, d, centers, frame_only=True)
+    return reduce_partials(part, ["cluster", "j"], k * d + k + 1, src.partitions)

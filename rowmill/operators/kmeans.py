@@ -60,12 +60,13 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         centers = first_rows_init(df, features, k, order_by or features)
     frame = cached(df.select(features))
     try:
+        src = blocks.prepare(frame, [features], k * d + k + 1)   # planned once
         costs, converged, it = [], False, 0
         for it in range(1, max_iter + 1):
             sums = np.zeros((k, d))
             counts = np.zeros(k)
             cost = 0.0
-            for cl, j, v in blocks.centroid_sums(frame, features, d, centers):
+            for cl, j, v in blocks.centroid_sums(src, features, d, centers):
                 if j == blocks.COUNT_J:
                     counts[cl] = v
                 elif j == blocks.COST_J:

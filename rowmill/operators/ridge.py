@@ -127,11 +127,12 @@ class _GramOperator:
 class _DistributedOperator:
     """Applies X'X to a block with one Spark job."""
 
-    def __init__(self, df, features, d):
-        self.df, self.features, self.d = df, features, d
+    def __init__(self, df, features, d, k):
+        self.src = blocks.prepare(df, [features], d * k)   # planned once
+        self.features, self.d = features, d
 
     def __call__(self, p):
-        return blocks.gram_times(self.df, self.features, self.d, p)
+        return blocks.gram_times(self.src, self.features, self.d, p)
 
 
 def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
@@ -143,7 +144,7 @@ def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
         return method, m, _GramOperator(m.xx), None
     frame = cached(df.select(features, label))
     parts = _cross_only(frame, features, d, label, k, label_kind)
-    return method, parts, _DistributedOperator(frame, features, d), frame
+    return method, parts, _DistributedOperator(frame, features, d, k), frame
 
 
 def _cross_only(df, features, d, label, k, label_kind):

@@ -75,10 +75,11 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
     frame = cached(df.select(features))
     try:
         width = min(d, k + oversample)
+        src = blocks.prepare(frame, [features], d * width)   # planned once
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
         for _ in range(iterations):
-            q, _ = np.linalg.qr(blocks.gram_times(frame, features, d, q))
-        b = q.T @ blocks.gram_times(frame, features, d, q)
+            q, _ = np.linalg.qr(blocks.gram_times(src, features, d, q))
+        b = q.T @ blocks.gram_times(src, features, d, q)
         evals, u = np.linalg.eigh((b + b.T) / 2.0)
         res = _truncate(evals, q @ u, k, rcond)
         res.method = "subspace"
