@@ -27,9 +27,14 @@ LI = ("li AS (SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount AS x
       "l_tax AS x2, l_extendedprice / CAST(1000 AS DOUBLE) AS y FROM lineitem)")
 
 
-def li_scaled() -> str:
+LI_FLOAT_LABEL = ("li AS (SELECT l_quantity AS x0, l_discount AS x1, l_tax AS x2, "
+                  "CAST(CAST(l_extendedprice / CAST(1000 AS DOUBLE) AS FLOAT) AS DOUBLE) AS y "
+                  "FROM lineitem)")
+
+
+def li_scaled(base: str = LI) -> str:
     """Centred label, max-abs scaled features (zero max -> 0.0)."""
-    return (LI + ", st AS (SELECT avg(y) AS mu, max(abs(x0)) AS m0, max(abs(x1)) AS m1, "
+    return (base + ", st AS (SELECT avg(y) AS mu, max(abs(x0)) AS m0, max(abs(x1)) AS m1, "
             "max(abs(x2)) AS m2 FROM li), "
             "lis AS (SELECT CASE WHEN m0 = 0 THEN 0.0 ELSE x0 / m0 END AS x0, "
             "CASE WHEN m1 = 0 THEN 0.0 ELSE x1 / m1 END AS x1, "
@@ -262,6 +267,6 @@ v AS (SELECT sqrt(l1) AS s1, sqrt(greatest(l2, 0)) AS s2,
       FROM nv)"""
 
 
-__all__ = ["lit", "dlist", "LI", "li_scaled", "sparse", "EMB", "emb_long", "moment_cols",
+__all__ = ["lit", "dlist", "LI", "LI_FLOAT_LABEL", "li_scaled", "sparse", "EMB", "emb_long", "moment_cols",
            "solve3_exprs", "sse_expr", "cg_history_sql", "multitask_history_sql", "kmeans_ctes", "nmi_sql",
            "sqdist_sql", "PART2", "SVD2"]

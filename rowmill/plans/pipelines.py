@@ -155,5 +155,54 @@ def svd_error(df: DataFrame, k: int, features: str = "features", method: str = "
     return SvdRun(res, out)
 
 
+# ---------------------------------------------------------------------------
+# The same analyses started from files, as the original drivers run them
+# ---------------------------------------------------------------------------
+
+def kmeans_nmi_libsvm(spark, path: str, k: int, num_features: int, out_path: str,
+                      max_iter: int = 20, init: str = "k-means||", initial_centers=None,
+                      epsilon: float = 1e-4, seed: int = 42) -> DataFrame:
+    """E1 from files: libsvm (label text -> float -> int) -> k-means ->
+    "label pred" text lines written by the tasks -> read back -> NMI."""
+    from ..sources import libsvm as libsvm_src
+    from ..sources import matrix as matrix_src
+
+    data = cached(libsvm_src.read_libsvm(spark, path, num_features, label_cast="float_int"))
+    try:
+        fit = kmeans.kmeans_fit(data, "features", k, num_features, max_iter=max_iter, init=init,
+                                initial_centers=initial_centers, epsilon=epsilon, seed=seed)
+        assigned = kmeans.assign(data, "features", fit.centers, keep=["label"])
+        matrix_src.write_label_pred(assigned, out_path)
+    finally:
+        data.unpersist()
+    return nmi.nmi(matrix_src.read_label_pred(spark, out_path), "label", "prediction")
+
+
+def ridge_regression_libsvm(spark, path: str, num_features: int, gamma: float,
+                            num_splits: int | None = None, max_iter: int = 500,
+                            rel_tol: float | None = 1e-10) -> RidgeRun:
+    """E2 from files: libsvm (label text -> float -> double) -> centre and
+    max-abs scale -> repartition -> CG -> history."""
+    from ..sources import libsvm as libsvm_src
+
+    data = libsvm_src.read_libsvm(spark, path, num_features, label_cast="float_double")
+    return ridge_regression(data, gamma, num_splits=num_splits, max_iter=max_iter,
+                            rel_tol=rel_tol)
+
+
+def rfm_classification_csv(spark, path: str, num_classes: int, num_random: int, gamma: float,
+                           sigma: float, num_features: int | None = None,
+                           num_splits: int | None = None, max_iter: int = 500,
+                           rng: str = "java48") -> RfmClassification:
+    """E3 from files: headerless CSV (1-based class, features) -> coalesce
+    -> RFF -> one-hot -> block CG -> training misclassification."""
+    from ..sources import csv as csv_src
+
+    data = csv_src.read_labeled_csv(spark, path, d=num_features, num_splits=num_splits)
+    return rfm_classification(data, num_classes, num_random, gamma, sigma,
+                              max_iter=max_iter, rng=rng)
+
+
 __all__ = ["infer_dim", "kmeans_nmi", "ridge_regression", "rfm_regression",
-           "rfm_classification", "svd_error"]
+           "rfm_classification", "svd_error", "kmeans_nmi_libsvm",
+           "ridge_regression_libsvm", "rfm_classification_csv"]

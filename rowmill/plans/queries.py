@@ -666,3 +666,42 @@ SELECT CAST(sum(CASE WHEN prediction <> label THEN 1 ELSE 0 END) AS BIGINT) AS e
 def q_pipeline_rfm_class(spark, sf):
     run = pipelines.rfm_classification(emb(spark, sf), K, E3_S, MT_GAMMA, RFF_SIGMA)
     return run.errors.select("errors", "n", R("rate", 10).alias("rate"))
+
+
+# ---------------------------------------------------------------------------
+# E1 / E2 / E3 started from files, as the original drivers run them
+# ---------------------------------------------------------------------------
+
+@register("pipeline_kmeans_nmi_libsvm", O.nmi_sql(_KM, _A, "label", "prediction"))
+def q_pipeline_kmeans_libsvm(spark, sf):
+    """embeddings -> libsvm files -> k-means (initial centres: the k lowest
+    vec_ids of the table) -> label/prediction text files -> NMI."""
+    e = emb(spark, sf)
+    init = kmeans.first_rows_init(e, "features", K, "vec_id")
+    path = scratch_path(spark, "e1-libsvm")
+    libsvm.write_libsvm(e, "label", "features", path)
+    score = pipelines.kmeans_nmi_libsvm(spark, path, K, EMB_D, scratch_path(spark, "e1-pairs"),
+                                        max_iter=KM_ITERS, init="given", initial_centers=init,
+                                        epsilon=0.0)
+    return _nmi_cols(score)
+
+
+@register("pipeline_ridge_regression_libsvm",
+          O.cg_history_sql(O.li_scaled(O.LI_FLOAT_LABEL), "lis", GAMMA_SCALED, 6))
+def q_pipeline_ridge_libsvm(spark, sf):
+    """lineitem -> libsvm files -> label via float -> centre/scale -> CG."""
+    path = scratch_path(spark, "e2-libsvm")
+    libsvm.write_libsvm(li(spark, sf), "label", "features", path)
+    run = pipelines.ridge_regression_libsvm(spark, path, 3, GAMMA_SCALED, num_splits=8)
+    return run.history.select("iter", R("objective", 6).alias("objective"),
+                              R("train_error", 6).alias("train_error"))
+
+
+@register("pipeline_rfm_classification_csv", _rfm_class_sql())
+def q_pipeline_rfm_class_csv(spark, sf):
+    """embeddings -> headerless CSV (1-based class) -> RFF -> block CG -> errors."""
+    path = scratch_path(spark, "e3-csv")
+    csv_src.write_labeled_csv(emb(spark, sf), path, EMB_D)
+    run = pipelines.rfm_classification_csv(spark, path, K, E3_S, MT_GAMMA, RFF_SIGMA,
+                                           num_features=EMB_D, num_splits=4)
+    return run.errors.select("errors", "n", R("rate", 10).alias("rate"))

@@ -41,8 +41,15 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int,
 
 def format_libsvm(df: DataFrame, label: str, sparse: str) -> DataFrame:
     """One ``value`` text line per row: ``label i:x ...`` with 1-based,
-    ascending indices, nonzero entries only (map<int,double> input)."""
-    entries = F.array_sort(F.map_entries(F.col(sparse)))
+    ascending indices, nonzero entries only. ``sparse`` is a map<int,double>
+    row or a dense numeric array."""
+    from pyspark.sql.types import ArrayType
+
+    if isinstance(df.schema[sparse].dataType, ArrayType):
+        entries = F.transform(F.col(sparse), lambda x, i: F.struct(
+            i.alias("key"), x.cast("double").alias("value")))
+    else:
+        entries = F.array_sort(F.map_entries(F.col(sparse)))
     nonzero = F.filter(entries, lambda e: e["value"] != 0)
     tokens = F.transform(nonzero, lambda e: F.concat(
         (e["key"] + 1).cast("string"), F.lit(":"), e["value"].cast("string")))
