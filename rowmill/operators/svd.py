@@ -62,8 +62,13 @@ def _truncate(evals: np.ndarray, evecs: np.ndarray, k: int, rcond: float) -> Svd
 
 
 def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "auto",
-                  rcond: float = 1e-9, oversample: int = 10, iterations: int = 30,
-                  seed: int = 0) -> SvdResult:
+                  rcond: float = 1e-9, oversample: int = 10, iterations: int = 100,
+                  tol: float = 1e-10, seed: int = 0) -> SvdResult:
+    """Rank-k right factors of the row matrix in ``features``.
+
+    ``subspace``: every pass gives Y = A'A Q; the Ritz values of Q'Y come
+    for free, and iteration stops once the top k change by less than
+    ``tol`` (relative), or after ``iterations`` passes."""
     if method == "auto":
         method = "gram" if d <= GRAM_MAX_D else "subspace"
     if method == "gram":
@@ -77,10 +82,17 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         width = min(d, k + oversample)
         src = blocks.prepare(frame, [features], d * width)   # planned once
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
+        prev = None
         for _ in range(iterations):
-            q, _ = np.linalg.qr(blocks.gram_times(src, features, d, q))
-        b = q.T @ blocks.gram_times(src, features, d, q)
-        evals, u = np.linalg.eigh((b + b.T) / 2.0)
+            y = blocks.gram_times(src, features, d, q)       # one pass
+            b = q.T @ y
+            evals, u = np.linalg.eigh((b + b.T) / 2.0)       # Rayleigh-Ritz on span(q)
+            top = np.sort(evals)[::-1][:k]
+            if prev is not None and np.all(
+                    np.abs(top - prev) <= tol * np.maximum(np.abs(top), np.finfo(float).tiny)):
+                break
+            prev = top
+            q, _ = np.linalg.qr(y)
         res = _truncate(evals, q @ u, k, rcond)
         res.method = "subspace"
         return res
