@@ -351,13 +351,12 @@ def gram_times(df: "DataFrame | Prepared", features: str, d: int, p: np.ndarray)
 COUNT_J, COST_J = -1, -2
 
 
-def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centre (ties -> lowest index) and its squared
-    distance, computed as explicit sums of squared differences."""
-    k = centers.shape[0]
+def _nearest_exact(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre by centre, explicit sums of squared differences; the first
+    (lowest) index wins a tie."""
     best = np.full(x.shape[0], np.inf)
     arg = np.zeros(x.shape[0], dtype=np.int64)
-    for c in range(k):
+    for c in range(centers.shape[0]):
         diff = x - centers[c]
         dist = np.einsum("ij,ij->i", diff, diff)
         better = dist < best
@@ -366,6 +365,30 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     return arg, best
 
 
+def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre (ties -> lowest index) and its exact
+    squared distance.
+
+    Candidates come from one GEMM, ||x||² - 2 x·c + ||c||². Rows whose two
+    best candidates are closer than that expansion's rounding bound are
+    re-decided with exact differences, so the assignment equals the exact
+    centre-by-centre rule; the reported distance is always exact."""
+    k, d = centers.shape
+    if k < 2 or k * d < 256:
+        return _nearest_exact(x, centers)
+    xx = np.einsum("ij,ij->i", x, x)
+    cc = np.einsum("ij,ij->i", centers, centers)
+    approx = xx[:, None] - 2.0 * (x @ centers.T) + cc[None, :]
+    two = np.partition(approx, 1, axis=1)[:, :2]
+    bound = 8.0 * (d + 2) * np.finfo(np.float64).eps * (xx + cc.max())
+    ambiguous = np.flatnonzero(two[:, 1] - two[:, 0] <= 2.0 * bound)
+    arg = np.argmin(approx, axis=1)
+    if ambiguous.size:
+        arg[ambiguous] = _nearest_exact(x[ambiguous], centers)[0]
+    diff = x - centers[arg]
+    return arg, np.einsum("ij,ij->i", diff, diff)
+
+
 def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray,
                       frame_only: bool = False) -> DataFrame:
     k = centers.shape[0]

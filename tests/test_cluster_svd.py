@@ -112,3 +112,16 @@ def test_subspace_iteration_matches_gram(emb):
     assert b.method == "subspace"
     assert np.allclose(a.sigma, b.sigma, rtol=1e-8)
     assert np.allclose(np.abs(a.V.T @ b.V), np.eye(3), atol=1e-5)
+
+
+def test_gemm_assignment_equals_exact_rule():
+    from rowmill.operators import blocks
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 40))
+    c = rng.standard_normal((12, 40))
+    c[5] = c[2]                      # duplicate centre: exact tie -> lower index
+    x[:10] = (c[3] + c[7]) / 2       # equidistant points
+    a1, d1 = blocks.nearest_center(x, c)
+    a2, d2 = blocks._nearest_exact(x, c)
+    assert np.array_equal(a1, a2) and np.array_equal(d1, d2)
+    assert not np.any(a1 == 5)
