@@ -89,6 +89,9 @@ def sketch_params(d: int, s: int, seed: int = SKETCH_SEED) -> tuple[np.ndarray,
 # Up to this input dimension the bucket/sign tables are inlined in the plan
 # as array literals; above it they are shipped to the tasks.
 SKETCH_LITERAL_D = 4096
+# The JVM form filters a row's entries once per output bucket (O(s·nnz));
+# wider sketches use the O(nnz) scatter-add per Arrow batch.
+SKETCH_JVM_MAX_S = 64
 
 
 def count_sketch(df: DataFrame, sparse: str, d: int, s: int, keep: list[str] | None = None,
@@ -96,7 +99,7 @@ def count_sketch(df: DataFrame, sparse: str, d: int, s: int, keep: list[str] | N
     """``sparse`` is a map<int,double> row (index in [0, d)); output is the
     dense s-vector. Indices outside [0, d) fail the query."""
     h, sign = sketch_params(d, s, seed)
-    if d > SKETCH_LITERAL_D:
+    if d > SKETCH_LITERAL_D or s > SKETCH_JVM_MAX_S:
         return _count_sketch_arrow(df, sparse, d, s, h, sign, keep or [], out)
     h_arr = F.array(*[F.lit(int(v)) for v in h])
     s_arr = F.array(*[F.lit(float(v)) for v in sign])
