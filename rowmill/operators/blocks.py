@@ -5,11 +5,13 @@ Pattern used by every data-sized numeric aggregate in the library:
 1. ``mapInArrow`` turns each Arrow record batch of a partition into a dense
    numpy block (rows x d) and accumulates a *model-sized* partial result
    (a d x d Gram block, d x k cross moment, k x d centroid sums, ...);
-   each partition emits its partial once, as long rows ``(keys..., v)``.
-2. ``groupBy(keys).agg(sum(v))`` combines the partials. The shuffle carries
-   (partitions x model size) rows, never data rows, so skew in the data
-   (one class or cluster holding a third of all rows) does not reach the
-   shuffle.
+   each partition emits its partial once, as a flat vector packed 64
+   values per row ``(blk, v0..v63)`` -- about 8 bytes per value.
+2. ``groupBy(blk)`` with 64 sums combines the partials (map-side partial
+   aggregation, codegen). The shuffle carries partitions x model size
+   values, never data rows, so skew in the data (one class or cluster
+   holding a third of all rows) does not reach the shuffle. Small enough
+   partial sets are summed on the driver directly instead.
 
 Empty partitions and empty batches emit nothing. Model state needed inside
 tasks (a direction block P, centres, a projection V) is shipped in the
@@ -127,8 +129,8 @@ class Prepared:
     coalesced) and the partition count when known without running anything.
     Iterative fits prepare their persisted frame once and reuse it.
 
-    Every map task emits ``partial_rows`` model-sized rows, so the partial
-    shuffle carries partitions x partial_rows rows. When a scan-like input
+    Every map task emits a model-sized partial of ``partial_values`` values,
+    so the partial shuffle carries partitions x partial_values values. When a scan-like input
     has many more partitions than 4x the cluster's cores, it is coalesced
     (narrow, no shuffle) to that many tasks: every core stays busy and the
     partial shuffle shrinks by the coalescing factor. Inputs that end in a
@@ -142,35 +144,55 @@ def _session(df):
     return (df.df if isinstance(df, Prepared) else df).sparkSession
 
 
-def prepare(df: DataFrame, columns: list, partial_rows: int) -> Prepared:
+def prepare(df: DataFrame, columns: list, partial_values: int) -> Prepared:
     src = df.select(*columns)
     parts = exchange_free_partitions(src)
     target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
-    if parts is not None and partial_rows >= 64 and parts > target:
+    if parts is not None and partial_values >= 64 and parts > target:
         return Prepared(src.coalesce(target), target)
     return Prepared(src, parts)
 
 
-def _long_rows(keys: dict[str, np.ndarray], v: np.ndarray) -> pa.RecordBatch:
-    cols = {k: pa.array(a.astype(np.int32), type=pa.int32()) for k, a in keys.items()}
-    cols["v"] = pa.array(v.astype(np.float64), type=pa.float64())
-    return pa.RecordBatch.from_pydict(cols)
+# ---------------------------------------------------------------------------
+# Partial vectors: emit, combine, reduce
+# ---------------------------------------------------------------------------
+
+# A partial result is a flat float64 vector with a layout known to its
+# kernel. It travels as rows (blk, v0 .. v{WIDTH-1}): WIDTH consecutive
+# values per row, about 8 bytes per value in the shuffle. Combining is
+# groupBy(blk) with WIDTH sums, partially aggregated map-side by codegen.
+WIDTH = 64
+_VALUE_COLS = [f"v{w}" for w in range(WIDTH)]
+PARTIAL_SCHEMA = "blk int, " + ", ".join(f"{c} double" for c in _VALUE_COLS)
 
+# Partials (partitions x vector length) up to this many values are summed on
+# the driver straight from the map stage (as treeAggregate would); above it
+# they are combined by a shuffle first.
+DIRECT_COMBINE_VALUES = 2_000_000
 
-# Partial results (partitions x partial rows) up to this many rows are
-# summed on the driver straight from the map stage (as treeAggregate would);
-# above it they are combined by a shuffle first.
-DIRECT_COMBINE_ROWS = 1_000_000
+
+def blocks_of(length: int) -> int:
+    return -(-max(length, 1) // WIDTH)
+
+
+def _vector_rows(vec: np.ndarray) -> pa.RecordBatch:
+    nb = blocks_of(vec.size)
+    padded = np.zeros(nb * WIDTH)
+    padded[: vec.size] = vec
+    mat = padded.reshape(nb, WIDTH)
+    cols = {"blk": pa.array(np.arange(nb, dtype=np.int32), type=pa.int32())}
+    for w, name in enumerate(_VALUE_COLS):
+        cols[name] = pa.array(mat[:, w], type=pa.float64())
+    return pa.RecordBatch.from_pydict(cols)
 
 
 def partial_frame(df: "DataFrame | Prepared", columns: list, update: Callable,
-                  emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
-    """Uncombined per-partition partials ``(key_names..., v)``.
+                  emit: Callable, length: int) -> DataFrame:
+    """Uncombined per-partition partials.
 
     ``update(state, batch) -> state`` folds one non-empty record batch;
-    ``emit(state) -> (keys dict, values)`` produces the partial rows.
-    """
-    schema = ", ".join(f"{k} int" for k in key_names) + ", v double"
+    ``emit(state)`` returns the partial as a flat vector of ``length``.
+    Empty partitions emit nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         state = None
@@ -179,67 +201,78 @@ def partial_frame(df: "DataFrame | Prepared", columns: list, update: Callable,
                 continue
             state = update(state, b)
         if state is not None:
-            keys, vals = emit(state)
-            yield _long_rows(keys, vals)
+            vec = np.asarray(emit(state), dtype=np.float64).reshape(-1)
+            yield _vector_rows(vec)
+
+    src = df if isinstance(df, Prepared) else prepare(df, columns, length)
+    return src.df.mapInArrow(run, PARTIAL_SCHEMA)
+
 
-    src = df if isinstance(df, Prepared) else prepare(df, columns, partial_rows)
-    return src.df.mapInArrow(run, schema)
+def combine(part: DataFrame) -> DataFrame:
+    """Lazy shuffle-combine: one row per block."""
+    return part.groupBy("blk").agg(*[F.sum(c).alias(c) for c in _VALUE_COLS])
 
 
-def partial_sums(df: DataFrame, columns: list, update: Callable,
-                 emit: Callable, key_names: list[str], partial_rows: int = 0) -> DataFrame:
-    """Per-partition partials combined by ``groupBy(keys).sum`` (lazy)."""
-    part = partial_frame(df, columns, update, emit, key_names, partial_rows)
-    return part.groupBy(*key_names).agg(F.sum("v").alias("v"))
+def flat_values(part: DataFrame, length: int) -> DataFrame:
+    """Lazy combined vector as long rows ``(idx, v)``, idx < length."""
+    cells = combine(part).select(
+        "blk", F.posexplode(F.array(*[F.col(c) for c in _VALUE_COLS])).alias("w", "v"))
+    idx = (F.col("blk").cast("long") * WIDTH + F.col("w")).alias("idx")
+    return cells.select(idx, "v").filter(F.col("idx") < length)
 
 
-def reduce_partials(part: DataFrame, key_names: list[str], partial_rows: int,
-                    partitions: int | None = -1) -> list[tuple]:
-    """Driver-side combined rows ``(keys..., v)`` of a ``partial_frame``.
+def reduce_vector(part: DataFrame, length: int, partitions: int | None = -1) -> np.ndarray:
+    """Driver-side sum of all partials (a vector of ``length``).
 
-    The row count reaching the driver is bounded: uncombined partials only
-    when the partition count is known without running anything and
-    partitions x partial_rows <= DIRECT_COMBINE_ROWS, otherwise the
-    shuffle-combined result (one row per key, model-sized)."""
+    What reaches the driver is bounded: uncombined partials only when the
+    partition count is known without running anything and partitions x
+    length <= DIRECT_COMBINE_VALUES, otherwise the shuffle-combined blocks
+    (model-sized)."""
+    nb = blocks_of(length)
+    total = np.zeros((nb, WIDTH))
     parts = exchange_free_partitions(part) if partitions == -1 else partitions
-    if parts is not None and parts * max(1, partial_rows) <= DIRECT_COMBINE_ROWS:
+    if parts is not None and parts * max(1, length) <= DIRECT_COMBINE_VALUES:
         table = part.toArrow()
-        if table.num_rows == 0:
-            return []
-        keys = np.stack([table.column(k).to_numpy() for k in key_names], axis=1)
-        vals = table.column("v").to_numpy()
-        uniq, inv = np.unique(keys, axis=0, return_inverse=True)
-        sums = np.zeros(len(uniq))
-        np.add.at(sums, inv.reshape(-1), vals)
-        return [tuple(int(x) for x in u) + (float(v),) for u, v in zip(uniq, sums)]
-    combined = part.groupBy(*key_names).agg(F.sum("v").alias("v"))
-    return [tuple(r) for r in combined.collect()]
+        if table.num_rows:
+            blk = table.column("blk").to_numpy()
+            vals = np.stack([table.column(c).to_numpy() for c in _VALUE_COLS], axis=1)
+            np.add.at(total, blk, vals)
+    else:
+        for row in combine(part).collect():
+            total[row["blk"]] = [row[c] for c in _VALUE_COLS]
+    return total.reshape(-1)[:length]
+
+
+def partial_sums(df: DataFrame, columns: list, update: Callable, emit: Callable,
+                 length: int) -> DataFrame:
+    """Per-partition partials combined lazily, as ``(idx, v)`` rows."""
+    return flat_values(partial_frame(df, columns, update, emit, length), length)
 
 
 # ---------------------------------------------------------------------------
 # Normal equations: X'X, X'Y, Y'Y, n in one pass
 # ---------------------------------------------------------------------------
 
-KIND_XX, KIND_XY, KIND_YY, KIND_N = 0, 1, 2, 3
-
-
 @dataclass
 class Moments:
     n: float
-    xx: np.ndarray          # d x d
+    xx: np.ndarray | None   # d x d
     xy: np.ndarray | None   # d x k
     yy: np.ndarray | None   # k  (sum of y_c^2 per output)
-    sx: np.ndarray | None = None  # column sums (d)
 
 
-def normal_equation_partials(df: DataFrame, features: str, d: int,
-                             label: str | None = None, k: int = 1,
-                             label_kind: str = "scalar", frame_only: bool = False,
+def normal_equation_length(d: int, k: int = 1, with_label: bool = True,
+                           with_xx: bool = True) -> int:
+    """Layout: [X'X upper triangle | X'Y (d x k) | diag(Y'Y) (k) | n]."""
+    return (d * (d + 1) // 2 if with_xx else 0) + ((d * k + k) if with_label else 0) + 1
+
+
+def normal_equation_partials(df, features: str, d: int, label: str | None = None,
+                             k: int = 1, label_kind: str = "scalar",
                              with_xx: bool = True) -> DataFrame:
-    """One pass: upper triangle of X'X, X'Y, diag(Y'Y) and n as long rows
-    ``(kind, i, j, v)``. ``label_kind``: 'scalar' (k=1), 'vector'
-    (array<double> of length k) or 'class' (int id one-hot encoded in the
-    block, never materialised as a column)."""
+    """One pass: X'X (upper triangle), X'Y, diag(Y'Y) and n per partition.
+    ``label_kind``: 'scalar' (k=1), 'vector' (array<double> of length k) or
+    'class' (int id one-hot encoded in the block, never a column)."""
     cols = [features] + ([label] if label else [])
     iu = np.triu_indices(d)
 
@@ -263,62 +296,55 @@ def normal_equation_partials(df: DataFrame, features: str, d: int,
 
     def emit(state):
         xx, xy, yy, n = state
-        if with_xx:
-            kinds, ii, jj, vv = [np.full(iu[0].size, KIND_XX)], [iu[0]], [iu[1]], [xx[iu]]
-        else:
-            kinds, ii, jj, vv = [], [], [], []
+        parts = [xx[iu]] if with_xx else []
         if label:
-            gi, gc = np.meshgrid(np.arange(d), np.arange(k), indexing="ij")
-            kinds += [np.full(d * k, KIND_XY), np.full(k, KIND_YY)]
-            ii += [gi.ravel(), np.arange(k)]
-            jj += [gc.ravel(), np.arange(k)]
-            vv += [xy.ravel(), yy]
-        kinds.append(np.array([KIND_N]))
-        ii.append(np.array([0]))
-        jj.append(np.array([0]))
-        vv.append(np.array([n]))
-        return ({"kind": np.concatenate(kinds), "i": np.concatenate(ii),
-                 "j": np.concatenate(jj)}, np.concatenate(vv))
-
-    fn = partial_frame if frame_only else partial_sums
-    return fn(df, cols, update, emit, ["kind", "i", "j"],
-              partial_rows=normal_equation_rows(d if with_xx else 0, k) + (0 if with_xx else d * k))
-
-
-def normal_equation_rows(d: int, k: int = 1) -> int:
-    return d * (d + 1) // 2 + d * k + k + 1
-
-
-def collect_moments(partials: DataFrame, d: int, k: int = 1,
-                    with_label: bool = True) -> Moments:
-    """Driver side, from an uncombined ``normal_equation_partials(...,
-    frame_only=True)``: combined rows are model-sized (d^2/2 + dk + k + 1)."""
-    xx = np.zeros((d, d))
-    xy = np.zeros((d, k)) if with_label else None
-    yy = np.zeros(k) if with_label else None
-    n = 0.0
-    rows = reduce_partials(partials, ["kind", "i", "j"], normal_equation_rows(d, k))
-    for kind, i, j, v in rows:
-        if kind == KIND_XX:
-            xx[i, j] = v
-            xx[j, i] = v
-        elif kind == KIND_XY:
-            xy[i, j] = v
-        elif kind == KIND_YY:
-            yy[i] = v
-        else:
-            n = v
-    return Moments(n=n, xx=xx, xy=xy, yy=yy)
+            parts += [xy.reshape(-1), yy]
+        parts.append(np.array([n]))
+        return np.concatenate(parts)
+
+    return partial_frame(df, cols, update, emit,
+                         normal_equation_length(d, k, label is not None, with_xx))
+
+
+def collect_moments(partials: DataFrame, d: int, k: int = 1, with_label: bool = True,
+                    with_xx: bool = True, partitions: int | None = -1) -> Moments:
+    """Driver side: the combined vector is model-sized (d²/2 + dk + k + 1)."""
+    vec = reduce_vector(partials, normal_equation_length(d, k, with_label, with_xx), partitions)
+    pos = 0
+    xx = None
+    if with_xx:
+        iu = np.triu_indices(d)
+        xx = np.zeros((d, d))
+        m = iu[0].size
+        xx[iu] = vec[:m]
+        xx[(iu[1], iu[0])] = vec[:m]
+        pos = m
+    xy = yy = None
+    if with_label:
+        xy = vec[pos: pos + d * k].reshape(d, k)
+        yy = vec[pos + d * k: pos + d * k + k]
+        pos += d * k + k
+    return Moments(n=float(vec[pos]), xx=xx, xy=xy, yy=yy)
+
+
+def gram_full_partials(df, features: str, d: int) -> DataFrame:
+    """Full X'X (d x d, row-major) per partition, for lazy long output."""
+
+    def update(state, b):
+        x = to_matrix(b.column(0), d, features)
+        part = x.T @ x
+        return part if state is None else state + part
+
+    return partial_frame(df, [features], update, lambda st: st.reshape(-1), d * d)
 
 
 # ---------------------------------------------------------------------------
 # Matrix-free Gram products  X'X P  (P: d x k)
 # ---------------------------------------------------------------------------
 
-def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray,
-                        frame_only: bool = False) -> DataFrame:
+def gram_times_partials(df, features: str, d: int, p: np.ndarray) -> DataFrame:
+    """X'X P per partition, row-major d x k."""
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
-    k = p.shape[1]
     handle = ship(_session(df), p)
 
     def update(state, b):
@@ -326,31 +352,20 @@ def gram_times_partials(df: DataFrame, features: str, d: int, p: np.ndarray,
         part = x.T @ (x @ handle.value)
         return part if state is None else state + part
 
-    def emit(state):
-        gi, gc = np.meshgrid(np.arange(d), np.arange(k), indexing="ij")
-        return {"i": gi.ravel(), "c": gc.ravel()}, state.ravel()
-
-    fn = partial_frame if frame_only else partial_sums
-    return fn(df, [features], update, emit, ["i", "c"], partial_rows=d * k)
+    return partial_frame(df, [features], update, lambda st: st.reshape(-1), p.size)
 
 
 def gram_times(df: "DataFrame | Prepared", features: str, d: int, p: np.ndarray) -> np.ndarray:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     src = df if isinstance(df, Prepared) else prepare(df, [features], p.size)
-    out = np.zeros_like(p)
-    part = gram_times_partials(src, features, d, p, frame_only=True)
-    for i, c, v in reduce_partials(part, ["i", "c"], p.size, src.partitions):
-        out[i, c] = v
-    return out
+    part = gram_times_partials(src, features, d, p)
+    return reduce_vector(part, p.size, src.partitions).reshape(p.shape)
 
 
 # ---------------------------------------------------------------------------
 # Nearest-centre partial sums (one Lloyd step)
 # ---------------------------------------------------------------------------
 
-COUNT_J, COST_J = -1, -2
-
-
 def _nearest_exact(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centre by centre, explicit sums of squared differences; the first
     (lowest) index wins a tie."""
@@ -389,8 +404,8 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     return arg, np.einsum("ij,ij->i", diff, diff)
 
 
-def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray,
-                      frame_only: bool = False) -> DataFrame:
+def centroid_partials(df, features: str, d: int, centers: np.ndarray) -> DataFrame:
+    """Layout: [per-cluster sums (k x d) | counts (k) | cost]."""
     k = centers.shape[0]
     handle = ship(_session(df), np.asarray(centers, dtype=np.float64))
 
@@ -405,20 +420,16 @@ def centroid_partials(df: DataFrame, features: str, d: int, centers: np.ndarray,
         return state
 
     def emit(state):
-        sums, counts, cost = state
-        gc, gj = np.meshgrid(np.arange(k), np.arange(d), indexing="ij")
-        clusters = np.concatenate([gc.ravel(), np.arange(k), [0]])
-        js = np.concatenate([gj.ravel(), np.full(k, COUNT_J), [COST_J]])
-        vals = np.concatenate([sums.ravel(), counts, [cost]])
-        return {"cluster": clusters, "j": js}, vals
+        return np.concatenate([state[0].reshape(-1), state[1], [state[2]]])
 
-    fn = partial_frame if frame_only else partial_sums
-    return fn(df, [features], update, emit, ["cluster", "j"], partial_rows=k * d + k + 1)
+    return partial_frame(df, [features], update, emit, k * d + k + 1)
 
 
 def centroid_sums(df: "DataFrame | Prepared", features: str, d: int,
-                  centers: np.ndarray) -> list[tuple]:
+                  centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(per-cluster sums k x d, counts k, cost) over the whole frame."""
     k = centers.shape[0]
-    src = df if isinstance(df, Prepared) else prepare(df, [features], k * d + k + 1)
-    part = centroid_partials(src, features, d, centers, frame_only=True)
-    return reduce_partials(part, ["cluster", "j"], k * d + k + 1, src.partitions)
+    length = k * d + k + 1
+    src = df if isinstance(df, Prepared) else prepare(df, [features], length)
+    vec = reduce_vector(centroid_partials(src, features, d, centers), length, src.partitions)
+    return vec[: k * d].reshape(k, d), vec[k * d: k * d + k], float(vec[-1])

@@ -2,7 +2,8 @@
 
 Each iteration is one Spark job: every partition assigns its rows to the
 nearest centre and emits per-cluster partial sums, counts and cost
-(k·d + k + 1 rows); ``groupBy(cluster, j).sum`` combines them. A cluster
+(k·d + k + 1 values, packed 64 per row) that are summed across
+partitions. A cluster
 holding a third of all rows costs the same as any other: its rows never
 leave their partition.
 
@@ -63,16 +64,7 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         src = blocks.prepare(frame, [features], k * d + k + 1)   # planned once
         costs, converged, it = [], False, 0
         for it in range(1, max_iter + 1):
-            sums = np.zeros((k, d))
-            counts = np.zeros(k)
-            cost = 0.0
-            for cl, j, v in blocks.centroid_sums(src, features, d, centers):
-                if j == blocks.COUNT_J:
-                    counts[cl] = v
-                elif j == blocks.COST_J:
-                    cost += v
-                else:
-                    sums[cl, j] = v
+            sums, counts, cost = blocks.centroid_sums(src, features, d, centers)
             costs.append(cost)
             new = centers.copy()
             nonempty = counts > 0

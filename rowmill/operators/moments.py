@@ -5,8 +5,9 @@ Two physical paths, same results:
 
 * ``sql``: d(d+1)/2 + d·k sum columns in one aggregate over ``features[i]``
   (whole-stage codegen, one partial row per task). Chosen for small d.
-* ``arrow``: per-partition numpy blocks (see :mod:`blocks`), combined by a
-  ``groupBy(keys).sum`` over model-sized rows. Chosen for wide rows.
+* ``arrow``: per-partition numpy blocks (see :mod:`blocks`) emitted as a
+  flat partial vector, 64 values per row, summed across partitions.
+  Chosen for wide rows.
 """
 
 from __future__ import annotations
@@ -40,8 +41,7 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
             k: int = 1, label_kind: str = "scalar", method: str = "auto") -> Moments:
     """X'X, X'Y, diag(Y'Y) and n, collected to the driver (model-sized)."""
     if _pick(method, d) == "arrow":
-        parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind,
-                                                frame_only=True)
+        parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)
     aggs = [F.count(F.lit(1)).alias("n"), F.min(F.size(x)).alias("d_min"),
@@ -78,14 +78,9 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
 def gram_matrix(df: DataFrame, features: str, d: int, method: str = "auto") -> DataFrame:
     """Full X'X in long form ``(i, j, g)``, lazily (no driver round trip)."""
     if _pick(method, d) == "arrow":
-        parts = blocks.normal_equation_partials(df, features, d).filter(
-            F.col("kind") == blocks.KIND_XX)
-        i, j = F.col("i").cast("long"), F.col("j").cast("long")
-        cell = F.struct(i.alias("i"), j.alias("j"), F.col("v").alias("g"))
-        mirror = F.struct(j.alias("i"), i.alias("j"), F.col("v").alias("g"))
-        # the lower triangle is mirrored from the same combined rows (one pass)
-        both = F.when(i == j, F.array(cell)).otherwise(F.array(cell, mirror))
-        return parts.select(F.explode(both).alias("c")).select("c.*")
+        cells = blocks.flat_values(blocks.gram_full_partials(df, features, d), d * d)
+        return cells.select((F.col("idx") / d).cast("long").alias("i"),
+                            (F.col("idx") % d).cast("long").alias("j"), F.col("v").alias("g"))
     x = F.col(features)
     row = df.agg(*[F.sum(x[i] * x[j]).alias(f"g_{i}_{j}") for i in range(d) for j in range(i, d)])
     cells = []
@@ -102,9 +97,10 @@ def cross_moment(df: DataFrame, features: str, label: str, d: int,
                  method: str = "auto") -> DataFrame:
     """X'y in long form ``(j, xy)``."""
     if _pick(method, d) == "arrow":
-        parts = blocks.normal_equation_partials(df, features, d, label, 1, "scalar")
-        return parts.filter(F.col("kind") == blocks.KIND_XY).select(
-            F.col("i").cast("long").alias("j"), F.col("v").alias("xy"))
+        parts = blocks.normal_equation_partials(df, features, d, label, 1, "scalar",
+                                                with_xx=False)
+        cells = blocks.flat_values(parts, blocks.normal_equation_length(d, 1, True, False))
+        return cells.filter(F.col("idx") < d).select(F.col("idx").alias("j"), F.col("v").alias("xy"))
     x, y = F.col(features), F.col(label).cast("double")
     row = df.agg(*[F.sum(x[j] * y).alias(f"xy{j}") for j in range(d)])
     return row.select(F.explode(F.array(*[
@@ -115,8 +111,8 @@ def cross_moment(df: DataFrame, features: str, label: str, d: int,
 def gram_vector_product(df: DataFrame, features: str, d: int, p) -> DataFrame:
     """Matrix-free X'X p in long form ``(j, v)`` (one pass, p shipped)."""
     p = np.asarray(p, dtype=np.float64).reshape(d, 1)
-    parts = blocks.gram_times_partials(df, features, d, p)
-    return parts.select(F.col("i").cast("long").alias("j"), "v")
+    cells = blocks.flat_values(blocks.gram_times_partials(df, features, d, p), d)
+    return cells.select(F.col("idx").alias("j"), "v")
 
 
 __all__ = ["moments", "gram_matrix", "cross_moment", "gram_vector_product", "Moments"]

@@ -150,8 +150,8 @@ def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
 def _cross_only(df, features, d, label, k, label_kind):
     """n, X'Y and diag(Y'Y) without X'X (matrix-free path)."""
     parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind,
-                                            frame_only=True, with_xx=False)
-    return blocks.collect_moments(parts, d, k)
+                                            with_xx=False)
+    return blocks.collect_moments(parts, d, k, with_xx=False)
 
 
 def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,

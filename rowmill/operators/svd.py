@@ -165,12 +165,9 @@ def approximation_error(df: DataFrame, features: str, v: np.ndarray) -> DataFram
             part = np.array([np.einsum("ij,ij->", res, res), np.einsum("ij,ij->", x, x)])
             return part if state is None else state + part
 
-        def emit(state):
-            return {"i": np.array([0, 1])}, state
-
-        parts = blocks.partial_sums(df, [features], update, emit, ["i"], partial_rows=2)
-        agg = parts.agg(F.sum(F.when(F.col("i") == 0, F.col("v"))).alias("err"),
-                        F.sum(F.when(F.col("i") == 1, F.col("v"))).alias("fro_sq"))
+        parts = blocks.partial_sums(df, [features], update, lambda st: st, 2)
+        agg = parts.agg(F.sum(F.when(F.col("idx") == 0, F.col("v"))).alias("err"),
+                        F.sum(F.when(F.col("idx") == 1, F.col("v"))).alias("fro_sq"))
     return agg.select("err", "fro_sq",
                       F.when(F.col("fro_sq") == 0, F.lit(None).cast("double"))
                       .otherwise(F.col("err") / F.col("fro_sq")).alias("relative_error"))

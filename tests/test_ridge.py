@@ -108,7 +108,7 @@ def test_direct_and_shuffle_combine_agree(emb, monkeypatch):
     from rowmill.operators import blocks, kmeans
     a = moments.moments(emb.repartition(5), "features", 64, "label", 10, "class", method="arrow")
     ka = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=3, order_by="id")
-    monkeypatch.setattr(blocks, "DIRECT_COMBINE_ROWS", 0)
+    monkeypatch.setattr(blocks, "DIRECT_COMBINE_VALUES", 0)
     b = moments.moments(emb.repartition(5), "features", 64, "label", 10, "class", method="arrow")
     kb = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=3, order_by="id")
     assert np.allclose(a.xx, b.xx, atol=1e-12) and np.allclose(a.xy, b.xy) and a.n == b.n
