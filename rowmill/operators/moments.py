@@ -20,11 +20,14 @@ from . import blocks
 from .blocks import Moments
 
 SQL_MAX_D = 16
+# The sql path is one aggregate with this many sum columns at most.
+SQL_MAX_AGGS = 400
 
 
-def _pick(method: str, d: int) -> str:
+def _pick(method: str, d: int, k: int = 1) -> str:
     if method == "auto":
-        return "sql" if d <= SQL_MAX_D else "arrow"
+        aggs = d * (d + 1) // 2 + d * k + k
+        return "sql" if d <= SQL_MAX_D and aggs <= SQL_MAX_AGGS else "arrow"
     return method
 
 
@@ -40,7 +43,7 @@ def _label_terms(label: str, label_kind: str, k: int, c: int):
 def moments(df: DataFrame, features: str, d: int, label: str | None = None,
             k: int = 1, label_kind: str = "scalar", method: str = "auto") -> Moments:
     """X'X, X'Y, diag(Y'Y) and n, collected to the driver (model-sized)."""
-    if _pick(method, d) == "arrow":
+    if _pick(method, d, k if label is not None else 0) == "arrow":
         parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)

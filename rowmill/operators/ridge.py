@@ -77,26 +77,74 @@ def linear_mse(df: DataFrame, features: str, label: str, w) -> DataFrame:
     return df.agg(F.avg(_residual_sq(features, label, w)).alias("mse"))
 
 
+# Up to this many score terms (k·d) class scores are plain Column
+# arithmetic (codegen); above it one GEMM per Arrow batch computes them.
+SCORE_EXPR_TERMS = 4096
+
+
 def class_scores(features: str, W: np.ndarray) -> F.Column:
     """Array of k scores x·W[:, c]."""
     W = np.asarray(W, dtype=np.float64)
     return F.array(*[V.dot_const(features, W[:, c]) for c in range(W.shape[1])])
 
 
+def _argmax_rows(x: np.ndarray, W: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ W, axis=1)        # first maximum wins, as array_position
+
+
 def predict_class(df: DataFrame, features: str, W, keep: list[str] | None = None) -> DataFrame:
-    """Argmax class of x·W (first maximum wins)."""
-    return df.select(*(keep or []), V.argmax(class_scores(features, W)).alias("prediction"))
+    """Argmax class of x·W (first maximum wins); row-local."""
+    W = np.asarray(W, dtype=np.float64)
+    keep = list(keep or [])
+    if W.size <= SCORE_EXPR_TERMS:
+        return df.select(*keep, V.argmax(class_scores(features, W)).alias("prediction"))
+    import pyarrow as pa
+    d = W.shape[0]
+    handle = blocks.ship(df.sparkSession, W)
+    src = df.select(*keep, features)
+    kept = [f for f in src.schema.fields if f.name in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["prediction int"])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = blocks.to_matrix(b.column(features), d, features)
+            cols = {name: b.column(name) for name in keep}
+            cols["prediction"] = pa.array(_argmax_rows(x, handle.value).astype(np.int32))
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return src.mapInArrow(run, schema)
 
 
 def misclassification(df: DataFrame, features: str, label: str, W,
                       label_kind: str = "class") -> DataFrame:
     """``(errors, n, rate)``: rows whose argmax score differs from the label
     (a class id, or the argmax of a one-hot vector)."""
-    pred = V.argmax(class_scores(features, W))
-    truth = F.col(label).cast("int") if label_kind == "class" else V.argmax(label)
-    return df.agg(F.sum(F.when(pred != truth, 1).otherwise(0)).cast("long").alias("errors"),
-                  F.count(F.lit(1)).alias("n")).select(
-        "errors", "n", (F.col("errors") / F.col("n")).alias("rate"))
+    W = np.asarray(W, dtype=np.float64)
+    if W.size <= SCORE_EXPR_TERMS:
+        pred = V.argmax(class_scores(features, W))
+        truth = F.col(label).cast("int") if label_kind == "class" else V.argmax(label)
+        agg = df.agg(F.sum(F.when(pred != truth, 1).otherwise(0)).cast("long").alias("errors"),
+                     F.count(F.lit(1)).alias("n"))
+    else:
+        d, k = W.shape
+        handle = blocks.ship(df.sparkSession, W)
+
+        def update(state, b):
+            x = blocks.to_matrix(b.column(0), d, features)
+            if label_kind == "class":
+                truth = blocks.to_vector(b.column(1), label).astype(np.int64)
+            else:
+                truth = np.argmax(blocks.to_matrix(b.column(1), k, label), axis=1)
+            part = np.array([np.count_nonzero(_argmax_rows(x, handle.value) != truth),
+                             x.shape[0]], dtype=np.float64)
+            return part if state is None else state + part
+
+        cells = blocks.partial_sums(df, [features, label], update, lambda st: st, 2)
+        agg = cells.agg(F.sum(F.when(F.col("idx") == 0, F.col("v"))).cast("long").alias("errors"),
+                        F.sum(F.when(F.col("idx") == 1, F.col("v"))).cast("long").alias("n"))
+    return agg.select("errors", "n", (F.col("errors") / F.col("n")).alias("rate"))
 
 
 # ---------------------------------------------------------------------------

@@ -131,3 +131,22 @@ def test_rfm_pipeline_with_durable_features(emb):
     b = pipelines.rfm_classification(emb, 10, 6, 1e-3, 1.0, durable_features=True)
     assert np.allclose(a.result.weights, b.result.weights, atol=1e-12)
     assert a.errors.first()["errors"] == b.errors.first()["errors"]
+
+
+def test_wide_scores_use_gemm_and_agree(emb, emb_np, monkeypatch):
+    _, labels, x = emb_np
+    W = np.random.default_rng(2).standard_normal((64, 10))
+    a = ridge.misclassification(emb, "features", "label", W).first()
+    pa_ = {r["id"]: r["prediction"] for r in ridge.predict_class(emb, "features", W, keep=["id"]).collect()}
+    monkeypatch.setattr(ridge, "SCORE_EXPR_TERMS", 10)
+    b = ridge.misclassification(emb, "features", "label", W).first()
+    pb = {r["id"]: r["prediction"] for r in ridge.predict_class(emb, "features", W, keep=["id"]).collect()}
+    want = int(np.count_nonzero(np.argmax(x @ W, axis=1) != labels))
+    assert a["errors"] == b["errors"] == want and a["n"] == b["n"] == len(labels)
+    assert pa_ == pb
+
+
+def test_many_classes_take_arrow_moments(emb):
+    df = emb.select("label", F.slice("features", 1, 16).alias("features"))
+    res = ridge.ridge_multitask_cg(df, "features", "label", 1e-3, 16, 147)
+    assert res.weights.shape == (16, 147) and np.all(res.weights[:, 10:] == 0.0)
