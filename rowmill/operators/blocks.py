@@ -144,9 +144,24 @@ def _session(df):
     return (df.df if isinstance(df, Prepared) else df).sparkSession
 
 
-def prepare(df: DataFrame, columns: list, partial_values: int) -> Prepared:
+def persist_for_passes(df: DataFrame, columns: list) -> DataFrame:
+    """The frame an iterative fit re-reads every pass: the needed columns,
+    persisted (MEMORY_AND_DISK) and materialised once, so later passes
+    read the stored blocks and its partition count is known without
+    running anything."""
+    from ..session import cached
+
+    frame = cached(df.select(*columns))
+    frame.count()
+    return frame
+
+
+def prepare(df: DataFrame, columns: list, partial_values: int,
+            materialized: bool = False) -> Prepared:
+    """``materialized``: ``df`` is a persisted frame already computed (see
+    :func:`persist_for_passes`); its partition count is then read directly."""
     src = df.select(*columns)
-    parts = exchange_free_partitions(src)
+    parts = src.rdd.getNumPartitions() if materialized else exchange_free_partitions(src)
     target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
     if parts is not None and partial_values >= 64 and parts > target:
         return Prepared(src.coalesce(target), target)
@@ -277,18 +292,18 @@ def normal_equation_partials(df, features: str, d: int, label: str | None = None
     iu = np.triu_indices(d)
 
     def update(state, b):
-        x = to_matrix(b.column(0), d, features)
+        x = to_matrix(b.column(features), d, features)
         if state is None:
             state = [np.zeros((d, d)) if with_xx else None, np.zeros((d, k)), np.zeros(k), 0.0]
         if with_xx:
             state[0] += x.T @ x
         if label:
             if label_kind == "scalar":
-                y = to_vector(b.column(1), label)[:, None]
+                y = to_vector(b.column(label), label)[:, None]
             elif label_kind == "class":
-                y = one_hot_block(to_vector(b.column(1), label), k)
+                y = one_hot_block(to_vector(b.column(label), label), k)
             else:
-                y = to_matrix(b.column(1), k, label)
+                y = to_matrix(b.column(label), k, label)
             state[1] += x.T @ y
             state[2] += (y * y).sum(axis=0)
         state[3] += x.shape[0]
@@ -331,7 +346,7 @@ def gram_full_partials(df, features: str, d: int) -> DataFrame:
     """Full X'X (d x d, row-major) per partition, for lazy long output."""
 
     def update(state, b):
-        x = to_matrix(b.column(0), d, features)
+        x = to_matrix(b.column(features), d, features)
         part = x.T @ x
         return part if state is None else state + part
 
@@ -348,7 +363,7 @@ def gram_times_partials(df, features: str, d: int, p: np.ndarray) -> DataFrame:
     handle = ship(_session(df), p)
 
     def update(state, b):
-        x = to_matrix(b.column(0), d, features)
+        x = to_matrix(b.column(features), d, features)
         part = x.T @ (x @ handle.value)
         return part if state is None else state + part
 
@@ -410,7 +425,7 @@ def centroid_partials(df, features: str, d: int, centers: np.ndarray) -> DataFra
     handle = ship(_session(df), np.asarray(centers, dtype=np.float64))
 
     def update(state, b):
-        x = to_matrix(b.column(0), d, features)
+        x = to_matrix(b.column(features), d, features)
         arg, dist = nearest_center(x, handle.value)
         if state is None:
             state = [np.zeros((k, d)), np.zeros(k), 0.0]

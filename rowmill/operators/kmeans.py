@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cached
 from . import blocks
 
 
@@ -59,9 +58,9 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         centers = np.asarray(initial_centers, dtype=np.float64).reshape(k, d)
     else:
         centers = first_rows_init(df, features, k, order_by or features)
-    frame = cached(df.select(features))
+    frame = blocks.persist_for_passes(df, [features])
     try:
-        src = blocks.prepare(frame, [features], k * d + k + 1)   # planned once
+        src = blocks.prepare(frame, [features], k * d + k + 1, materialized=True)
         costs, converged, it = [], False, 0
         for it in range(1, max_iter + 1):
             sums, counts, cost = blocks.centroid_sums(src, features, d, centers)

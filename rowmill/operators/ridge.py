@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import cached
 from . import blocks
 from .moments import moments
 
@@ -132,11 +131,11 @@ def misclassification(df: DataFrame, features: str, label: str, W,
         handle = blocks.ship(df.sparkSession, W)
 
         def update(state, b):
-            x = blocks.to_matrix(b.column(0), d, features)
+            x = blocks.to_matrix(b.column(features), d, features)
             if label_kind == "class":
-                truth = blocks.to_vector(b.column(1), label).astype(np.int64)
+                truth = blocks.to_vector(b.column(label), label).astype(np.int64)
             else:
-                truth = np.argmax(blocks.to_matrix(b.column(1), k, label), axis=1)
+                truth = np.argmax(blocks.to_matrix(b.column(label), k, label), axis=1)
             part = np.array([np.count_nonzero(_argmax_rows(x, handle.value) != truth),
                              x.shape[0]], dtype=np.float64)
             return part if state is None else state + part
@@ -176,7 +175,7 @@ class _DistributedOperator:
     """Applies X'X to a block with one Spark job."""
 
     def __init__(self, df, features, d, k):
-        self.src = blocks.prepare(df, [features], d * k)   # planned once
+        self.src = blocks.prepare(df, [features], d * k, materialized=True)   # planned once
         self.features, self.d = features, d
 
     def __call__(self, p):
@@ -190,7 +189,7 @@ def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
     if method == "gram":
         m = moments(df, features, d, label, k, label_kind)
         return method, m, _GramOperator(m.xx), None
-    frame = cached(df.select(features, label))
+    frame = blocks.persist_for_passes(df, [features, label])
     parts = _cross_only(frame, features, d, label, k, label_kind)
     return method, parts, _DistributedOperator(frame, features, d, k), frame
 

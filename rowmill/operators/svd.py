@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import cached
 from . import blocks
 from .moments import moments
 
@@ -77,10 +76,10 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         res = _truncate(evals, evecs, k, rcond)
         res.method = "gram"
         return res
-    frame = cached(df.select(features))
+    frame = blocks.persist_for_passes(df, [features])
     try:
         width = min(d, k + oversample)
-        src = blocks.prepare(frame, [features], d * width)   # planned once
+        src = blocks.prepare(frame, [features], d * width, materialized=True)
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
         prev = None
         for _ in range(iterations):
@@ -159,7 +158,7 @@ def approximation_error(df: DataFrame, features: str, v: np.ndarray) -> DataFram
         handle = blocks.ship(df.sparkSession, v)
 
         def update(state, b):
-            x = blocks.to_matrix(b.column(0), d, features)
+            x = blocks.to_matrix(b.column(features), d, features)
             vv = handle.value
             res = x - (x @ vv) @ vv.T
             part = np.array([np.einsum("ij,ij->", res, res), np.einsum("ij,ij->", x, x)])
