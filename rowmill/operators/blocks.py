@@ -144,24 +144,28 @@ def _session(df):
     return (df.df if isinstance(df, Prepared) else df).sparkSession
 
 
-def persist_for_passes(df: DataFrame, columns: list) -> DataFrame:
+def persist_for_passes(df: DataFrame, columns: list) -> tuple[DataFrame, int]:
     """The frame an iterative fit re-reads every pass: the needed columns,
-    persisted (MEMORY_AND_DISK) and materialised once, so later passes
-    read the stored blocks and its partition count is known without
-    running anything."""
+    persisted (MEMORY_AND_DISK), and its partition count. A scan-like
+    lineage gives the count without running anything; a lineage with a
+    shuffle is materialised once first, after which the stored blocks give
+    it, so every pass can use the bounded direct combine."""
     from ..session import cached
 
     frame = cached(df.select(*columns))
-    frame.count()
-    return frame
+    parts = exchange_free_partitions(frame)
+    if parts is None:
+        frame.count()
+        parts = frame.rdd.getNumPartitions()
+    return frame, parts
 
 
 def prepare(df: DataFrame, columns: list, partial_values: int,
-            materialized: bool = False) -> Prepared:
-    """``materialized``: ``df`` is a persisted frame already computed (see
-    :func:`persist_for_passes`); its partition count is then read directly."""
+            partitions: int | None = -1) -> Prepared:
+    """``partitions``: the frame's known partition count (from
+    :func:`persist_for_passes`); -1 probes the plan."""
     src = df.select(*columns)
-    parts = src.rdd.getNumPartitions() if materialized else exchange_free_partitions(src)
+    parts = exchange_free_partitions(src) if partitions == -1 else partitions
     target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
     if parts is not None and partial_values >= 64 and parts > target:
         return Prepared(src.coalesce(target), target)

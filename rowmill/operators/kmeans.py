@@ -58,9 +58,9 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         centers = np.asarray(initial_centers, dtype=np.float64).reshape(k, d)
     else:
         centers = first_rows_init(df, features, k, order_by or features)
-    frame = blocks.persist_for_passes(df, [features])
+    frame, parts = blocks.persist_for_passes(df, [features])
     try:
-        src = blocks.prepare(frame, [features], k * d + k + 1, materialized=True)
+        src = blocks.prepare(frame, [features], k * d + k + 1, partitions=parts)
         costs, converged, it = [], False, 0
         for it in range(1, max_iter + 1):
             sums, counts, cost = blocks.centroid_sums(src, features, d, centers)

@@ -174,8 +174,8 @@ class _GramOperator:
 class _DistributedOperator:
     """Applies X'X to a block with one Spark job."""
 
-    def __init__(self, df, features, d, k):
-        self.src = blocks.prepare(df, [features], d * k, materialized=True)   # planned once
+    def __init__(self, df, features, d, k, partitions):
+        self.src = blocks.prepare(df, [features], d * k, partitions=partitions)   # planned once
         self.features, self.d = features, d
 
     def __call__(self, p):
@@ -189,9 +189,9 @@ def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
     if method == "gram":
         m = moments(df, features, d, label, k, label_kind)
         return method, m, _GramOperator(m.xx), None
-    frame = blocks.persist_for_passes(df, [features, label])
+    frame, nparts = blocks.persist_for_passes(df, [features, label])
     parts = _cross_only(frame, features, d, label, k, label_kind)
-    return method, parts, _DistributedOperator(frame, features, d, k), frame
+    return method, parts, _DistributedOperator(frame, features, d, k, nparts), frame
 
 
 def _cross_only(df, features, d, label, k, label_kind):

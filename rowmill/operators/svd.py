@@ -76,10 +76,10 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         res = _truncate(evals, evecs, k, rcond)
         res.method = "gram"
         return res
-    frame = blocks.persist_for_passes(df, [features])
+    frame, parts = blocks.persist_for_passes(df, [features])
     try:
         width = min(d, k + oversample)
-        src = blocks.prepare(frame, [features], d * width, materialized=True)
+        src = blocks.prepare(frame, [features], d * width, partitions=parts)
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
         prev = None
         for _ in range(iterations):
