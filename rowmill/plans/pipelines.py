@@ -159,7 +159,7 @@ def svd_error(df: DataFrame, k: int, features: str = "features", method: str = "
 # The same analyses started from files, as the original drivers run them
 # ---------------------------------------------------------------------------
 
-def kmeans_nmi_libsvm(spark, path: str, k: int, num_features: int, out_path: str,
+def kmeans_nmi_libsvm(spark, path: str, k: int, num_features: int | None, out_path: str,
                       max_iter: int = 20, init: str = "k-means||", initial_centers=None,
                       epsilon: float = 1e-4, seed: int = 42) -> DataFrame:
     """E1 from files: libsvm (label text -> float -> int) -> k-means ->
@@ -169,7 +169,8 @@ def kmeans_nmi_libsvm(spark, path: str, k: int, num_features: int, out_path: str
 
     data = cached(libsvm_src.read_libsvm(spark, path, num_features, label_cast="float_int"))
     try:
-        fit = kmeans.kmeans_fit(data, "features", k, num_features, max_iter=max_iter, init=init,
+        d = num_features if num_features is not None else infer_dim(data)
+        fit = kmeans.kmeans_fit(data, "features", k, d, max_iter=max_iter, init=init,
                                 initial_centers=initial_centers, epsilon=epsilon, seed=seed)
         assigned = kmeans.assign(data, "features", fit.centers, keep=["label"])
         matrix_src.write_label_pred(assigned, out_path)
@@ -178,7 +179,7 @@ def kmeans_nmi_libsvm(spark, path: str, k: int, num_features: int, out_path: str
     return nmi.nmi(matrix_src.read_label_pred(spark, out_path), "label", "prediction")
 
 
-def ridge_regression_libsvm(spark, path: str, num_features: int, gamma: float,
+def ridge_regression_libsvm(spark, path: str, num_features: int | None, gamma: float,
                             num_splits: int | None = None, max_iter: int = 500,
                             rel_tol: float | None = 1e-10) -> RidgeRun:
     """E2 from files: libsvm (label text -> float -> double) -> centre and

@@ -25,15 +25,18 @@ def _cast_label(col, label_cast: str):
     raise ValueError(f"unknown label_cast {label_cast!r}")
 
 
-def read_libsvm(spark: SparkSession, path: str, num_features: int,
+def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
                 label_cast: str = "double", num_splits: int | None = None,
                 coalesce: bool = True) -> DataFrame:
     """(label, features array<double>) via Spark's libsvm source, which
-    shifts the 1-based file index to 0-based. ``num_features`` is required:
-    without it the source makes an extra pass over the data to find it."""
+    shifts the 1-based file index to 0-based. Pass ``num_features``: without
+    it the source makes an extra pass over the data to find it."""
     from pyspark.ml.functions import vector_to_array
 
-    raw = (spark.read.format("libsvm").option("numFeatures", str(num_features)).load(path))
+    reader = spark.read.format("libsvm")
+    if num_features is not None:
+        reader = reader.option("numFeatures", str(num_features))
+    raw = reader.load(path)
     raw = partition_control(raw, num_splits, coalesce)
     return raw.select(_cast_label(F.col("label"), label_cast).alias("label"),
                       vector_to_array(F.col("features")).alias("features"))

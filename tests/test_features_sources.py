@@ -153,3 +153,10 @@ def test_null_feature_row_fails_clearly(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,)], "features array<double>")
     with pytest.raises(Exception, match="null rows"):
         blocks.gram_times(df, "features", 2, np.ones(2))
+
+
+def test_libsvm_without_dimension_infers_it(spark):
+    path = scratch_path(spark, "t-libsvm-infer")
+    spark.createDataFrame([("2 1:0.5 4:2",), ("1 2:1",)], "value string").write.text(path)
+    rows = libsvm.read_libsvm(spark, path, label_cast="float_int").collect()
+    assert sorted(len(r["features"]) for r in rows) == [4, 4]
