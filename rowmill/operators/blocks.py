@@ -129,11 +129,12 @@ class Prepared:
     coalesced) and the partition count when known without running anything.
     Iterative fits prepare their persisted frame once and reuse it.
 
-    Every map task emits a model-sized partial of ``partial_values`` values,
-    so the partial shuffle carries partitions x partial_values values. When a scan-like input
-    has many more partitions than 4x the cluster's cores, it is coalesced
-    (narrow, no shuffle) to that many tasks: every core stays busy and the
-    partial shuffle shrinks by the coalescing factor. Inputs that end in a
+    Every map task emits a model-sized partial of ``partial_values``
+    values, so the partial shuffle carries partitions x partial_values
+    values. When a scan-like input has many more partitions than 4x the
+    cluster's cores, it is coalesced (narrow, no shuffle) to that many
+    tasks: every core stays busy and the partial shuffle shrinks by the
+    coalescing factor. Inputs that end in a
     shuffle already have spark.sql.shuffle.partitions (AQE-coalesced)
     partitions and are left alone."""
     df: DataFrame

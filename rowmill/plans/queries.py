@@ -705,3 +705,19 @@ def q_pipeline_rfm_class_csv(spark, sf):
     run = pipelines.rfm_classification_csv(spark, path, K, E3_S, MT_GAMMA, RFF_SIGMA,
                                            num_features=EMB_D, num_splits=4)
     return run.errors.select("errors", "n", R("rate", 10).alias("rate"))
+
+
+@register("pipeline_svd_error_parquet", _SVD_ERR + """
+SELECT round(err, 5) AS err, round(fro_sq, 4) AS fro_sq, round(err / fro_sq, 10) AS relative_error,
+       CAST(1 AS BIGINT) AS rank FROM s""")
+def q_pipeline_svd_parquet(spark, sf):
+    """part -> a row matrix stored as wide numeric Parquet columns (the
+    2-D array dataset, re-aimed) -> matrix scan -> SVD -> rank-1 error."""
+    path = scratch_path(spark, "e4-matrix")
+    part2(spark, sf).select(F.col("p_partkey").alias("row_id"),
+                            F.col("features")[0].alias("c0"),
+                            F.col("features")[1].alias("c1")).write.parquet(path)
+    a = matrix.read_matrix(spark, path, ["c0", "c1"], id_col="row_id", num_splits=10)
+    run = pipelines.svd_error(a, 1)
+    return run.error.select(R("err", 5).alias("err"), R("fro_sq", 4).alias("fro_sq"),
+                            R("relative_error", 10).alias("relative_error"), "rank")
