@@ -100,15 +100,29 @@ def frobenius_norm_sq(df: DataFrame, features: str = "features", d: int | None =
 
 
 def rbf_bandwidth(df: DataFrame, features: str = "features", d: int | None = None,
-                  by: str | None = None) -> DataFrame:
+                  by: str | None = None, first_rows: int | None = None,
+                  order_by: str | None = None) -> DataFrame:
     """Mean squared pairwise distance over all ordered pairs (self-pairs
     included) and its square root, without forming pairs:
     mean_{i,j} ||x_i - x_j||^2 = 2 * sum_j var_pop(x_.j).
 
     With ``by`` (a block column) the mean is taken within each block and
     the block means are averaged unweighted, the way the original averaged
-    its per-partition estimates; blocks never form pairs either."""
+    its per-partition estimates; blocks never form pairs either.
+    ``first_rows`` (with ``order_by``) keeps only the first N rows of each
+    block (of the whole frame without ``by``), as the original estimated
+    from at most 500 rows per partition. That is a per-group top-N, which
+    Spark limits map-side before any shuffle."""
     keys = [by] if by else []
+    if first_rows is not None:
+        if order_by is None:
+            raise ValueError("first_rows needs order_by (rows have no order otherwise)")
+        from pyspark.sql import Window
+        w = Window.partitionBy(*keys).orderBy(order_by) if keys else Window.orderBy(order_by)
+        if keys:
+            df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= first_rows)
+        else:
+            df = df.orderBy(order_by).limit(first_rows)
     if d is not None and d <= WIDE_D:
         total = V.sum_columns([F.var_pop(F.col(features)[j]) for j in range(d)])
         agg = df.groupBy(*keys).agg((F.lit(2.0) * total).alias("sigma_sq"))

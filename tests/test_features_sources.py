@@ -160,3 +160,17 @@ def test_libsvm_without_dimension_infers_it(spark):
     spark.createDataFrame([("2 1:0.5 4:2",), ("1 2:1",)], "value string").write.text(path)
     rows = libsvm.read_libsvm(spark, path, label_cast="float_int").collect()
     assert sorted(len(r["features"]) for r in rows) == [4, 4]
+
+
+def test_bandwidth_from_first_rows_per_block(spark, emb, emb_np):
+    ids, _, x = emb_np
+    blk = emb.withColumn("blk", (F.col("id") % 3).cast("int"))
+    got = stats.rbf_bandwidth(blk, d=64, by="blk", first_rows=50, order_by="id").first()["sigma_sq"]
+    want = []
+    for b in range(3):
+        xb = x[ids % 3 == b][:50]
+        want.append(((xb[:, None] - xb[None]) ** 2).sum(-1).mean())
+    assert got == pytest.approx(np.mean(want), rel=1e-10)
+    whole = stats.rbf_bandwidth(emb, d=64, first_rows=100, order_by="id").first()["sigma_sq"]
+    xf = x[:100]
+    assert whole == pytest.approx(((xf[:, None] - xf[None]) ** 2).sum(-1).mean(), rel=1e-10)
