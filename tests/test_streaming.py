@@ -1,27 +1,48 @@
-"""Row-local operators run unchanged on a streaming frame."""
+"""Row-local operators run unchanged on a streaming frame and give the
+batch results."""
 
 import numpy as np
 
+from rowmill.operators import features as feat
+from rowmill.operators import kmeans, ridge
 from rowmill.session import scratch_path
 from rowmill.streaming import scoring
 
 
-def test_stream_assignment_equals_batch(spark, emb):
-    path = scratch_path(spark, "t-stream-in")
-    emb.select("id", "features").repartition(3).write.parquet(path)
-    centers = np.array([r["features"] for r in emb.orderBy("id").limit(4).collect()])
-    stream = spark.readStream.schema(emb.select("id", "features").schema).parquet(path)
-    out = scoring.assign_clusters(stream, "features", centers, keep=["id"])
+def _drain(spark, stream_df, key="id"):
     got = {}
 
     def collect(batch, _epoch):
         for r in batch.collect():
-            got[r["id"]] = r["prediction"]
+            got[r[key]] = tuple(v for k, v in r.asDict().items() if k != key)
 
-    ck = scratch_path(spark, "t-stream-ck")
-    q = (out.writeStream.foreachBatch(collect).option("checkpointLocation", ck)
+    q = (stream_df.writeStream.foreachBatch(collect)
+         .option("checkpointLocation", scratch_path(spark, "t-stream-ck"))
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
-    from rowmill.operators import kmeans
-    want = {r["id"]: r["prediction"] for r in kmeans.assign(emb, "features", centers, keep=["id"]).collect()}
-    assert got == want
+    return got
+
+
+def _batch(df, key="id"):
+    return {r[key]: tuple(v for k, v in r.asDict().items() if k != key) for r in df.collect()}
+
+
+def test_stream_scoring_equals_batch(spark, emb):
+    path = scratch_path(spark, "t-stream-in")
+    base = emb.select("id", "features")
+    base.repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(base.schema).parquet(path)
+
+    centers = np.array([r["features"] for r in emb.orderBy("id").limit(4).collect()])
+    assert _drain(spark, scoring.assign_clusters(stream, "features", centers, keep=["id"])) == \
+        _batch(kmeans.assign(base, "features", centers, keep=["id"]))
+
+    w = np.linspace(-1, 1, 64)
+    assert _drain(spark, scoring.score_linear(stream, "features", w, keep=["id"])) == \
+        _batch(ridge.linear_score(base, "features", w, keep=["id"]))
+
+    z, v = feat.rff_params(64, 5, 1.0)
+    got = _drain(spark, scoring.random_features(stream, "features", z, v, keep=["id"]))
+    want = _batch(feat.apply_rff(base, "features", z, v, keep=["id"]))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i][0], want[i][0]) for i in got)
