@@ -150,3 +150,19 @@ def test_many_classes_take_arrow_moments(emb):
     df = emb.select("label", F.slice("features", 1, 16).alias("features"))
     res = ridge.ridge_multitask_cg(df, "features", "label", 1e-3, 16, 147)
     assert res.weights.shape == (16, 147) and np.all(res.weights[:, 10:] == 0.0)
+
+
+def test_cross_check_with_spark_ml_linear_regression(lineitem):
+    """Spark ML's LinearRegression minimises the same objective only with
+    regParam = gamma * stddev_samp(label); a loose, independent check."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    gamma = 0.1
+    ours = ridge.ridge_cg(lineitem, "features", "label", gamma, 3).weights
+    sd = lineitem.agg(F.stddev_samp("label")).first()[0]
+    vec = lineitem.select("label", array_to_vector("features").alias("v"))
+    lr = LinearRegression(featuresCol="v", labelCol="label", fitIntercept=False,
+                          standardization=False, elasticNetParam=0.0, regParam=gamma * sd,
+                          maxIter=200, tol=1e-12).fit(vec)
+    assert np.allclose(lr.coefficients.toArray(), ours, rtol=1e-4)
