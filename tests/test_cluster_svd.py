@@ -125,3 +125,31 @@ def test_gemm_assignment_equals_exact_rule():
     a2, d2 = blocks._nearest_exact(x, c)
     assert np.array_equal(a1, a2) and np.array_equal(d1, d2)
     assert not np.any(a1 == 5)
+
+
+def test_svd_matches_mllib_rowmatrix(spark, emb, emb_np):
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    _, _, x = emb_np
+    mat = RowMatrix(spark.sparkContext.parallelize([Vectors.dense(r) for r in x], 4))
+    ref = mat.computeSVD(5, computeU=False)
+    ours = svd.truncated_svd(emb, "features", 5, 64)
+    assert np.allclose(ours.sigma, ref.s.toArray(), rtol=1e-9)
+    vref = ref.V.toArray()
+    assert np.allclose(np.abs(ours.V.T @ vref), np.eye(5), atol=1e-6)
+
+
+def test_kmeans_matches_mllib_lloyd(spark, emb, emb_np):
+    from pyspark.mllib.clustering import KMeans, KMeansModel
+    from pyspark.mllib.linalg import Vectors
+
+    _, _, x = emb_np
+    init = x[:4].copy()
+    model = KMeans.train(spark.sparkContext.parallelize([Vectors.dense(r) for r in x], 4), 4,
+                         maxIterations=6, initializationMode="random", epsilon=0.0,
+                         initialModel=KMeansModel([Vectors.dense(c) for c in init]))
+    ref = np.array([np.asarray(c) for c in model.clusterCenters])
+    ours = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=6, init="given",
+                             initial_centers=init, epsilon=0.0)
+    assert np.allclose(ours.centers, ref, atol=1e-12)
