@@ -35,3 +35,24 @@ def test_rejection_path_matches_jvm(spark):
     got = r.next_ints(bound, 300)
     assert list(got) == [jr.nextInt(bound) for _ in range(300)]
     assert r.next_doubles(3).tolist() == [jr.nextDouble() for _ in range(3)]
+
+
+def test_feature_map_draws_follow_the_jvm_order(spark):
+    from rowmill.operators import features
+
+    jvm = spark._jvm
+    d, s, sigma = 7, 5, 2.5
+    r1, r2 = jvm.java.util.Random(1234), jvm.java.util.Random(4321)
+    z = np.zeros((s, d))
+    for j in range(d):              # input index outer, output index inner
+        for i in range(s):
+            z[i, j] = r1.nextGaussian() / sigma
+    v = np.array([r2.nextDouble() * 6.283185307179586 for _ in range(s)])
+    gz, gv = features.rff_params(d, s, sigma)
+    assert np.allclose(gz, z, atol=1e-15) and np.array_equal(gv, v)
+
+    r = jvm.java.util.Random(1234)
+    h = [r.nextInt(6) for _ in range(d)]            # all buckets first ...
+    sg = [r.nextInt(2) * 2 - 1 for _ in range(d)]   # ... then all signs
+    gh, gs = features.sketch_params(d, 6)
+    assert list(gh) == h and list(gs) == sg
