@@ -57,7 +57,9 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
     if init == "given":
         centers = np.asarray(initial_centers, dtype=np.float64).reshape(k, d)
     else:
-        centers = first_rows_init(df, features, k, order_by or features)
+        if order_by is None:
+            raise ValueError("init='first' needs order_by: rows have no order otherwise")
+        centers = first_rows_init(df, features, k, order_by)
     frame, parts = blocks.persist_for_passes(df, [features])
     try:
         src = blocks.prepare(frame, [features], k * d + k + 1, partitions=parts)

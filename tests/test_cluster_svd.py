@@ -153,3 +153,25 @@ def test_kmeans_matches_mllib_lloyd(spark, emb, emb_np):
     ours = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=6, init="given",
                              initial_centers=init, epsilon=0.0)
     assert np.allclose(ours.centers, ref, atol=1e-12)
+
+
+def test_partition_count_does_not_change_kmeans_svd_nmi(emb):
+    base_fit = kmeans.kmeans_fit(emb, "features", 5, 64, max_iter=6, order_by="id", epsilon=0.0)
+    base_svd = svd.truncated_svd(emb, "features", 4, 64)
+    lab = emb.select("id", "label", (F.col("id") % 7).alias("p"))
+    base_nmi = nmi.nmi(lab, "label", "p").first()
+    for parts in (1, 16, 700):          # 700 > rows per split: many empty partitions
+        df = emb.repartition(parts)
+        fit = kmeans.kmeans_fit(df, "features", 5, 64, max_iter=6, order_by="id", epsilon=0.0)
+        assert np.allclose(fit.centers, base_fit.centers, atol=1e-12)
+        assert fit.iterations == base_fit.iterations
+        s = svd.truncated_svd(df, "features", 4, 64)
+        assert np.allclose(s.sigma, base_svd.sigma, rtol=1e-12)
+        assert np.allclose(s.V, base_svd.V, atol=1e-10)
+        r = nmi.nmi(lab.repartition(parts), "label", "p").first()
+        assert r["nmi_arithmetic"] == pytest.approx(base_nmi["nmi_arithmetic"], abs=1e-13)
+
+
+def test_first_init_needs_an_order(emb):
+    with pytest.raises(ValueError, match="order_by"):
+        kmeans.kmeans_fit(emb, "features", 3, 64, init="first")
