@@ -145,14 +145,22 @@ def _session(df):
     return (df.df if isinstance(df, Prepared) else df).sparkSession
 
 
-def persist_for_passes(df: DataFrame, columns: list) -> tuple[DataFrame, int]:
+def persist_for_passes(df: DataFrame, columns: list,
+                       persist: bool = True) -> tuple[DataFrame, int | None]:
     """The frame an iterative fit re-reads every pass: the needed columns,
     persisted (MEMORY_AND_DISK), and its partition count. A scan-like
     lineage gives the count without running anything; a lineage with a
     shuffle is materialised once first, after which the stored blocks give
-    it, so every pass can use the bounded direct combine."""
+    it, so every pass can use the bounded direct combine.
+
+    ``persist=False`` re-reads the source every pass instead (for inputs
+    larger than the cluster's storage; a pruned Parquet scan costs about
+    what reading a disk-persisted copy costs)."""
     from ..session import cached
 
+    if not persist:
+        src = df.select(*columns)
+        return src, exchange_free_partitions(src)
     frame = cached(df.select(*columns))
     parts = exchange_free_partitions(frame)
     if parts is None:

@@ -45,7 +45,7 @@ def first_rows_init(df: DataFrame, features: str, k: int, order_by: str) -> np.n
 def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
                init: str = "first", order_by: str | None = None,
                initial_centers=None, epsilon: float = 1e-4,
-               seed: int = 42) -> KMeansResult:
+               seed: int = 42, persist: bool = True) -> KMeansResult:
     """Fit k centres.
 
     ``init``: 'first' (k smallest ``order_by`` rows), 'given'
@@ -60,7 +60,7 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         if order_by is None:
             raise ValueError("init='first' needs order_by: rows have no order otherwise")
         centers = first_rows_init(df, features, k, order_by)
-    frame, parts = blocks.persist_for_passes(df, [features])
+    frame, parts = blocks.persist_for_passes(df, [features], persist)
     try:
         src = blocks.prepare(frame, [features], k * d + k + 1, partitions=parts)
         costs, converged, it = [], False, 0

@@ -183,13 +183,13 @@ class _DistributedOperator:
 
 
 def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
-             label_kind: str, method: str):
+             label_kind: str, method: str, persist: bool = True):
     if method == "auto":
         method = "gram" if d <= GRAM_MAX_D else "matrix_free"
     if method == "gram":
         m = moments(df, features, d, label, k, label_kind)
         return method, m, _GramOperator(m.xx), None
-    frame, nparts = blocks.persist_for_passes(df, [features, label])
+    frame, nparts = blocks.persist_for_passes(df, [features, label], persist)
     parts = _cross_only(frame, features, d, label, k, label_kind)
     return method, parts, _DistributedOperator(frame, features, d, k, nparts), frame
 
@@ -203,7 +203,7 @@ def _cross_only(df, features, d, label, k, label_kind):
 
 def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
              max_iter: int = 500, rel_tol: float | None = 1e-10,
-             method: str = "auto", record_every: int = 2) -> RidgeResult:
+             method: str = "auto", record_every: int = 2, persist: bool = True) -> RidgeResult:
     """Single-output ridge by CG from w0 = 0.
 
     History rows ``(iter, objective, train_error)`` are recorded at every
@@ -211,7 +211,7 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
     update and before the stop test.
     """
     t0 = time.perf_counter()
-    method, m, apply_xx, frame = _prepare(df, features, label, d, 1, "scalar", method)
+    method, m, apply_xx, frame = _prepare(df, features, label, d, 1, "scalar", method, persist)
     try:
         n = m.n
         elapsed = []
@@ -256,7 +256,7 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
 def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d: int, k: int,
                        label_kind: str = "class", max_iter: int = 500,
                        tol: float = 1e-8, rel_tol: float | None = 1e-10,
-                       method: str = "auto") -> RidgeResult:
+                       method: str = "auto", persist: bool = True) -> RidgeResult:
     """k independent CGs sharing each data pass (block CG).
 
     ``label`` is a class id in [0, k) (one-hot encoded inside the pass) or a
@@ -265,7 +265,7 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
     turning NaN. History rows: ``(iter, residual_sq)`` with Σ_c r_c·r_c.
     """
     t0 = time.perf_counter()
-    method, m, apply_xx, frame = _prepare(df, features, label, d, k, label_kind, method)
+    method, m, apply_xx, frame = _prepare(df, features, label, d, k, label_kind, method, persist)
     try:
         n = m.n
         elapsed = []

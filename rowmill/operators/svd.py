@@ -62,7 +62,7 @@ def _truncate(evals: np.ndarray, evecs: np.ndarray, k: int, rcond: float) -> Svd
 
 def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "auto",
                   rcond: float = 1e-9, oversample: int = 10, iterations: int = 100,
-                  tol: float = 1e-10, seed: int = 0) -> SvdResult:
+                  tol: float = 1e-10, seed: int = 0, persist: bool = True) -> SvdResult:
     """Rank-k right factors of the row matrix in ``features``.
 
     ``subspace``: every pass gives Y = A'A Q; the Ritz values of Q'Y come
@@ -76,7 +76,7 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         res = _truncate(evals, evecs, k, rcond)
         res.method = "gram"
         return res
-    frame, parts = blocks.persist_for_passes(df, [features])
+    frame, parts = blocks.persist_for_passes(df, [features], persist)
     try:
         width = min(d, k + oversample)
         src = blocks.prepare(frame, [features], d * width, partitions=parts)

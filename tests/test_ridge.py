@@ -166,3 +166,16 @@ def test_cross_check_with_spark_ml_linear_regression(lineitem):
                           standardization=False, elasticNetParam=0.0, regParam=gamma * sd,
                           maxIter=200, tol=1e-12).fit(vec)
     assert np.allclose(lr.coefficients.toArray(), ours, rtol=1e-4)
+
+
+def test_iterative_fits_without_persisting(emb, lineitem):
+    from rowmill.operators import kmeans, svd
+    a = ridge.ridge_cg(lineitem, "features", "label", 0.1, 3, method="matrix_free")
+    b = ridge.ridge_cg(lineitem, "features", "label", 0.1, 3, method="matrix_free", persist=False)
+    assert np.allclose(a.weights, b.weights, rtol=1e-12)
+    ka = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=4, order_by="id")
+    kb = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=4, order_by="id", persist=False)
+    assert np.allclose(ka.centers, kb.centers, atol=1e-12)
+    sa = svd.truncated_svd(emb, "features", 3, 64, method="subspace")
+    sb = svd.truncated_svd(emb, "features", 3, 64, method="subspace", persist=False)
+    assert np.allclose(sa.sigma, sb.sigma, rtol=1e-10)
