@@ -65,9 +65,10 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
                   tol: float = 1e-10, seed: int = 0, persist: bool = True) -> SvdResult:
     """Rank-k right factors of the row matrix in ``features``.
 
-    ``subspace``: every pass gives Y = A'A Q; the Ritz values of Q'Y come
-    for free, and iteration stops once the top k change by less than
-    ``tol`` (relative), or after ``iterations`` passes."""
+    ``subspace``: every pass gives Y = A'A Q, so the Ritz pairs of Q'Y and
+    their true residuals ||A'A v - λ v|| = ||Y u - λ Q u|| come for free;
+    iteration stops once the top k residuals are below ``tol`` x λ_max,
+    or after ``iterations`` passes."""
     if method == "auto":
         method = "gram" if d <= GRAM_MAX_D else "subspace"
     if method == "gram":
@@ -81,18 +82,18 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         width = min(d, k + oversample)
         src = blocks.prepare(frame, [features], d * width, partitions=parts)
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
-        prev = None
         for _ in range(iterations):
             y = blocks.gram_times(src, features, d, q)       # one pass
             b = q.T @ y
             evals, u = np.linalg.eigh((b + b.T) / 2.0)       # Rayleigh-Ritz on span(q)
-            top = np.sort(evals)[::-1][:k]
-            if prev is not None and np.all(
-                    np.abs(top - prev) <= tol * np.maximum(np.abs(top), np.finfo(float).tiny)):
+            ritz = q @ u                                      # Ritz vectors of this pass
+            top = np.argsort(evals)[::-1][:k]
+            lam = evals[top]
+            resid = np.linalg.norm(y @ u[:, top] - ritz[:, top] * lam, axis=0)
+            if np.all(resid <= tol * max(abs(lam[0]), np.finfo(float).tiny)):
                 break
-            prev = top
             q, _ = np.linalg.qr(y)
-        res = _truncate(evals, q @ u, k, rcond)
+        res = _truncate(evals, ritz, k, rcond)
         res.method = "subspace"
         return res
     finally:

@@ -175,3 +175,15 @@ def test_partition_count_does_not_change_kmeans_svd_nmi(emb):
 def test_first_init_needs_an_order(emb):
     with pytest.raises(ValueError, match="order_by"):
         kmeans.kmeans_fit(emb, "features", 3, 64, init="first")
+
+
+def test_subspace_vectors_accurate_when_iterations_run_out(emb):
+    """Ten close singular values: the pass budget ends before the residual
+    test passes; the returned vectors must still be that last pass's Ritz
+    vectors."""
+    a = svd.truncated_svd(emb, "features", 10, 64)
+    for iters in (40, 100):
+        b = svd.truncated_svd(emb, "features", 10, 64, method="subspace", iterations=iters)
+        assert np.allclose(a.sigma, b.sigma, rtol=1e-8)
+        err = np.abs(np.abs(np.sum(a.V * b.V, axis=0)) - 1).max()
+        assert err < (1e-6 if iters == 40 else 1e-12)
