@@ -187,3 +187,11 @@ def test_subspace_vectors_accurate_when_iterations_run_out(emb):
         assert np.allclose(a.sigma, b.sigma, rtol=1e-8)
         err = np.abs(np.abs(np.sum(a.V * b.V, axis=0)) - 1).max()
         assert err < (1e-6 if iters == 40 else 1e-12)
+
+
+def test_reconstruct_arrow_path(emb, emb_np):
+    ids, _, x = emb_np
+    res = svd.truncated_svd(emb, "features", 5, 64)
+    got = {r["id"]: r["features_hat"] for r in svd.reconstruct(emb, "features", res.V, keep=["id"]).collect()}
+    want = x @ res.V @ res.V.T
+    assert np.allclose(np.array([got[i] for i in ids]), want, atol=1e-12)

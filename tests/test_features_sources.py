@@ -174,3 +174,17 @@ def test_bandwidth_from_first_rows_per_block(spark, emb, emb_np):
     whole = stats.rbf_bandwidth(emb, d=64, first_rows=100, order_by="id").first()["sigma_sq"]
     xf = x[:100]
     assert whole == pytest.approx(((xf[:, None] - xf[None]) ** 2).sum(-1).mean(), rel=1e-10)
+
+
+def test_wide_statistics_paths_agree(emb, monkeypatch):
+    df = emb.withColumn("blk", (F.col("id") % 3).cast("int"))
+    m1 = {r["j"]: r["max_abs"] for r in stats.feature_max_abs(df, d=64).collect()}
+    s1 = stats.scale_stats(df, "label", "features", 64)
+    b1 = stats.rbf_bandwidth(df, d=64, by="blk").first()["sigma_sq"]
+    monkeypatch.setattr(stats, "WIDE_D", 4)
+    m2 = {r["j"]: r["max_abs"] for r in stats.feature_max_abs(df, d=64).collect()}
+    s2 = stats.scale_stats(df, "label", "features", 64)
+    b2 = stats.rbf_bandwidth(df, d=64, by="blk").first()["sigma_sq"]
+    assert m1 == m2 and s1.max_abs == s2.max_abs
+    assert s1.label_mean == pytest.approx(s2.label_mean, rel=1e-14)
+    assert b1 == pytest.approx(b2, rel=1e-12)

@@ -179,3 +179,17 @@ def test_iterative_fits_without_persisting(emb, lineitem):
     sa = svd.truncated_svd(emb, "features", 3, 64, method="subspace")
     sb = svd.truncated_svd(emb, "features", 3, 64, method="subspace", persist=False)
     assert np.allclose(sa.sigma, sb.sigma, rtol=1e-10)
+
+
+def test_vector_labels_equal_class_labels(emb):
+    from rowmill.functions import vectors as V
+    df = emb.select("label", V.one_hot("label", 10).alias("y"), F.slice("features", 1, 20).alias("features"))
+    a = moments.moments(df, "features", 20, "label", 10, "class", method="arrow")
+    b = moments.moments(df, "features", 20, "y", 10, "vector", method="arrow")
+    assert np.allclose(a.xy, b.xy) and np.allclose(a.yy, b.yy) and np.allclose(a.xx, b.xx)
+    ra = ridge.ridge_multitask_cg(df, "features", "label", 1e-3, 20, 10)
+    rb = ridge.ridge_multitask_cg(df, "features", "y", 1e-3, 20, 10, label_kind="vector")
+    assert np.allclose(ra.weights, rb.weights, atol=1e-12)
+    ea = ridge.misclassification(df, "features", "label", ra.weights).first()
+    eb = ridge.misclassification(df, "features", "y", rb.weights, label_kind="vector").first()
+    assert ea["errors"] == eb["errors"]
