@@ -188,3 +188,27 @@ def test_wide_statistics_paths_agree(emb, monkeypatch):
     assert m1 == m2 and s1.max_abs == s2.max_abs
     assert s1.label_mean == pytest.approx(s2.label_mean, rel=1e-14)
     assert b1 == pytest.approx(b2, rel=1e-12)
+
+
+def test_column_function_fallbacks_and_sql_paths(spark, emb, emb_np):
+    from rowmill.operators import moments
+    ids, labels, x = emb_np
+    # higher-order-function forms (dimension unknown / above the expansion limit)
+    rows = {r["id"]: r for r in emb.select(
+        "id", V.norm_sq("features").alias("n2"), V.dot("features", "features").alias("dd"),
+        V.sqdist("features", F.array_repeat(F.lit(0.0), 64)).alias("s0")).collect()}
+    assert np.allclose([rows[i]["n2"] for i in ids], (x ** 2).sum(1))
+    assert np.allclose([rows[i]["dd"] for i in ids], (x ** 2).sum(1))
+    assert np.allclose([rows[i]["s0"] for i in ids], (x ** 2).sum(1))
+    wide = emb.select("id", F.concat("features", "features", "features", "features",
+                                     "features").alias("f"))            # 320 > 256 terms
+    w = np.linspace(-1, 1, 320)
+    sc = {r["id"]: r["s"] for r in wide.select("id", V.dot_const("f", w).alias("s")).collect()}
+    assert np.allclose([sc[i] for i in ids], np.tile(x, 5) @ w)
+    # sql (d <= 16) Gram and vector-label moments
+    small = emb.select(V.one_hot("label", 10).alias("y"), F.slice("features", 1, 6).alias("features"))
+    g = {(r["i"], r["j"]): r["g"] for r in moments.gram_matrix(small, "features", 6, method="sql").collect()}
+    assert np.allclose([[g[(i, j)] for j in range(6)] for i in range(6)], x[:, :6].T @ x[:, :6])
+    a = moments.moments(small, "features", 6, "y", 10, "vector", method="sql")
+    b = moments.moments(small, "features", 6, "y", 10, "vector", method="arrow")
+    assert np.allclose(a.xy, b.xy) and np.allclose(a.yy, b.yy) and a.n == b.n
