@@ -145,8 +145,19 @@ def _session(df):
     return (df.df if isinstance(df, Prepared) else df).sparkSession
 
 
-def persist_for_passes(df: DataFrame, columns: list,
-                       persist: bool = True) -> tuple[DataFrame, int | None]:
+class PassFrame:
+    """What an iterative fit reads every pass; ``release()`` drops the
+    persisted copy only if the fit made it (never the caller's)."""
+
+    def __init__(self, df: DataFrame, partitions: int | None, owned: bool):
+        self.df, self.partitions, self.owned = df, partitions, owned
+
+    def release(self) -> None:
+        if self.owned:
+            self.df.unpersist()
+
+
+def persist_for_passes(df: DataFrame, columns: list, persist: bool = True) -> PassFrame:
     """The frame an iterative fit re-reads every pass: the needed columns,
     persisted (MEMORY_AND_DISK), and its partition count. A scan-like
     lineage gives the count without running anything; a lineage with a
@@ -158,15 +169,23 @@ def persist_for_passes(df: DataFrame, columns: list,
     what reading a disk-persisted copy costs)."""
     from ..session import cached
 
-    if not persist:
+    level = df.storageLevel
+    already = level.useMemory or level.useDisk
+    if not persist or already:
+        # re-read the source each pass, or the caller's persisted copy
+        # (no second copy of the same data)
         src = df.select(*columns)
-        return src, exchange_free_partitions(src)
+        parts = exchange_free_partitions(src)
+        if parts is None and already:
+            src.count()
+            parts = src.rdd.getNumPartitions()
+        return PassFrame(src, parts, owned=False)
     frame = cached(df.select(*columns))
     parts = exchange_free_partitions(frame)
     if parts is None:
         frame.count()
         parts = frame.rdd.getNumPartitions()
-    return frame, parts
+    return PassFrame(frame, parts, owned=True)
 
 
 def prepare(df: DataFrame, columns: list, partial_values: int,

@@ -60,9 +60,9 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         if order_by is None:
             raise ValueError("init='first' needs order_by: rows have no order otherwise")
         centers = first_rows_init(df, features, k, order_by)
-    frame, parts = blocks.persist_for_passes(df, [features], persist)
+    passes = blocks.persist_for_passes(df, [features], persist)
     try:
-        src = blocks.prepare(frame, [features], k * d + k + 1, partitions=parts)
+        src = blocks.prepare(passes.df, [features], k * d + k + 1, partitions=passes.partitions)
         costs, converged, it = [], False, 0
         for it in range(1, max_iter + 1):
             sums, counts, cost = blocks.centroid_sums(src, features, d, centers)
@@ -77,7 +77,7 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
                 break
         return KMeansResult(centers, costs, it, converged)
     finally:
-        frame.unpersist()
+        passes.release()
 
 
 def _ml_kmeans(df, features, k, max_iter, init, epsilon, seed) -> KMeansResult:

@@ -189,9 +189,9 @@ def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
     if method == "gram":
         m = moments(df, features, d, label, k, label_kind)
         return method, m, _GramOperator(m.xx), None
-    frame, nparts = blocks.persist_for_passes(df, [features, label], persist)
-    parts = _cross_only(frame, features, d, label, k, label_kind)
-    return method, parts, _DistributedOperator(frame, features, d, k, nparts), frame
+    passes = blocks.persist_for_passes(df, [features, label], persist)
+    parts = _cross_only(passes.df, features, d, label, k, label_kind)
+    return method, parts, _DistributedOperator(passes.df, features, d, k, passes.partitions), passes
 
 
 def _cross_only(df, features, d, label, k, label_kind):
@@ -250,7 +250,7 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
         return RidgeResult(w, hist, int(n), it, converged, method, elapsed)
     finally:
         if frame is not None:
-            frame.unpersist()
+            frame.release()
 
 
 def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d: int, k: int,
@@ -297,7 +297,7 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
         return RidgeResult(W, hist, int(n), it, converged, method, elapsed)
     finally:
         if frame is not None:
-            frame.unpersist()
+            frame.release()
 
 
 # ---------------------------------------------------------------------------

@@ -77,10 +77,10 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         res = _truncate(evals, evecs, k, rcond)
         res.method = "gram"
         return res
-    frame, parts = blocks.persist_for_passes(df, [features], persist)
+    passes = blocks.persist_for_passes(df, [features], persist)
     try:
         width = min(d, k + oversample)
-        src = blocks.prepare(frame, [features], d * width, partitions=parts)
+        src = blocks.prepare(passes.df, [features], d * width, partitions=passes.partitions)
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
         for _ in range(iterations):
             y = blocks.gram_times(src, features, d, q)       # one pass
@@ -97,7 +97,7 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         res.method = "subspace"
         return res
     finally:
-        frame.unpersist()
+        passes.release()
 
 
 def singular_values_frame(spark: SparkSession, res: SvdResult) -> DataFrame:

@@ -193,3 +193,14 @@ def test_vector_labels_equal_class_labels(emb):
     ea = ridge.misclassification(df, "features", "label", ra.weights).first()
     eb = ridge.misclassification(df, "features", "y", rb.weights, label_kind="vector").first()
     assert ea["errors"] == eb["errors"]
+
+
+def test_fits_reuse_and_keep_a_callers_persisted_frame(emb):
+    from rowmill.operators import kmeans
+    from rowmill.session import cached
+    mine = cached(emb.select("id", "label", "features").repartition(3))
+    mine.count()
+    kmeans.kmeans_fit(mine, "features", 3, 64, max_iter=2, order_by="id")
+    ridge.ridge_multitask_cg(mine, "features", "label", 1e-3, 64, 10, method="matrix_free", max_iter=3)
+    assert mine.storageLevel.useMemory or mine.storageLevel.useDisk    # still the caller's
+    mine.unpersist()
