@@ -23,8 +23,9 @@ from ..sources.matrix import partition_control
 
 
 def infer_dim(df: DataFrame, features: str = "features") -> int:
-    """Row length from the first row (reads one split). Every kernel
-    re-checks the length of every row it touches, in the same pass."""
+    """Row length from the first row (reads one split) when the caller does
+    not pass ``d``. Every kernel re-checks the length of every row it
+    touches, in the same pass."""
     row = df.select(F.size(features)).first()
     if row is None:
         raise ValueError("empty matrix")
@@ -40,8 +41,8 @@ class KMeansNmi:
 
 def kmeans_nmi(df: DataFrame, k: int, features: str = "features", label: str = "label",
                max_iter: int = 20, init: str = "first", order_by: str = "id",
-               epsilon: float = 1e-4, seed: int = 42) -> KMeansNmi:
-    d = infer_dim(df, features)
+               epsilon: float = 1e-4, seed: int = 42, d: int | None = None) -> KMeansNmi:
+    d = d or infer_dim(df, features)
     fit = kmeans.kmeans_fit(df, features, k, d, max_iter=max_iter, init=init,
                             order_by=order_by, epsilon=epsilon, seed=seed)
     keep = [c for c in (order_by, label) if c in df.columns]
@@ -59,9 +60,10 @@ class RidgeRun:
 
 def ridge_regression(df: DataFrame, gamma: float, features: str = "features",
                      label: str = "label", max_iter: int = 500, normalize: bool = True,
-                     num_splits: int | None = None, rel_tol: float | None = 1e-10) -> RidgeRun:
+                     num_splits: int | None = None, rel_tol: float | None = 1e-10,
+                     d: int | None = None) -> RidgeRun:
     spark = df.sparkSession
-    d = infer_dim(df, features)
+    d = d or infer_dim(df, features)
     sc = None
     data = df.select(label, features)
     if normalize:
@@ -83,11 +85,12 @@ def _hold(df: DataFrame, durable_features: bool) -> DataFrame:
 def rfm_regression(df: DataFrame, gamma: float, num_random: int,
                    features: str = "features", label: str = "label", sigma: float | None = None,
                    max_iter: int = 500, rng: str = "java48",
-                   rel_tol: float | None = 1e-10, durable_features: bool = False) -> RidgeRun:
+                   rel_tol: float | None = 1e-10, durable_features: bool = False,
+                   d: int | None = None) -> RidgeRun:
     """E2 with the random-feature step enabled; sigma defaults to the
     bandwidth estimate of the scaled features."""
     spark = df.sparkSession
-    d = infer_dim(df, features)
+    d = d or infer_dim(df, features)
     data, sc = stats.center_maxabs_scale(df.select(label, features), label, features, d)
     data = cached(data)
     try:
@@ -115,10 +118,11 @@ def rfm_classification(df: DataFrame, num_classes: int, num_random: int, gamma:
                        sigma: float, features: str = "features", label: str = "label",
                        max_iter: int = 500, rng: str = "java48",
                        rel_tol: float | None = 1e-10,
-                       durable_features: bool = False) -> RfmClassification:
+                       durable_features: bool = False,
+                       d: int | None = None) -> RfmClassification:
     """Kernel ridge classification: RFF map, one-hot targets (encoded inside
     the data pass), block CG, training misclassification."""
-    d = infer_dim(df, features)
+    d = d or infer_dim(df, features)
     mapped = _hold(feat.rbf_random_features(df, features, d, num_random, sigma,
                                             keep=[label], rng=rng), durable_features)
     try:
@@ -139,8 +143,9 @@ class SvdRun:
     error: DataFrame
 
 
-def svd_error(df: DataFrame, k: int, features: str = "features", method: str = "auto") -> SvdRun:
-    d = infer_dim(df, features)
+def svd_error(df: DataFrame, k: int, features: str = "features", method: str = "auto",
+              d: int | None = None) -> SvdRun:
+    d = d or infer_dim(df, features)
     data = cached(df.select(features))
     try:
         res = svd.truncated_svd(data, features, k, d, method=method)
@@ -188,7 +193,7 @@ def ridge_regression_libsvm(spark, path: str, num_features: int | None, gamma: f
 
     data = libsvm_src.read_libsvm(spark, path, num_features, label_cast="float_double")
     return ridge_regression(data, gamma, num_splits=num_splits, max_iter=max_iter,
-                            rel_tol=rel_tol)
+                            rel_tol=rel_tol, d=num_features)
 
 
 def rfm_classification_csv(spark, path: str, num_classes: int, num_random: int, gamma: float,
@@ -201,7 +206,7 @@ def rfm_classification_csv(spark, path: str, num_classes: int, num_random: int,
 
     data = csv_src.read_labeled_csv(spark, path, d=num_features, num_splits=num_splits)
     return rfm_classification(data, num_classes, num_random, gamma, sigma,
-                              max_iter=max_iter, rng=rng)
+                              max_iter=max_iter, rng=rng, d=num_features)
 
 
 __all__ = ["infer_dim", "kmeans_nmi", "ridge_regression", "rfm_regression",

@@ -374,7 +374,7 @@ def q_ridge_history(spark, sf):
 
 @register("pipeline_ridge_regression", O.cg_history_sql(O.li_scaled(), "lis", GAMMA_SCALED, 6))
 def q_pipeline_ridge(spark, sf):
-    run = pipelines.ridge_regression(li(spark, sf), GAMMA_SCALED)
+    run = pipelines.ridge_regression(li(spark, sf), GAMMA_SCALED, d=3)
     return run.history.select("iter", R("objective", 6).alias("objective"),
                               R("train_error", 6).alias("train_error"))
 
@@ -520,7 +520,8 @@ def q_nmi(spark, sf):
 @register("pipeline_kmeans_nmi", O.nmi_sql(_KM, _A, "label", "prediction"))
 def q_pipeline_kmeans(spark, sf):
     e = emb(spark, sf).withColumnRenamed("vec_id", "id")
-    run = pipelines.kmeans_nmi(e, K, max_iter=KM_ITERS, init="first", order_by="id", epsilon=0.0)
+    run = pipelines.kmeans_nmi(e, K, max_iter=KM_ITERS, init="first", order_by="id", epsilon=0.0,
+                               d=EMB_D)
     return _nmi_cols(run.score)
 
 
@@ -589,7 +590,7 @@ def q_svd_error(spark, sf):
 SELECT round(err, 5) AS err, round(fro_sq, 4) AS fro_sq, round(err / fro_sq, 10) AS relative_error,
        CAST(1 AS BIGINT) AS rank FROM s""")
 def q_pipeline_svd(spark, sf):
-    run = pipelines.svd_error(part2(spark, sf), 1)
+    run = pipelines.svd_error(part2(spark, sf), 1, d=2)
     return run.error.select(R("err", 5).alias("err"), R("fro_sq", 4).alias("fro_sq"),
                             R("relative_error", 10).alias("relative_error"), "rank")
 
@@ -659,7 +660,7 @@ def _rfm_regression_sql() -> str:
 
 @register("pipeline_rfm_regression", _rfm_regression_sql())
 def q_pipeline_rfm_regression(spark, sf):
-    run = pipelines.rfm_regression(li(spark, sf), GAMMA_SCALED, E2R_S)
+    run = pipelines.rfm_regression(li(spark, sf), GAMMA_SCALED, E2R_S, d=3)
     return run.weights.select("j", R("weight", 6).alias("weight"))
 
 
@@ -678,7 +679,7 @@ SELECT CAST(sum(CASE WHEN prediction <> label THEN 1 ELSE 0 END) AS BIGINT) AS e
 
 @register("pipeline_rfm_classification", _rfm_class_sql())
 def q_pipeline_rfm_class(spark, sf):
-    run = pipelines.rfm_classification(emb(spark, sf), K, E3_S, MT_GAMMA, RFF_SIGMA)
+    run = pipelines.rfm_classification(emb(spark, sf), K, E3_S, MT_GAMMA, RFF_SIGMA, d=EMB_D)
     return run.errors.select("errors", "n", R("rate", 10).alias("rate"))
 
 
@@ -732,6 +733,6 @@ def q_pipeline_svd_parquet(spark, sf):
                             F.col("features")[0].alias("c0"),
                             F.col("features")[1].alias("c1")).write.parquet(path)
     a = matrix.read_matrix(spark, path, ["c0", "c1"], id_col="row_id", num_splits=10)
-    run = pipelines.svd_error(a, 1)
+    run = pipelines.svd_error(a, 1, d=2)
     return run.error.select(R("err", 5).alias("err"), R("fro_sq", 4).alias("fro_sq"),
                             R("relative_error", 10).alias("relative_error"), "rank")
