@@ -3,6 +3,7 @@ generator (block jump-ahead, rejection rewinds, the cached gaussian) and the
 GEMM nearest-centre rule."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,3 +56,33 @@ def test_gemm_nearest_centre_equals_exact(seed, k, d, dup):
     a2, d2 = blocks._nearest_exact(x, c)
     assert np.array_equal(a1, a2)
     assert np.array_equal(d1, d2)
+
+
+def _nmi_np(u, v):
+    n = len(u)
+    cu, cv = np.unique(u, return_counts=True), np.unique(v, return_counts=True)
+    pairs, cuv = np.unique(np.stack([u, v], 1), axis=0, return_counts=True)
+    pu = dict(zip(cu[0], cu[1] / n))
+    pv = dict(zip(cv[0], cv[1] / n))
+    mi = sum(c / n * np.log((c / n) / (pu[a] * pv[b])) for (a, b), c in zip(pairs, cuv))
+    hu = -sum(p * np.log(p) for p in pu.values())
+    hv = -sum(p * np.log(p) for p in pv.values())
+    if len(pu) == 1 and len(pv) == 1:
+        return 1.0
+    if len(pu) == 1 or len(pv) == 1 or mi <= 0:
+        return 0.0
+    return 2 * mi / (hu + hv)
+
+
+@settings(max_examples=6, deadline=None)
+@given(u=st.lists(st.integers(0, 3), min_size=1, max_size=60), data=st.data())
+def test_nmi_matches_brute_force_and_is_invariant(spark, u, data):
+    from rowmill.operators import nmi
+    v = data.draw(st.lists(st.integers(0, 4), min_size=len(u), max_size=len(u)))
+    u, v = np.array(u), np.array(v)
+    df = spark.createDataFrame([(int(a), int(b), int((a * 7 + 3) % 11)) for a, b in zip(u, v)],
+                               "u int, v int, w int")
+    got = nmi.nmi(df, "u", "v").first()["nmi_arithmetic"]
+    assert got == pytest.approx(_nmi_np(u, v), abs=1e-12)
+    assert nmi.nmi(df, "v", "u").first()["nmi_arithmetic"] == pytest.approx(got, abs=1e-12)
+    assert nmi.nmi(df, "w", "v").first()["nmi_arithmetic"] == pytest.approx(got, abs=1e-12)
