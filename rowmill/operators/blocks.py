@@ -188,14 +188,31 @@ def persist_for_passes(df: DataFrame, columns: list, persist: bool = True) -> Pa
     return PassFrame(frame, parts, owned=True)
 
 
+def coalesce_target(spark) -> int | None:
+    """Map-task count to coalesce partial aggregates to: 4 x the cluster's
+    cores. Under dynamic allocation the registered cores are only those
+    present so far, so the configured maximum is used instead, and with no
+    maximum nothing is coalesced (None)."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    cores = sc.defaultParallelism
+    if conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        max_exec = conf.get("spark.dynamicAllocation.maxExecutors", None)
+        if not max_exec or not max_exec.isdigit() or int(max_exec) >= 2 ** 31 - 1:
+            return None
+        per = conf.get("spark.executor.cores", "1")
+        cores = max(cores, int(max_exec) * (int(per) if per.isdigit() else 1))
+    return 4 * max(1, cores)
+
+
 def prepare(df: DataFrame, columns: list, partial_values: int,
             partitions: int | None = -1) -> Prepared:
     """``partitions``: the frame's known partition count (from
     :func:`persist_for_passes`); -1 probes the plan."""
     src = df.select(*columns)
     parts = exchange_free_partitions(src) if partitions == -1 else partitions
-    target = 4 * max(1, df.sparkSession.sparkContext.defaultParallelism)
-    if parts is not None and partial_values >= 64 and parts > target:
+    target = coalesce_target(df.sparkSession)
+    if target is not None and parts is not None and partial_values >= 64 and parts > target:
         return Prepared(src.coalesce(target), target)
     return Prepared(src, parts)
 

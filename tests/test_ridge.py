@@ -204,3 +204,29 @@ def test_fits_reuse_and_keep_a_callers_persisted_frame(emb):
     ridge.ridge_multitask_cg(mine, "features", "label", 1e-3, 64, 10, method="matrix_free", max_iter=3)
     assert mine.storageLevel.useMemory or mine.storageLevel.useDisk    # still the caller's
     mine.unpersist()
+
+
+def test_coalesce_target_respects_dynamic_allocation():
+    from rowmill.operators import blocks
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Ctx:
+        def __init__(self, conf, par):
+            self._c, self.defaultParallelism = Conf(conf), par
+
+        def getConf(self):
+            return self._c
+
+    class Sess:
+        def __init__(self, conf, par):
+            self.sparkContext = Ctx(conf, par)
+
+    assert blocks.coalesce_target(Sess({}, 8)) == 32
+    dyn = {"spark.dynamicAllocation.enabled": "true"}
+    assert blocks.coalesce_target(Sess(dyn, 2)) is None             # unbounded: never coalesce
+    bounded = dict(dyn, **{"spark.dynamicAllocation.maxExecutors": "1000",
+                           "spark.executor.cores": "8"})
+    assert blocks.coalesce_target(Sess(bounded, 2)) == 32000        # not the 2 cores seen so far
