@@ -406,10 +406,10 @@ def gram_full_partials(df, features: str, d: int) -> DataFrame:
 # Matrix-free Gram products  X'X P  (P: d x k)
 # ---------------------------------------------------------------------------
 
-def gram_times_partials(df, features: str, d: int, p: np.ndarray) -> DataFrame:
+def gram_times_partials(df, features: str, d: int, p: np.ndarray, handle=None) -> DataFrame:
     """X'X P per partition, row-major d x k."""
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
-    handle = ship(_session(df), p)
+    handle = handle or ship(_session(df), p)
 
     def update(state, b):
         x = to_matrix(b.column(features), d, features)
@@ -422,8 +422,12 @@ def gram_times_partials(df, features: str, d: int, p: np.ndarray) -> DataFrame:
 def gram_times(df: "DataFrame | Prepared", features: str, d: int, p: np.ndarray) -> np.ndarray:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     src = df if isinstance(df, Prepared) else prepare(df, [features], p.size)
-    part = gram_times_partials(src, features, d, p)
-    return reduce_vector(part, p.size, src.partitions).reshape(p.shape)
+    handle = ship(_session(src), p)
+    try:
+        part = gram_times_partials(src, features, d, p, handle)
+        return reduce_vector(part, p.size, src.partitions).reshape(p.shape)
+    finally:
+        release(handle)          # one broadcast per iteration, not one per fit
 
 
 # ---------------------------------------------------------------------------
@@ -468,10 +472,10 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     return arg, np.einsum("ij,ij->i", diff, diff)
 
 
-def centroid_partials(df, features: str, d: int, centers: np.ndarray) -> DataFrame:
+def centroid_partials(df, features: str, d: int, centers: np.ndarray, handle=None) -> DataFrame:
     """Layout: [per-cluster sums (k x d) | counts (k) | cost]."""
     k = centers.shape[0]
-    handle = ship(_session(df), np.asarray(centers, dtype=np.float64))
+    handle = handle or ship(_session(df), np.asarray(centers, dtype=np.float64))
 
     def update(state, b):
         x = to_matrix(b.column(features), d, features)
@@ -495,5 +499,10 @@ def centroid_sums(df: "DataFrame | Prepared", features: str, d: int,
     k = centers.shape[0]
     length = k * d + k + 1
     src = df if isinstance(df, Prepared) else prepare(df, [features], length)
-    vec = reduce_vector(centroid_partials(src, features, d, centers), length, src.partitions)
+    handle = ship(_session(src), np.asarray(centers, dtype=np.float64))
+    try:
+        vec = reduce_vector(centroid_partials(src, features, d, centers, handle), length,
+                            src.partitions)
+    finally:
+        release(handle)
     return vec[: k * d].reshape(k, d), vec[k * d: k * d + k], float(vec[-1])

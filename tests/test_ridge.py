@@ -230,3 +230,13 @@ def test_coalesce_target_respects_dynamic_allocation():
     bounded = dict(dyn, **{"spark.dynamicAllocation.maxExecutors": "1000",
                            "spark.executor.cores": "8"})
     assert blocks.coalesce_target(Sess(bounded, 2)) == 32000        # not the 2 cores seen so far
+
+
+def test_broadcast_shipping_path_gives_same_fits(emb, lineitem, monkeypatch):
+    from rowmill.operators import blocks, kmeans
+    a = ridge.ridge_cg(lineitem, "features", "label", 0.1, 3, method="matrix_free").weights
+    ka = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=4, order_by="id").centers
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)       # every model array as a broadcast
+    b = ridge.ridge_cg(lineitem, "features", "label", 0.1, 3, method="matrix_free").weights
+    kb = kmeans.kmeans_fit(emb, "features", 4, 64, max_iter=4, order_by="id").centers
+    assert np.allclose(a, b, rtol=1e-12) and np.allclose(ka, kb, atol=1e-12)
