@@ -8,8 +8,10 @@ which is the local/test case.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,23 @@ def get_spark(master: str | None = None, app: str = "rowmill",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Arrow
+    kernels import it there whatever folder the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rowmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="rowmill-zip-"), "rowmill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in (f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, f)
+                z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._rowmill_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
@@ -85,4 +104,4 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-__all__ = ["get_spark", "checkpoint_root", "scratch_path", "durable", "cached"]
+__all__ = ["get_spark", "ship_package", "checkpoint_root", "scratch_path", "durable", "cached"]
