@@ -18,3 +18,19 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], chr(10)) AS k FROM words WHERE i + 12 <= n),
+least AS (SELECT k, min(doc_id) AS low FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (k) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hit),
+kept AS (
+  SELECT w.doc_id, w.i, w.w[w.i] AS word FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i),
+joined AS (SELECT doc_id, count(*) AS m, string_agg(word, ' ' ORDER BY i) AS t FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) AS BIGINT) - coalesce(j.m, 0) AS n_removed,
+       sha256(coalesce(j.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN joined j USING (doc_id)"""

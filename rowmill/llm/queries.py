@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import oracles
 from rowmill.llm.line_dedup import dedup_lines
+from rowmill.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,10 @@ def op3_line_dedup(spark, sf_dir):
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("row.doc_id", "n_lines", "n_dropped",
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(oracles.SUBSTRING_DEDUP)
+def op10_substring_dedup(spark, sf_dir):
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select("row.doc_id", "n_words", "n_removed",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
