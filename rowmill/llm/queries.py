@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import oracles
 from rowmill.llm.line_dedup import dedup_lines
+from rowmill.llm.minhash_dedup import near_duplicates, null_id
 from rowmill.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,10 @@ def op10_substring_dedup(spark, sf_dir):
     out = remove_repeats(documents(spark, sf_dir))
     return out.select("row.doc_id", "n_words", "n_removed",
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(oracles.NEAR_DUPLICATES)
+def op5_minhash_dedup(spark, sf_dir):
+    out = near_duplicates(documents(spark, sf_dir))
+    return out.select(null_id("id").alias("doc_id"), "n_shingles", null_id("component_id").alias("component_id"),
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
