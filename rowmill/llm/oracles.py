@@ -56,3 +56,28 @@ component AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id,
        coalesce(c.root, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN component c ON c.id = d.doc_id"""
+
+CONTAMINATION = r"""
+WITH split AS (
+  SELECT 0 AS bench, doc_id AS id, text FROM documents
+  UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS MATERIALIZED (
+  SELECT bench, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+phrases AS MATERIALIZED (
+  SELECT DISTINCT id AS item, least(len(w), 13) AS m, array_to_string(w[i:i + 12], ' ') AS k
+  FROM words, range(1, greatest(len(w) - 12, 1) + 1) r(i) WHERE bench = 1 AND len(w) > 0),
+lengths AS (SELECT DISTINCT m FROM phrases),
+found AS MATERIALIZED (
+  SELECT id, i, g.m, p.item
+  FROM (SELECT id, i, m, array_to_string(w[i:i + m - 1], ' ') AS k
+        FROM words, lengths, range(1, greatest(len(w) - m + 1, 0) + 1) r(i) WHERE bench = 0) g
+  JOIN phrases p ON p.k = g.k AND p.m = g.m),
+hit AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS j FROM found) GROUP BY id),
+item AS (
+  SELECT id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+  FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS s FROM found) GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
+       coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(w.w) AS contaminated
+FROM words w LEFT JOIN hit h USING (id) LEFT JOIN item t USING (id) WHERE w.bench = 0"""

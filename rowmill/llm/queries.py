@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.llm import oracles
+from rowmill.llm.decontaminate import contamination
 from rowmill.llm.line_dedup import dedup_lines
 from rowmill.llm.minhash_dedup import near_duplicates, null_id
 from rowmill.llm.substring_dedup import remove_repeats
@@ -48,3 +49,10 @@ def op5_minhash_dedup(spark, sf_dir):
     out = near_duplicates(documents(spark, sf_dir))
     return out.select(null_id("id").alias("doc_id"), "n_shingles", null_id("component_id").alias("component_id"),
                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query(oracles.CONTAMINATION)
+def op2_decontaminate(spark, sf_dir):
+    out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
