@@ -11,7 +11,9 @@ from rowmill.llm import oracles
 from rowmill.llm.decontaminate import contamination
 from rowmill.llm.line_dedup import dedup_lines
 from rowmill.llm.minhash_dedup import near_duplicates, null_id
+from rowmill.llm.packing import pack
 from rowmill.llm.substring_dedup import remove_repeats
+from rowmill.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +58,19 @@ def op2_decontaminate(spark, sf_dir):
     out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    out = pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("id", null_id("id")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    files = write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, files).withColumn("id", null_id("id")).withColumnRenamed("id", "doc_id")
