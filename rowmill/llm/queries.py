@@ -14,6 +14,7 @@ from rowmill.llm.minhash_dedup import near_duplicates, null_id
 from rowmill.llm.packing import pack
 from rowmill.llm.substring_dedup import remove_repeats
 from rowmill.llm.token_files import read_tokens, write_tokens
+from rowmill.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,10 @@ def op8_token_files(spark, sf_dir):
 
     files = write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_tokens(spark, files).withColumn("id", null_id("id")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    out = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("row.doc_id", (F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+                      "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
