@@ -43,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs).where("id = component_id").select("id").distinct()
-    return docs.withColumn("__key", key_of("doc_id")).join(kept, F.col("__key") == kept["id"], "left_semi").drop("__key")
+    return docs.alias("d").join(kept.alias("k"), key_of("d.doc_id") == F.col("k.id"), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
