@@ -12,6 +12,7 @@ from rowmill.llm.decontaminate import contamination
 from rowmill.llm.line_dedup import dedup_lines
 from rowmill.llm.minhash_dedup import near_duplicates, null_id
 from rowmill.llm.packing import pack
+from rowmill.llm.spotsigs import spot_fingerprints
 from rowmill.llm.substring_dedup import remove_repeats
 from rowmill.llm.token_files import read_tokens, write_tokens
 from rowmill.llm.toxicity import toxicity
@@ -82,3 +83,9 @@ def op4_toxicity(spark, sf_dir):
     out = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("row.doc_id", (F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op1_spotsigs(spark, sf_dir):
+    out = spot_fingerprints(documents(spark, sf_dir))
+    return out.withColumn("id", null_id("id")).withColumnRenamed("id", "doc_id")
