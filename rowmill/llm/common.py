@@ -30,9 +30,7 @@ def key_of(name: str) -> Column:
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, row): the row keeps all columns, whatever their names."""
-    cols = [docs[c] if docs.columns.count(c) == 1 else None for c in docs.columns]
-    if any(c is None for c in cols):
-        raise ValueError(f"duplicate column names in {docs.columns}")
+    """(id, text, row): the row keeps all other columns, whatever their names."""
+    cols = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return docs.select(key_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.struct(*cols).alias("row"))
