@@ -81,3 +81,37 @@ SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0)
        coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
        coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(w.w) AS contaminated
 FROM words w LEFT JOIN hit h USING (id) LEFT JOIN item t USING (id) WHERE w.bench = 0"""
+
+QUOTES = r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, i, string_split(text, chr(10))[i] AS line
+  FROM conversations, range(1, len(string_split(text, chr(10))) + 1) r(i)),
+marked AS (
+  SELECT conv_id, turn, i, line, regexp_extract(line, '^\s*((?:>\s?)+)', 0) AS mark FROM lines),
+parts AS (
+  SELECT conv_id, turn, i, length(mark) - length(replace(mark, '>', '')) AS level,
+         substr(line, length(mark) + 1) AS rest FROM marked),
+norm AS MATERIALIZED (
+  SELECT *, lower(trim(regexp_replace(rest, '\s+', ' ', 'g'))) AS k FROM parts),
+votes AS (
+  SELECT q.conv_id, q.turn, q.level, o.turn AS origin, count(DISTINCT q.k) AS n
+  FROM norm q JOIN norm o ON o.conv_id = q.conv_id AND o.k = q.k AND o.level = 0 AND o.turn < q.turn
+  WHERE q.level > 0 AND q.k <> '' GROUP BY ALL),
+parents AS MATERIALIZED (
+  SELECT conv_id, turn, origin AS parent_turn FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1),
+paths AS (
+  SELECT c.conv_id, c.turn, [c.turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM conversations) c
+  ANTI JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn
+  UNION ALL
+  SELECT p.conv_id, p.turn, list_append(a.path, p.turn) FROM paths a
+  JOIN parents p ON p.conv_id = a.conv_id AND p.parent_turn = a.turn),
+own AS (
+  SELECT conv_id, turn, coalesce(max(level) FILTER (k <> ''), 0) AS quote_depth,
+         coalesce(trim(string_agg(rest, chr(10) ORDER BY i) FILTER (level = 0), chr(10)), '') AS own_text
+  FROM norm GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, c.role, CAST(coalesce(o.quote_depth, 0) AS BIGINT) AS quote_depth, p.parent_turn,
+       h.path[1] AS thread_turn, CAST(len(h.path) AS BIGINT) AS reply_level,
+       array_to_string(h.path, '/') AS reply_path, sha256(coalesce(o.own_text, '')) AS own_sha256
+FROM conversations c LEFT JOIN own o USING (conv_id, turn) LEFT JOIN parents p USING (conv_id, turn)
+LEFT JOIN paths h ON h.conv_id = c.conv_id AND h.turn = c.turn"""

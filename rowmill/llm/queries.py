@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import oracles
 from rowmill.llm.decontaminate import contamination
+from rowmill.llm.html_extract import main_text
 from rowmill.llm.line_dedup import dedup_lines
 from rowmill.llm.minhash_dedup import near_duplicates, null_id
 from rowmill.llm.packing import pack
+from rowmill.llm.quotes import link_quotes
 from rowmill.llm.spotsigs import spot_fingerprints
 from rowmill.llm.substring_dedup import remove_repeats
 from rowmill.llm.token_files import read_tokens, write_tokens
@@ -89,3 +91,19 @@ def op4_toxicity(spark, sf_dir):
 def op1_spotsigs(spark, sf_dir):
     out = spot_fingerprints(documents(spark, sf_dir))
     return out.withColumn("id", null_id("id")).withColumnRenamed("id", "doc_id")
+
+
+@query(oracles.QUOTES)
+def op6_quote_links(spark, sf_dir):
+    out = link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    return out.select("row.conv_id", "row.turn", "row.role", F.col("quote_depth").cast("long").alias("quote_depth"),
+                      "parent_turn", F.element_at("path", 1).alias("thread_turn"),
+                      F.size("path").cast("long").alias("reply_level"), F.array_join("path", "/").alias("reply_path"),
+                      F.sha2(F.coalesce("own_text", F.lit("")).cast("binary"), 256).alias("own_sha256"))
+
+
+@query()
+def op9_html_extract(spark, sf_dir):
+    out = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return out.select("row.page_id", "row.url", F.col("main_text").alias("text"),
+                      F.length("main_text").cast("long").alias("n_chars"))
