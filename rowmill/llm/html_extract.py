@@ -3,8 +3,8 @@
 1. Every page is parsed once for votes. Its containers (body, main, article,
    section, div, table cells, ...) are scored by the characters of their clean
    text, links counted against them; from the body the walk goes down while one
-   child holds at least ``SHARE`` of the score, and stops at an article or main
-   element. The generalised path of the place it ends at (tags with classes,
+   child holds at least ``SHARE`` of the score, and stops at an article, or
+   at a main element without one. The generalised path of the place it ends at (tags with classes,
    digits as N) gets the score as its vote.
 2. Votes are summed per host and path in Spark (partial sums first), and each
    host's best path wins.
@@ -175,10 +175,12 @@ def best_container(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> int
         if nodes[k].parent >= 0:
             nodes[nodes[k].parent].total += nodes[k].total
     at = 0
-    while nodes[at].tag not in ("article", "main"):
+    while nodes[at].tag != "article":
         best = max(nodes[at].children, key=lambda c: nodes[c].total, default=None)
         if best is None or nodes[best].total < SHARE * nodes[at].total or not nodes[best].total:
             break
+        if nodes[at].tag == "main" and nodes[best].tag != "article":
+            break
         at = best
     return at
 
