@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 # Arrays larger than this many bytes travel as a broadcast variable rather
 # than inside the pickled task closure.
 BROADCAST_BYTES = 1 << 20
+# Model arrays beyond this size are refused: every executor holds a copy.
+MAX_BROADCAST_BYTES = 2 << 30
 
 
 class _Inline:
@@ -45,6 +47,9 @@ class _Inline:
 
 def ship(spark, array: np.ndarray):
     """Make a driver-side array available to tasks."""
+    if array.nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError(f"a model array of {array.nbytes} bytes is over the broadcast bound of "
+                         f"{MAX_BROADCAST_BYTES}; use fewer features, outputs or iterates at once")
     if array.nbytes > BROADCAST_BYTES:
         return spark.sparkContext.broadcast(array)
     return _Inline(array)

@@ -90,7 +90,7 @@ def _ml_kmeans(df, features, k, max_iter, init, epsilon, seed) -> KMeansResult:
                    featuresCol="_v").fit(vec)
     centers = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     summary = model.summary
-    return KMeansResult(centers, [summary.trainingCost], summary.numIter, True)
+    return KMeansResult(centers, [summary.trainingCost], summary.numIter, summary.numIter < max_iter)
 
 
 def assign(df: DataFrame, features: str, centers, keep: list[str] | None = None,

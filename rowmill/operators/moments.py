@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from . import blocks
 from .blocks import Moments
 
@@ -47,8 +48,7 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
         parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(F.size(x)).alias("d_min"),
-            F.max(F.size(x)).alias("d_max")]
+    aggs = [F.count(F.lit(1)).alias("n"), _bad_rows(features, d, label).alias("bad_rows")]
     for i in range(d):
         for j in range(i, d):
             aggs.append(F.sum(x[i] * x[j]).alias(f"xx_{i}_{j}"))
@@ -62,9 +62,8 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
             for i in range(d):
                 aggs.append(F.sum(x[i] * yc).alias(f"xy_{i}_{c}"))
     row = df.agg(*aggs).first()
-    if row["n"] and (row["d_min"] != d or row["d_max"] != d):
-        raise ValueError(f"{features}: rows of unequal length, expected {d}, "
-                         f"found {row['d_min']}..{row['d_max']}")
+    if row["bad_rows"]:
+        raise ValueError(f"{row['bad_rows']} rows are null, of a length other than {d}, or have a null element or label")
     if label is not None and label_kind == "class" and row["bad"]:
         raise ValueError(f"class id out of range [0,{k}) in {row['bad']} rows")
     xx = np.zeros((d, d))
@@ -78,14 +77,30 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
     return Moments(n=float(row["n"]), xx=xx, xy=xy, yy=yy)
 
 
+def _bad_rows(features: str, d: int, label: str | None = None):
+    """Rows that the Arrow path refuses, counted in the same scan."""
+    ok = V.is_row(features, d)
+    if label is not None:
+        ok = ok & F.col(label).isNotNull()
+    return F.coalesce(F.sum(F.when(ok, 0).otherwise(1)), F.lit(0))
+
+
+def _checked(row: DataFrame, d: int) -> DataFrame:
+    """The aggregate row, or a failure if it counted bad rows."""
+    first = row.columns[0]
+    return row.withColumn(first, F.when(F.col("bad_rows") == 0, F.col(first)).otherwise(
+        F.raise_error(F.lit(f"rows are null, of a length other than {d}, or have a null element or label"))))
+
+
 def gram_matrix(df: DataFrame, features: str, d: int, method: str = "auto") -> DataFrame:
     """Full X'X in long form ``(i, j, g)``, lazily (no driver round trip)."""
     if _pick(method, d) == "arrow":
         cells = blocks.flat_values(blocks.gram_full_partials(df, features, d), d * d)
-        return cells.select((F.col("idx") / d).cast("long").alias("i"),
+        return cells.select(F.expr(f"idx div {d}").alias("i"),
                             (F.col("idx") % d).cast("long").alias("j"), F.col("v").alias("g"))
     x = F.col(features)
-    row = df.agg(*[F.sum(x[i] * x[j]).alias(f"g_{i}_{j}") for i in range(d) for j in range(i, d)])
+    row = _checked(df.agg(*[F.sum(x[i] * x[j]).alias(f"g_{i}_{j}") for i in range(d) for j in range(i, d)],
+                          _bad_rows(features, d).alias("bad_rows")), d)
     cells = []
     for i in range(d):
         for j in range(d):
@@ -105,7 +120,8 @@ def cross_moment(df: DataFrame, features: str, label: str, d: int,
         cells = blocks.flat_values(parts, blocks.normal_equation_length(d, 1, True, False))
         return cells.filter(F.col("idx") < d).select(F.col("idx").alias("j"), F.col("v").alias("xy"))
     x, y = F.col(features), F.col(label).cast("double")
-    row = df.agg(*[F.sum(x[j] * y).alias(f"xy{j}") for j in range(d)])
+    row = _checked(df.agg(*[F.sum(x[j] * y).alias(f"xy{j}") for j in range(d)],
+                          _bad_rows(features, d, label).alias("bad_rows")), d)
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(j).cast("long").alias("j"), F.col(f"xy{j}").alias("xy"))
         for j in range(d)])).alias("c")).select("c.*")

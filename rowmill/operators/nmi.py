@@ -1,9 +1,11 @@
 """Normalized mutual information of two labelings (clustering score).
 
 Plan: the contingency table ``groupBy(u, v).count()`` (partial aggregation
-map-side, so a dominant label costs nothing extra), marginals by window
-over the contingency rows, and one final aggregate. With
-N = Σ n_uv, S = Σ n_uv ln n_uv, Su = Σ n_uv ln n_u, Sv = Σ n_uv ln n_v:
+map-side, so a dominant label costs nothing extra), both marginals by a
+second partial aggregation of its rows, and one final aggregate over the
+three count lists; no window or sort, so one label against very many
+predictions is summed map-side too. With
+N = Σ n_uv, S = Σ n_uv ln n_uv, Su = Σ n_u ln n_u, Sv = Σ n_v ln n_v:
 
     MI = (S - Su - Sv)/N + ln N,  H_u = ln N - Su/N,  H_v = ln N - Sv/N
 
@@ -13,7 +15,7 @@ Both normalisers are reported: geometric MI/sqrt(H_u H_v) and arithmetic
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,18 +25,18 @@ def contingency(df: DataFrame, u: str, v: str) -> DataFrame:
 
 def nmi(df: DataFrame, u: str = "label", v: str = "prediction") -> DataFrame:
     cont = contingency(df, u, v)
-    cont = cont.select(
-        "n_uv",
-        F.sum("n_uv").over(Window.partitionBy("u")).alias("n_u"),
-        F.sum("n_uv").over(Window.partitionBy("v")).alias("n_v"))
+    counts = (cont.select(F.lit("uv").alias("of"), F.col("n_uv").alias("c"))
+              .union(cont.groupBy("u").agg(F.sum("n_uv").alias("c")).select(F.lit("u"), "c"))
+              .union(cont.groupBy("v").agg(F.sum("n_uv").alias("c")).select(F.lit("v"), "c")))
     ln = F.log
-    agg = cont.agg(
-        F.sum("n_uv").cast("double").alias("N"),
-        F.sum(F.col("n_uv") * ln("n_uv")).alias("S"),
-        F.sum(F.col("n_uv") * ln("n_u")).alias("Su"),
-        F.sum(F.col("n_uv") * ln("n_v")).alias("Sv"),
-        F.max("n_u").alias("max_u"),
-        F.max("n_v").alias("max_v"))
+    of, term = F.col("of"), F.col("c") * ln("c")
+    agg = counts.agg(
+        F.sum(F.when(of == "uv", F.col("c"))).cast("double").alias("N"),
+        F.sum(F.when(of == "uv", term)).alias("S"),
+        F.sum(F.when(of == "u", term)).alias("Su"),
+        F.sum(F.when(of == "v", term)).alias("Sv"),
+        F.max(F.when(of == "u", F.col("c"))).alias("max_u"),
+        F.max(F.when(of == "v", F.col("c"))).alias("max_v"))
     mi = (F.col("S") - F.col("Su") - F.col("Sv")) / F.col("N") + ln("N")
     hu = ln("N") - F.col("Su") / F.col("N")
     hv = ln("N") - F.col("Sv") / F.col("N")

@@ -7,12 +7,12 @@ Physical plan:
 
 * ``gram`` (d up to GRAM_MAX_D): one distributed pass collects X'X, X'Y,
   Y'Y and n (model-sized); all CG iterations then run on the driver with
-  no further jobs. Objective and training error of an iterate come from
-  the same moments: ||Xw - y||² = w'X'Xw - 2w'X'y + y'y.
+  no further jobs.
 * ``matrix_free`` (wide d): the frame is persisted and every iteration is
-  one job computing X'X P for the d×k direction block P. The training
-  error uses X'X w, accumulated from the per-iteration products, so
-  recording history costs no extra pass.
+  one job computing X'X P for the d×k direction block P.
+
+The training errors of all recorded iterates are summed from row residuals in
+one pass after the last iteration.
 
 Driver state is O(d·k). Stop rules: the absolute test of the original
 (r·r < 1e-18·d single-output, Σ r_c·r_c < 1e-8 multi-output) plus a
@@ -45,7 +45,8 @@ def linear_score(df: DataFrame, features: str, w, keep: list[str] | None = None)
 
 
 def _residual_sq(features: str, label: str, w) -> F.Column:
-    r = V.dot_const(features, w) - F.col(label).cast("double")
+    y = V.required(F.col(label).cast("double"), None, "label is null")
+    r = V.dot_const(features, w) - y
     return r * r
 
 
@@ -60,16 +61,25 @@ def ridge_objective(df: DataFrame, features: str, label: str, w, gamma: float) -
 
 
 def ridge_gradient(df: DataFrame, features: str, label: str, w, gamma: float) -> DataFrame:
-    """Unnormalised gradient g = X'(Xw - y) + nγw as ``(j, grad)``."""
+    """Unnormalised gradient g = X'(Xw - y) + nγw as ``(j, grad, train_error,
+    objective)``: the error and objective at w come from the same pass and are
+    repeated on each row."""
     w = [float(v) for v in w]
     d = len(w)
-    res = V.dot_const(features, w) - F.col(label).cast("double")
-    x = F.col(features)
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[j] * res).alias(f"g{j}") for j in range(d)])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(j).cast("long").alias("j"),
-                 (F.col(f"g{j}") + F.col("n") * F.lit(gamma * w[j])).alias("grad"))
-        for j in range(d)])).alias("c")).select("c.*")
+    res = V.dot_const(features, w) - V.required(F.col(label).cast("double"), None, "label is null")
+    src = df.select(F.col(features).alias("x"), res.alias("res"))
+    x = F.col("x")
+    row = src.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("res") * F.col("res")).alias("sse"),
+                  *[F.sum(x[j] * F.col("res")).alias(f"g{j}") for j in range(d)])
+    penalty = F.col("n") * F.lit(gamma * float(np.dot(w, w)))
+    return row.select(
+        F.explode(F.array(*[
+            F.struct(F.lit(j).cast("long").alias("j"),
+                     (F.col(f"g{j}") + F.col("n") * F.lit(gamma * w[j])).alias("grad"))
+            for j in range(d)])).alias("c"),
+        (F.col("sse") / F.col("n")).alias("train_error"),
+        ((F.col("sse") + penalty) / (F.lit(2.0) * F.col("n"))).alias("objective")
+    ).select("c.*", "train_error", "objective")
 
 
 def linear_mse(df: DataFrame, features: str, label: str, w) -> DataFrame:
@@ -123,7 +133,8 @@ def misclassification(df: DataFrame, features: str, label: str, W,
     W = np.asarray(W, dtype=np.float64)
     if W.size <= SCORE_EXPR_TERMS:
         pred = V.argmax(class_scores(features, W))
-        truth = F.col(label).cast("int") if label_kind == "class" else V.argmax(label)
+        truth = (V.required(F.col(label).cast("int"), None, "label is null") if label_kind == "class"
+                 else V.argmax(label))
         agg = df.agg(F.sum(F.when(pred != truth, 1).otherwise(0)).cast("long").alias("errors"),
                      F.count(F.lit(1)).alias("n"))
     else:
@@ -159,6 +170,7 @@ class RidgeResult:
     converged: bool = False
     method: str = "gram"
     elapsed: list = field(default_factory=list)   # seconds since training start, per history row
+    residuals: list = field(default_factory=list)  # multi-output: r_c·r_c of every output, per history row
 
 
 class _GramOperator:
@@ -201,6 +213,36 @@ def _cross_only(df, features, d, label, k, label_kind):
     return blocks.collect_moments(parts, d, k, with_xx=False)
 
 
+EVALUATE_BYTES = 32 << 20      # iterates shipped to one evaluation pass
+
+
+def residual_sums(df: DataFrame, features: str, label: str, d: int, iterates: np.ndarray) -> np.ndarray:
+    """||X w - y||² for every column w of ``iterates`` (d x h), summed over row
+    residuals: no digits are lost to cancellation. One pass for all columns, or
+    a pass per ``EVALUATE_BYTES`` of them."""
+    step = max(1, EVALUATE_BYTES // (8 * d))
+    out = []
+    for a in range(0, iterates.shape[1], step):
+        w = iterates[:, a:a + step]
+        h = w.shape[1]
+        handle = blocks.ship(df.sparkSession, w)
+
+        def update(state, b, handle=handle):
+            x = blocks.to_matrix(b.column(features), d, features)
+            y = blocks.to_vector(b.column(label), label)
+            r = x @ handle.value - y[:, None]
+            part = np.einsum("nh,nh->h", r, r)
+            return part if state is None else state + part
+
+        cells = blocks.partial_sums(df, [features, label], update, lambda st: st, h).collect()
+        sums = np.zeros(h)
+        for c in cells:
+            sums[c["idx"]] = c["v"]
+        blocks.release(handle)
+        out.append(sums)
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
              max_iter: int = 500, rel_tol: float | None = 1e-10,
              method: str = "auto", record_every: int = 2, persist: bool = True) -> RidgeResult:
@@ -216,10 +258,8 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
         n = m.n
         elapsed = []
         b = m.xy[:, 0]
-        yy = float(m.yy[0])
         ng = n * gamma
         w = np.zeros(d)
-        xxw = np.zeros(d)
         r = b.copy()                 # b - ng*w - X'X w with w = 0
         p = r.copy()
         rs = float(r @ r)
@@ -234,12 +274,10 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
             pap = float(p @ ap)
             alpha = rs / pap if pap != 0.0 else 0.0
             w = w + alpha * p
-            xxw = xxw + alpha * xxp
             r = r - alpha * ap
             rs_new = float(r @ r)
             if t % record_every == 0:
-                sse = max(float(w @ xxw) - 2.0 * float(w @ b) + yy, 0.0)
-                hist.append((t, (sse + ng * float(w @ w)) / (2.0 * n), sse / n))
+                hist.append((t, w))
                 elapsed.append(time.perf_counter() - t0)
             if rs_new < tol_abs or (rel_tol is not None and rs_new <= rel_tol * rel_tol * rs0):
                 converged = True
@@ -247,6 +285,10 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
             beta = rs_new / rs if rs != 0.0 else 0.0
             p = r + beta * p
             rs = rs_new
+        sse = residual_sums(frame.df if frame is not None else df, features, label, d,
+                            np.array([v for _, v in hist]).T) if n and hist else np.zeros(len(hist))
+        hist = [(t, (s + ng * float(v @ v)) / (2.0 * n), s / n) if n else (t, 0.0, 0.0)
+                for (t, v), s in zip(hist, sse.tolist())]
         return RidgeResult(w, hist, int(n), it, converged, method, elapsed)
     finally:
         if frame is not None:
@@ -275,7 +317,7 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
         P = R.copy()
         rs = (R * R).sum(axis=0)
         rs0 = float(rs.sum())
-        hist = []
+        hist, residuals = [], []
         it, converged = 0, False
         for t in range(max_iter):
             it = t + 1
@@ -287,6 +329,7 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
             rs_new = (R * R).sum(axis=0)
             total = float(rs_new.sum())
             hist.append((t, total))
+            residuals.append(rs_new.copy())
             elapsed.append(time.perf_counter() - t0)
             if total < tol or (rel_tol is not None and total <= rel_tol * rel_tol * rs0):
                 converged = True
@@ -294,7 +337,7 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
             beta = np.divide(rs_new, rs, out=np.zeros(k), where=rs != 0.0)
             P = R + beta * P
             rs = rs_new
-        return RidgeResult(W, hist, int(n), it, converged, method, elapsed)
+        return RidgeResult(W, hist, int(n), it, converged, method, elapsed, residuals)
     finally:
         if frame is not None:
             frame.release()
@@ -318,12 +361,23 @@ def history_report(spark: SparkSession, res: RidgeResult) -> DataFrame:
     """Training history with elapsed seconds, for display (``.show()``):
     ``(iter, objective, train_error, elapsed_sec)``; timings are not part of
     any value-checked output."""
+    if res.residuals:
+        return spark.createDataFrame(
+            [(int(t), float(v), float(s)) for (t, v), s in zip(res.history, res.elapsed)],
+            "iter long, residual_sq double, elapsed_sec double")
     rows = [(int(t), float(o), float(e), float(s))
             for (t, o, e), s in zip(res.history, res.elapsed)]
     return spark.createDataFrame(rows, "iter long, objective double, train_error double, "
                                        "elapsed_sec double")
 
 
+def residual_frame(spark: SparkSession, res: RidgeResult) -> DataFrame:
+    """Residual of every output at every iteration: ``(iter, c, rs)``."""
+    return spark.createDataFrame(
+        [(int(t), c, float(v)) for (t, _), rs in zip(res.history, res.residuals) for c, v in enumerate(rs)],
+        "iter long, c long, rs double")
+
+
 def history_frame(spark: SparkSession, hist: list, multi: bool = False) -> DataFrame:
     if multi:
         return spark.createDataFrame([(int(t), float(v)) for t, v in hist],

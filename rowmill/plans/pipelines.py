@@ -96,8 +96,9 @@ def rfm_regression(df: DataFrame, gamma: float, num_random: int,
     try:
         if sigma is None:
             sigma = stats.bandwidth_value(data, features, d)
-        mapped = _hold(feat.rbf_random_features(data, features, d, num_random, sigma,
-                                                keep=[label], rng=rng), durable_features)
+        mapped = feat.rbf_random_features(data, features, d, num_random, sigma, keep=[label], rng=rng)
+        if durable_features or num_random > ridge.GRAM_MAX_D:     # the Gram fit reads it once
+            mapped = _hold(mapped, durable_features)
         res = ridge.ridge_cg(mapped, features, label, gamma, num_random,
                              max_iter=max_iter, rel_tol=rel_tol)
         mapped.unpersist()

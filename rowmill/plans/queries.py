@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import features as feat
 from ..operators import kmeans, moments, nmi, ridge, stats, svd
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import csv as csv_src
 from ..sources import libsvm, matrix
 from . import oracle as O
@@ -51,7 +51,11 @@ E2R_S = 3                         # RFF width of the RFF regression pipeline
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf):
+            ship_package(spark)              # Arrow kernels import this package on the executors
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn
@@ -171,8 +175,10 @@ def q_csv_roundtrip(spark, sf):
 @register("partition_control", f"""
 WITH {O.LI} SELECT l_orderkey, l_linenumber, x0, x1, x2, y AS label FROM li""")
 def q_partition_control(spark, sf):
-    df = matrix.partition_control(li(spark, sf), 13, coalesce=False)
-    df = matrix.partition_control(df, 3, coalesce=True)
+    rows = li(spark, sf)
+    n = rows.rdd.getNumPartitions()                    # counts follow the input
+    df = matrix.partition_control(rows, 2 * n, coalesce=False)
+    df = matrix.partition_control(df, n, coalesce=True)
     return df.select("l_orderkey", "l_linenumber", F.col("features")[0].alias("x0"),
                      F.col("features")[1].alias("x1"), F.col("features")[2].alias("x2"), "label")
 
@@ -337,13 +343,17 @@ def q_ridge_objective(spark, sf):
 
 @register("ridge_gradient", f"""
 WITH {O.LI}, s AS (SELECT count(*) AS n, sum(x0 * ({_SCORE_SQL} - y)) AS g0,
-  sum(x1 * ({_SCORE_SQL} - y)) AS g1, sum(x2 * ({_SCORE_SQL} - y)) AS g2 FROM li)
-SELECT CAST(0 AS BIGINT) AS j, round(g0 + n * {O.lit(GAMMA_RAW * W_LIN[0])}, 3) AS grad FROM s
+  sum(x1 * ({_SCORE_SQL} - y)) AS g1, sum(x2 * ({_SCORE_SQL} - y)) AS g2,
+  sum(({_SCORE_SQL} - y) * ({_SCORE_SQL} - y)) AS sse FROM li),
+g AS (SELECT CAST(0 AS BIGINT) AS j, round(g0 + n * {O.lit(GAMMA_RAW * W_LIN[0])}, 3) AS grad FROM s
 UNION ALL SELECT 1, round(g1 + n * {O.lit(GAMMA_RAW * W_LIN[1])}, 3) FROM s
-UNION ALL SELECT 2, round(g2 + n * {O.lit(GAMMA_RAW * W_LIN[2])}, 3) FROM s""")
+UNION ALL SELECT 2, round(g2 + n * {O.lit(GAMMA_RAW * W_LIN[2])}, 3) FROM s)
+SELECT j, grad, round(sse / n, 8) AS train_error,
+  round((sse + n * {O.lit(GAMMA_RAW * sum(v * v for v in W_LIN))}) / (2 * n), 8) AS objective FROM g, s""")
 def q_ridge_gradient(spark, sf):
     out = ridge.ridge_gradient(li(spark, sf), "features", "label", W_LIN, GAMMA_RAW)
-    return out.select("j", R("grad", 3).alias("grad"))
+    return out.select("j", R("grad", 3).alias("grad"), R("train_error", 8).alias("train_error"),
+                      R("objective", 8).alias("objective"))
 
 
 @register("linear_mse", f"""
@@ -707,7 +717,7 @@ def q_pipeline_ridge_libsvm(spark, sf):
     """lineitem -> libsvm files -> label via float -> centre/scale -> CG."""
     path = scratch_path(spark, "e2-libsvm")
     libsvm.write_libsvm(li(spark, sf), "label", "features", path)
-    run = pipelines.ridge_regression_libsvm(spark, path, 3, GAMMA_SCALED, num_splits=8)
+    run = pipelines.ridge_regression_libsvm(spark, path, 3, GAMMA_SCALED)
     return run.history.select("iter", R("objective", 6).alias("objective"),
                               R("train_error", 6).alias("train_error"))
 
@@ -718,7 +728,7 @@ def q_pipeline_rfm_class_csv(spark, sf):
     path = scratch_path(spark, "e3-csv")
     csv_src.write_labeled_csv(emb(spark, sf), path, EMB_D)
     run = pipelines.rfm_classification_csv(spark, path, K, E3_S, MT_GAMMA, RFF_SIGMA,
-                                           num_features=EMB_D, num_splits=4)
+                                           num_features=EMB_D)
     return run.errors.select("errors", "n", R("rate", 10).alias("rate"))
 
 
@@ -732,7 +742,7 @@ def q_pipeline_svd_parquet(spark, sf):
     part2(spark, sf).select(F.col("p_partkey").alias("row_id"),
                             F.col("features")[0].alias("c0"),
                             F.col("features")[1].alias("c1")).write.parquet(path)
-    a = matrix.read_matrix(spark, path, ["c0", "c1"], id_col="row_id", num_splits=10)
+    a = matrix.read_matrix(spark, path, ["c0", "c1"], id_col="row_id")
     run = pipelines.svd_error(a, 1, d=2)
     return run.error.select(R("err", 5).alias("err"), R("fro_sq", 4).alias("fro_sq"),
                             R("relative_error", 10).alias("relative_error"), "rank")

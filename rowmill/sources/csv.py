@@ -15,10 +15,11 @@ def read_labeled_csv(spark: SparkSession, path: str, d: int | None = None,
     """``(label int, features array<double>)`` with label = class - 1.
 
     With ``d`` (feature count) an explicit schema is used; without it the
-    columns are read as text and the width comes from the file."""
+    columns are read as text and the width comes from the file. Either way a
+    malformed or missing number and a line of another width fail the query."""
     if d is not None:
         schema = ", ".join(["c0 double"] + [f"c{j + 1} double" for j in range(d)])
-        raw = spark.read.schema(schema).option("header", "false").csv(path)
+        raw = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST").csv(path)
         cols = [F.col(f"c{j + 1}") for j in range(d)]
         first = F.col("c0")
     else:
@@ -26,8 +27,10 @@ def read_labeled_csv(spark: SparkSession, path: str, d: int | None = None,
         first = F.col(raw.columns[0]).cast("double")
         cols = [F.col(c).cast("double") for c in raw.columns[1:]]
     raw = partition_control(raw, num_splits, coalesce)
-    return raw.select(V.class_shift(first.cast("double")).alias("label"),
-                      F.array(*cols).alias("features"))
+    first = V.required(first.cast("double"), None, "missing class in a CSV line")
+    return raw.select(V.class_shift(first).alias("label"),
+                      V.required(F.array(*cols), V.is_row(F.array(*cols), len(cols)),
+                                 "missing number in a CSV line").alias("features"))
 
 
 def write_labeled_csv(df: DataFrame, path: str, d: int, label: str = "label",

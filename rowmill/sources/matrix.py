@@ -79,7 +79,8 @@ def read_matrix_csv(spark: SparkSession, path: str, d: int, with_id: bool = True
     """Inverse of :func:`write_matrix_csv` with an explicit schema (no
     inference pass)."""
     fields = (["id long"] if with_id else []) + [f"c{j} double" for j in range(d)]
-    raw = spark.read.schema(", ".join(fields)).option("header", "false").csv(path)
+    raw = (spark.read.schema(", ".join(fields)).option("header", "false").option("mode", "FAILFAST")
+           .csv(path))
     cols = ([F.col("id")] if with_id else []) + [
         F.array(*[F.col(f"c{j}") for j in range(d)]).alias("features")]
     return raw.select(*cols)
@@ -95,6 +96,10 @@ def write_label_pred(df: DataFrame, path: str, label: str = "label",
 
 
 def read_label_pred(spark: SparkSession, path: str) -> DataFrame:
+    """Reads pairs per line, or any number of pairs on one line (``l p l p ...``).
+    A line with an odd number of values fails the query."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
-    return spark.read.text(path).select(parts[0].cast("int").alias("label"),
-                                        parts[1].cast("int").alias("prediction"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("v"))
+    whole = F.when(F.size("v") % 2 == 0, F.size("v")).otherwise(F.raise_error(F.lit("odd number of values in a line")))
+    return lines.select(F.explode(F.sequence(F.lit(0), whole - 2, F.lit(2))).alias("i"), "v").select(
+        F.col("v")[F.col("i")].cast("int").alias("label"), F.col("v")[F.col("i") + 1].cast("int").alias("prediction"))

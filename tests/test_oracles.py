@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from rowmill.plans.queries import ORACLES, QUERIES
 from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -30,9 +31,9 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_declared():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only <= {"ridge_multitask_history", "kmeans_fit_parallel_init"}
-    assert set(E.oracle_sql()) <= set(E.queries())
+    rows_only = set(QUERIES) - set(ORACLES)
+    assert rows_only <= {"kmeans_fit_parallel_init"}
+    assert set(ORACLES) <= set(QUERIES) <= set(E.queries())
 
 
 def test_entry(spark):
@@ -41,7 +42,7 @@ def test_entry(spark):
     assert df.count() >= 1
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     cols = df.columns

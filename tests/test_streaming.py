@@ -6,7 +6,6 @@ import numpy as np
 from rowmill.operators import features as feat
 from rowmill.operators import kmeans, ridge
 from rowmill.session import scratch_path
-from rowmill.streaming import scoring
 
 
 def _drain(spark, stream_df, key="id"):
@@ -34,15 +33,15 @@ def test_stream_scoring_equals_batch(spark, emb):
     stream = spark.readStream.schema(base.schema).parquet(path)
 
     centers = np.array([r["features"] for r in emb.orderBy("id").limit(4).collect()])
-    assert _drain(spark, scoring.assign_clusters(stream, "features", centers, keep=["id"])) == \
+    assert _drain(spark, kmeans.assign(stream, "features", centers, keep=["id"])) == \
         _batch(kmeans.assign(base, "features", centers, keep=["id"]))
 
     w = np.linspace(-1, 1, 64)
-    assert _drain(spark, scoring.score_linear(stream, "features", w, keep=["id"])) == \
+    assert _drain(spark, ridge.linear_score(stream, "features", w, keep=["id"])) == \
         _batch(ridge.linear_score(base, "features", w, keep=["id"]))
 
     z, v = feat.rff_params(64, 5, 1.0)
-    got = _drain(spark, scoring.random_features(stream, "features", z, v, keep=["id"]))
+    got = _drain(spark, feat.apply_rff(stream, "features", z, v, keep=["id"]))
     want = _batch(feat.apply_rff(base, "features", z, v, keep=["id"]))
     assert got.keys() == want.keys()
     assert all(np.allclose(got[i][0], want[i][0]) for i in got)
