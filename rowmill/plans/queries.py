@@ -478,15 +478,6 @@ def _kmeans(spark, sf):
                                 order_by="id", epsilon=0.0)
 
 
-@register("kmeans_fit_parallel_init")
-def q_kmeans_parallel(spark, sf):
-    """Spark ML's k-means|| initialisation (the original's default); seeded,
-    checked by invariants (rows only)."""
-    e = emb(spark, sf)
-    fit = kmeans.kmeans_fit(e, "features", K, EMB_D, max_iter=KM_ITERS, init="k-means||", seed=7)
-    return kmeans.centers_frame(spark, fit.centers)
-
-
 _KM = O.kmeans_ctes(K, KM_ITERS)
 _A = f"a{KM_ITERS + 1}"
 _C = f"c{KM_ITERS}"
@@ -746,3 +737,6 @@ def q_pipeline_svd_parquet(spark, sf):
     run = pipelines.svd_error(a, 1, d=2)
     return run.error.select(R("err", 5).alias("err"), R("fro_sq", 4).alias("fro_sq"),
                             R("relative_error", 10).alias("relative_error"), "rank")
+
+
+from . import wide  # noqa: E402,F401 - registers the queries on whole embedding rows
