@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import blocks
 
 # Up to this dimension the per-feature statistics are one row of d
-# aggregate columns (codegen); above it they are computed in long form.
+# aggregate columns (codegen); above it every task reduces its rows to one
+# row of vectors (count, means, squared deviations, largest magnitudes).
 WIDE_D = 64
 
 
@@ -42,8 +44,53 @@ def label_mean(df: DataFrame, label: str = "label") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast("double")).alias("label_mean"))
 
 
-def _long_features(df: DataFrame, features: str) -> DataFrame:
-    return df.select(F.posexplode(features).alias("j", "x"))
+def _wide_partials(df: DataFrame, features: str, d: int, label: str | None = None) -> DataFrame:
+    """One row per task: ``(n, y_mean, mean[d], m2[d], top[d])``, merged batch by
+    batch, so no element is exploded and no digits are lost."""
+    import pyarrow as pa
+
+    columns = [features] + ([label] if label else [])
+
+    def run(batches):
+        n, y_mean = 0, 0.0
+        mean, m2, top = np.zeros(d), np.zeros(d), np.zeros(d)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = blocks.to_matrix(b.column(features), d, features)
+            k = len(x)
+            mu = x.mean(axis=0)
+            gap = mu - mean
+            m2 += ((x - mu) ** 2).sum(axis=0) + gap * gap * (n * k / (n + k))
+            mean += gap * (k / (n + k))
+            top = np.maximum(top, np.abs(x).max(axis=0))
+            if label:
+                y_mean += (blocks.to_vector(b.column(label), label).mean() - y_mean) * (k / (n + k))
+            n += k
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int64()), pa.array([y_mean], pa.float64())]
+                + [blocks.list_array(v[None, :]) for v in (mean, m2, top)],
+                names=["n", "y_mean", "mean", "m2", "top"])
+
+    return df.select(*columns).mapInArrow(
+        run, "n long, y_mean double, mean array<double>, m2 array<double>, top array<double>")
+
+
+def _by_feature(partials: DataFrame) -> DataFrame:
+    """``(j, n, y_mean, max_abs, var_pop)`` from the tasks' rows (tasks x d values)."""
+    long = partials.select("n", "y_mean", F.posexplode(F.arrays_zip("mean", "m2", "top")).alias("j", "s")).select(
+        "n", "y_mean", F.col("j").cast("long").alias("j"), "s.mean", "s.m2", "s.top")
+    n, shift = F.sum("n"), F.min("mean")
+    of = long.groupBy("j").agg(
+        n.alias("n"), (F.sum(F.col("n") * F.col("y_mean")) / n).alias("y_mean"), F.max("top").alias("max_abs"),
+        F.sum("m2").alias("within"), shift.alias("base"),
+        F.collect_list(F.struct("n", "mean")).alias("parts"))              # one entry per task
+    away = lambda power: F.aggregate(  # noqa: E731 - moments of the task means around one of them
+        "parts", F.lit(0.0), lambda a, p: a + p["n"] * F.pow(p["mean"] - F.col("base"), F.lit(float(power))))
+    between = away(2) - away(1) * away(1) / F.col("n")
+    return of.select("j", "n", "y_mean", "max_abs",
+                     ((F.col("within") + F.greatest(between, F.lit(0.0))) / F.col("n")).alias("var_pop"))
 
 
 def feature_max_abs(df: DataFrame, features: str = "features", d: int | None = None) -> DataFrame:
@@ -53,9 +100,9 @@ def feature_max_abs(df: DataFrame, features: str = "features", d: int | None = N
         return row.select(F.explode(F.array(*[
             F.struct(F.lit(j).cast("long").alias("j"), F.col(f"m{j}").alias("max_abs"))
             for j in range(d)])).alias("s")).select("s.*")
-    return (_long_features(df, features).groupBy("j")
-            .agg(F.max(F.abs("x")).alias("max_abs"))
-            .select(F.col("j").cast("long"), "max_abs"))
+    if d is None:
+        _, d = require_dims(df, features)
+    return _by_feature(_wide_partials(df, features, d)).select("j", "max_abs")
 
 
 @dataclass
@@ -68,13 +115,17 @@ def scale_stats(df: DataFrame, label: str, features: str, d: int) -> ScaleStats:
     """Mean label and per-feature max |x| in one aggregate."""
     if d <= WIDE_D:
         row = df.agg(F.avg(F.col(label).cast("double")).alias("mu"),
+                     F.sum(F.when(V.is_row(features, d) & F.col(label).isNotNull(), 0).otherwise(1)).alias("bad"),
                      *[F.max(F.abs(F.col(features)[j])).alias(f"m{j}") for j in range(d)]).first()
+        if row["bad"]:
+            raise ValueError(f"{row['bad']} rows are null, of a length other than {d}, or have a null element or label")
+        if row["mu"] is None:
+            raise ValueError("empty matrix")
         return ScaleStats(float(row["mu"]), [float(row[f"m{j}"]) for j in range(d)])
-    mu = float(label_mean(df, label).first()[0])
-    maxes = np.zeros(d)
-    for j, m in feature_max_abs(df, features).collect():
-        maxes[j] = m
-    return ScaleStats(mu, maxes.tolist())
+    rows = _by_feature(_wide_partials(df, features, d, label)).orderBy("j").collect()      # d rows
+    if not rows:
+        raise ValueError("empty matrix")
+    return ScaleStats(float(rows[0]["y_mean"]), [float(r["max_abs"]) for r in rows])
 
 
 def center_maxabs_scale(df: DataFrame, label: str = "label", features: str = "features",
@@ -126,6 +177,10 @@ def rbf_bandwidth(df: DataFrame, features: str = "features", d: int | None = Non
     if d is not None and d <= WIDE_D:
         total = V.sum_columns([F.var_pop(F.col(features)[j]) for j in range(d)])
         agg = df.groupBy(*keys).agg((F.lit(2.0) * total).alias("sigma_sq"))
+    elif not keys:
+        if d is None:
+            _, d = require_dims(df, features)
+        agg = _by_feature(_wide_partials(df, features, d)).agg((F.lit(2.0) * F.sum("var_pop")).alias("sigma_sq"))
     else:
         agg = (df.select(*keys, F.posexplode(features).alias("j", "x"))
                .groupBy(*keys, "j").agg(F.var_pop("x").alias("v"))
