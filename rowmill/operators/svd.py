@@ -37,6 +37,7 @@ class SvdResult:
     sigma: np.ndarray    # r (r <= k)
     V: np.ndarray        # d x r
     method: str = "gram"
+    converged: bool = True   # False: the subspace iteration ran out of passes
 
 
 def _canonical_signs(v: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
     ``subspace``: every pass gives Y = A'A Q, so the Ritz pairs of Q'Y and
     their true residuals ||A'A v - λ v|| = ||Y u - λ Q u|| come for free;
     iteration stops once the top k residuals are below ``tol`` x λ_max,
-    or after ``iterations`` passes."""
+    or after ``iterations`` passes, and then says so in ``converged``."""
     if method == "auto":
         method = "gram" if d <= GRAM_MAX_D else "subspace"
     if method == "gram":
@@ -82,6 +83,7 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
         width = min(d, k + oversample)
         src = blocks.prepare(passes.df, [features], d * width, partitions=passes.partitions)
         q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))
+        converged = False
         for _ in range(iterations):
             y = blocks.gram_times(src, features, d, q)       # one pass
             b = q.T @ y
@@ -90,11 +92,12 @@ def truncated_svd(df: DataFrame, features: str, k: int, d: int, method: str = "a
             top = np.argsort(evals)[::-1][:k]
             lam = evals[top]
             resid = np.linalg.norm(y @ u[:, top] - ritz[:, top] * lam, axis=0)
-            if np.all(resid <= tol * max(abs(lam[0]), np.finfo(float).tiny)):
+            converged = bool(np.all(resid <= tol * max(abs(lam[0]), np.finfo(float).tiny)))
+            if converged:
                 break
             q, _ = np.linalg.qr(y)
         res = _truncate(evals, ritz, k, rcond)
-        res.method = "subspace"
+        res.method, res.converged = "subspace", converged
         return res
     finally:
         passes.release()

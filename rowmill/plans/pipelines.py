@@ -40,7 +40,7 @@ class KMeansNmi:
 
 
 def kmeans_nmi(df: DataFrame, k: int, features: str = "features", label: str = "label",
-               max_iter: int = 20, init: str = "first", order_by: str = "id",
+               max_iter: int = 20, init: str = "k-means||", order_by: str = "id",
                epsilon: float = 1e-4, seed: int = 42, d: int | None = None) -> KMeansNmi:
     d = d or infer_dim(df, features)
     fit = kmeans.kmeans_fit(df, features, k, d, max_iter=max_iter, init=init,
