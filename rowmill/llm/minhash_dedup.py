@@ -3,18 +3,28 @@
 1. A document's set holds the 64-bit hashes of its distinct five-word shingles.
    The ``SKETCH`` smallest are its sketch. Equal sets form a class, which its
    smallest id represents from here on.
-2. The ``LISTS`` smallest values of each class go to inverted lists. Values of
-   one class alone are dropped. Lists longer than ``LONG_LIST`` keep only the
-   classes that could be linked through long lists alone: of the LISTS smallest
-   values of a pair at 0.75 at least ``LEAST`` are common (six standard
-   deviations), so a class needs LEAST values in long lists, and all but the
-   LEAST - 1 most frequent of them are enough to meet (prefix filter).
-3. Three rounds make candidates from lists that still hold several components:
-   each class with the smallest id of the list; each with a member drawn by a
-   hash of the list; then every class outside the list's largest component with
-   all members of other components. The last round leaves no pair untried, and
-   the first two keep it small: no list emits all its pairs.
-4. A pair stays if the sketch of its union estimates at least ``ESTIMATE``
+2. The ``LISTS`` smallest values of each class go to inverted lists. Two classes
+   at 0.75 have at least ``LEAST`` of them in common (six standard deviations
+   under the mean), so values of one class alone are dropped, and so are each
+   class's LEAST - 1 most frequent values: the rarest common value is left in
+   both (prefix filter over one order of values). A common passage or line
+   therefore joins only classes that are largely made of such values.
+3. Rounds make candidates from lists that still hold several components: each
+   class with the smallest id of the list; then each with its neighbours
+   (``PLACES`` away) when the list is sorted by ``ORDER`` minima of the
+   sketch under a hash of the list's own, which puts like sketches together (a
+   long list is cut by the first minimum). These are linear in the list, and big
+   groups merge in them.
+4. What is left is searched exactly. The classes in lists of several components
+   are listed again under their full sets, less each set's most frequent
+   shingles (a set of n has at least 0.75 n in common with a partner, so the
+   rarest common one is left in both). A class whose shingles are too rarely
+   shared for any partner is out; of the others, every class outside its list's
+   largest component meets the other components, if the lengths and the places
+   of the shingle in both sets allow 0.75: at the rarest common shingle, no more
+   can be common than is left in either set. No pair is left untried, and no
+   list emits all its pairs.
+5. A pair stays if the sketch of its union estimates at least ``ESTIMATE``
    (0.75 less six standard deviations); then both full sets are made from the
    whole texts and compared. Components are found after each round.
 
@@ -34,11 +44,13 @@ from pyspark.sql import functions as F
 
 from rowmill.llm.common import NULL_ID, packed, ship_package, written
 from rowmill.llm.graph import components
-from rowmill.llm.text import MULT_A, NON_WHITE, Words, chunks, windows
+from rowmill.llm.text import MULT_A, NON_WHITE, Words, chunks, mix, windows
 
 SHINGLE = 5
-SKETCH, LISTS = 64, 24
-LONG_LIST, LEAST = 256, 5
+SKETCH, LISTS = 64, 48
+LEAST = int(0.75 * LISTS - 6 * (0.75 * 0.25 * LISTS) ** 0.5)
+PLACES = (1,)               # neighbours met, a round for each
+ORDER = 3
 ESTIMATE = 0.75 - 6 * (0.75 * 0.25 / SKETCH) ** 0.5
 
 
@@ -110,23 +122,69 @@ def _one(text: pa.Scalar) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)]))[0]
 
 
-def _hub_pairs(post: DataFrame, order) -> DataFrame:
-    """Each member of a list with the list's first member in ``order``."""
-    first = post.groupBy("v").agg(F.min_by(F.struct("id", "n", "comp"), order).alias("hub"),
+def _sorted_lists(batches):
+    """Each class's values with the ORDER smallest hashes of its sketch under that value."""
+    for batch in batches:
+        out = []
+        for i, n, kept, sketch in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "kept", "sketch")), strict=True):
+            v = np.array(kept, np.int64)
+            h = mix(np.frombuffer(sketch, np.uint64)[None, :] ^ mix(v.view(np.uint64))[:, None])
+            if h.shape[1] < ORDER:
+                h = np.concatenate([h, np.repeat(h[:, :1], ORDER - h.shape[1], axis=1)], axis=1)
+            out.append((v, np.full(len(v), i), np.full(len(v), n), np.sort(np.partition(h, ORDER - 1, axis=1)[:, :ORDER], axis=1).view(np.int64)))
+        if out:
+            v, i, n, k = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(i), pa.array(n), *(pa.array(k[:, j].copy()) for j in range(ORDER))],
+                                             names=["v", "id", "n", *(f"k{j}" for j in range(ORDER))])
+
+
+def _hub_pairs(post: DataFrame) -> DataFrame:
+    """Each member of a list with the list's smallest id."""
+    first = post.groupBy("v").agg(F.min(F.struct("id", "n", "comp")).alias("hub"),
                                   F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     return (post.join(first.select("v", "hub"), "v").where("comp <> hub.comp")
             .where("4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
             .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
 
 
-def _rest_pairs(post: DataFrame) -> DataFrame:
-    """Every class outside its list's largest component with the other components."""
-    sizes = post.groupBy("v", "comp").count()
+def _neighbour_pairs(post: DataFrame, place: int) -> DataFrame:
+    """Each member of a list with the one ``place`` before it in sketch order."""
+    order = Window.partitionBy("v", F.shiftright("k0", 58)).orderBy(*(f"k{j}" for j in range(ORDER)), "id")
+    return (post.withColumn("p", F.lag(F.struct("id", "n", "comp"), place).over(order))
+            .where("p.comp <> comp and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
+            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+
+
+def _whole_sets(batches):
+    for batch in batches:
+        for piece, buf, offs in chunks(batch, "text"):
+            sets = shingle_sets(buf, offs)
+            size = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(piece.column("id").to_numpy(), size)),
+                 pa.array(np.repeat(np.array(size, np.int64), size))], names=["v", "id", "n"])
+
+
+def _rest_pairs(post: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Every class outside its list's largest component with the other components,
+    over lists of full sets."""
+    live = post.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    ids = written(post.join(live.select("v"), "v", "left_semi").select("id", "comp").distinct(), "unsettled")
+    sets = texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_whole_sets, "v long, id long, n long")
+    shared = sets.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    of_class = Window.partitionBy("id")
+    lists = (sets.join(shared, "v").withColumn("r", F.row_number().over(of_class.orderBy(F.desc("df"), "v")))
+             .where(f"{den} * r >= {num} * n").select("v", "id", "n", "r"))
+    lists = written(lists.join(ids, "id"), "full-lists")
+    sizes = lists.groupBy("v", "comp").count()
     top = (sizes.groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("k"))
            .where("k > 1").select("v", "top"))
-    live = post.join(top, "v")
-    x = live.where("comp <> top").select("v", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-    return (x.join(live, "v").where("comp <> pc and 4 * least(n, pn) >= 3 * greatest(n, pn)")
+    some = lists.join(top, "v")
+    x = some.where("comp <> top").select("v", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("r").alias("pr"),
+                                         F.col("comp").alias("pcomp"))
+    # of n + pn shingles, num / (num + den) must be common; from the rarest common one on, a set has r
+    return (x.join(some, "v").where("comp <> pcomp").where(
+        f"{num + den} * least(r, pr) >= {num} * (n + pn) and {den} * least(n, pn) >= {num} * greatest(n, pn)")
             .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
 
 
@@ -136,44 +194,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     d = packed(docs, id_col, text_col).select("id", "text")
     sketched = written(d.mapInArrow(_sketch, "id long, n long, digest binary, sketch binary"), "sketches")
-    classes = (sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = written(sketched.where("n > 0").join(classes, "digest").where("id = rep")
-                   .select("id", "n", "sketch").dropDuplicates(["id", "sketch"]), "classes")
+    reps = written(sketched.where("n > 0").groupBy("digest").agg(
+        F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    classes = reps.select("digest", F.col("id").alias("rep"))
 
-    values = reps.mapInArrow(_postings, "v long, id long, n long").distinct()
+    values = reps.select("id", "n", "sketch").mapInArrow(_postings, "v long, id long, n long")
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    every = values.join(shared, "v")
-    long = every.where(F.col("df") > LONG_LIST)
-    by_id = Window.partitionBy("id")
-    long = (long.withColumn("m", F.count("*").over(by_id))
-            .withColumn("r", F.row_number().over(by_id.orderBy("df", "v")))
-            .where(F.expr(f"r <= m - least({LEAST}, ceil(0.75 * n)) + 1")).select(*every.columns))
-    post = written(every.where(F.col("df") <= LONG_LIST).union(long).select("v", "id", "n"), "lists")
-    ids = post.select("id").distinct()
-    texts = written(d.join(ids, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    frequent_first = Window.partitionBy("id").orderBy(F.desc("df"), "v")
+    post = written(values.join(shared, "v").withColumn("r", F.row_number().over(frequent_first))
+                   .where(F.expr(f"r >= least({LEAST}, ceil(0.75 * n))"))
+                   .groupBy("id").agg(F.collect_list("v").alias("kept"))            # LISTS values at most
+                   .join(reps.select("id", "n", "sketch"), "id")
+                   .mapInArrow(_sorted_lists, "v long, id long, n long, " + ", ".join(f"k{j} long" for j in range(ORDER))),
+                   "lists")
+    texts = written(d.join(post.select("id").distinct(), "id", "left_semi"), "candidates")
 
     edges = tried = labels = None
-    for turn in range(3):
+    for turn in ("hub", *PLACES, "rest"):
         with_comp = post.withColumn("comp", F.col("id")) if labels is None else (
-            post.join(labels, "id", "left").select("v", "id", "n", F.coalesce("comp", "id").alias("comp")))
-        if turn < 2:
-            pairs = _hub_pairs(with_comp, F.col("id") if turn == 0 else F.xxhash64("v", "id"))
+            post.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        if turn == "rest":
+            pairs = _rest_pairs(with_comp, texts, num, den)
         else:
-            pairs = _rest_pairs(with_comp)
+            pairs = _hub_pairs(with_comp) if turn == "hub" else _neighbour_pairs(with_comp, turn)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        sk = reps.groupBy("id").agg(F.first("sketch").alias("sketch"))
-        pairs = (pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-                 .join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b"))
+        pairs = (pairs.join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+                 .join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b"))
         alike = written(pairs.mapInArrow(_alike, "a long, b long"), "alike")
         found = written(alike.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
                         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
                         .select("a", "b", "ta", "tb").mapInArrow(lambda it: _confirm(it, num, den), "a long, b long"),
                         "links")
         tried = alike if tried is None else tried.union(alike)
-        edges = found if edges is None else edges.union(found)
-        if turn < 2 or not found.isEmpty():
+        if labels is None or not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
             labels = components(edges)
     rep_of = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("comp", "rep").alias("component_id"))
