@@ -155,8 +155,9 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     suspects = written(docs.select("id", "text").mapInArrow(
         lambda it: _suspects(it, min_chars, filt), "id long, key string"), "line-suspects")
     filt.unpersist()
-    confirmed = (suspects.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
-                 .where(F.col("n") >= min_docs).select("key", "keeper"))
+    confirmed = written(suspects.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper"))
+                        .where(F.col("n") >= min_docs).select("key", "keeper"), "repeated-lines")
+    # two written tables: the join splits the partition of a very common line, or needs no shuffle at all
     lost = suspects.join(confirmed, "key").where("id <> keeper")
     return lost.groupBy("id").agg(F.collect_set(F.unhex(F.md5("key"))).alias("lost"))
 
