@@ -97,6 +97,7 @@ def _write(batches, sent, folder: str, end_id: int, length: int):
         writer.write_batch(_batch(form, np.concatenate(held), length))
     for f in (writer, out, listing, out2):
         f.close()
+    pa.default_memory_pool().release_unused()
     yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]),
                                       pa.array([tokens], pa.int64()), pa.array([docs], pa.int64())],
                                      names=["part", "name", "n_tokens", "n_docs"])
@@ -145,10 +146,13 @@ def _read(batches):
             system, path = _open(name + ".docs.arrow")
             with system.open_input_file(path) as f:
                 listing = pa.ipc.open_file(f).read_all()
-            crc = [zlib.crc32(ids.astype("<u4")) for ids in TokenFile(name).documents(listing)]
+            tokens = TokenFile(name)
+            crc = [zlib.crc32(ids.astype("<u4")) for ids in tokens.documents(listing)]
+            tokens.source.close()
             table = pa.table({"id": listing.column("id"), "start": pa.array(listing.column("start").to_numpy() + base),
                               "n_tokens": listing.column("n_tokens"), "ids_crc32": pa.array(crc, pa.int64())})
             yield from table.to_batches(max_chunksize=10_000)
+            pa.default_memory_pool().release_unused()
 
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str | None = None,

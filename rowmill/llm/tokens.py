@@ -18,7 +18,7 @@ import numpy as np
 
 from rowmill.llm.text import mix, span_hashes
 
-REMEMBER = 2_000_000
+REMEMBER = 500_000           # units a worker keeps, about 40 MB at the peak of an update
 WHITE, LETTER, OTHER, HARD = 0, 1, 2, 3
 CLASS = np.full(256, HARD, np.uint8)
 CLASS[0x21:0x7F] = OTHER
