@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.session import scratch_path, ship_package  # noqa: F401
+from rowmill import session
+from rowmill.session import scratch_path
 
 NULL_ID = -(2 ** 63)
+BATCH_BYTES = 4 << 20
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Package to the executors, and batches of whole texts bounded: at most 1,000
+    rows, and ``BATCH_BYTES`` where the session names no limit of its own."""
+    session.ship_package(spark)
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 1000:
+        spark.conf.set(rows, "1000")
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def parts(spark: SparkSession) -> int:

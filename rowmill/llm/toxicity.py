@@ -35,7 +35,7 @@ WORD_DIM, GRAM_DIM, HIDDEN = 6, 8, 8
 GRAMS = (3, 5)              # bytes of character n-grams, word ends marked
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 700, 1100, 24
 EPOCHS, BATCH, RATE = 6, 24, 0.02
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class Features:
@@ -236,7 +236,7 @@ def frames(w: Words, f: Features, texts: int) -> tuple[np.ndarray, np.ndarray, n
     return np.where(mask, word[np.minimum(place, len(word) - 1)], len(f)), mask.astype(np.float32), doc
 
 
-def logits(net: Network, w: Words, texts: int, rows: int = 1 << 13) -> np.ndarray:
+def logits(net: Network, w: Words, texts: int, rows: int = 1 << 12) -> np.ndarray:
     """The highest window's logit of each text."""
     f = Features(w)
     idx, mask, doc = frames(w, f, texts)
