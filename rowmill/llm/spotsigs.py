@@ -24,6 +24,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -158,6 +159,35 @@ def _walk(batches):
             size += len(t)
 
 
+def _bucket_of(bounds: list[float]):
+    """Column function: range partition of an id, by binary search."""
+    cut = np.array([int(b) for b in bounds], np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cut, ids.to_numpy(), side="right").astype(np.int32))
+
+    return bucket
+
+
+def _guest_of(firsts: list[int], before: list[int]):
+    """Column function: the partition that also needs an id's document, or -1.
+
+    ``firsts`` ascend: the first id of each partition that has rows; ``before``
+    names the partition ahead of it (of the first one, the last)."""
+    first, to = np.array(firsts, np.int64), np.array(before, np.int32)
+
+    @F.pandas_udf("int")
+    def guest(ids: pd.Series) -> pd.Series:
+        v = ids.to_numpy()
+        if not len(first):
+            return pd.Series(np.full(len(v), -1, np.int32))
+        k = np.minimum(np.searchsorted(first, v), len(first) - 1)
+        return pd.Series(np.where(first[k] == v, to[k], -1).astype(np.int32))
+
+    return guest
+
+
 def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures)``."""
     spark = docs.sparkSession
@@ -165,18 +195,14 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = packed(docs, id_col, text_col).select("id", "text")
     n = parts(spark)
     bounds = sorted(set(d.approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    cut = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(cut, lambda b: b <= F.col("id"))).cast("int")
-    ids = d.select("id", bucket.alias("bucket"))
+    bucket_of = _bucket_of(bounds)
+    ids = d.select("id", bucket_of("id").alias("bucket"))
     firsts = sorted(tuple(r) for r in ids.groupBy("bucket").agg(F.min("id")).collect())      # one row per partition
-    guests = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]              # the first one goes to the last
-    send = F.lit(None)
-    if guests:
-        where = F.create_map(*[F.lit(x) for pair in guests for x in pair])
-        send = F.try_element_at(where, F.col("id"))
-    home = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
-    away = F.struct(send.cast("int").alias("bucket"), F.lit(True).alias("guest"))
-    sent = (d.select("id", "text", F.explode(F.when(send.isNull(), F.array(home)).otherwise(F.array(home, away))).alias("to"))
+    guest_of = _guest_of([f for _, f in firsts], [firsts[k - 1][0] for k in range(len(firsts))])
+    home = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
+    away = F.struct(F.col("also").alias("bucket"), F.lit(True).alias("guest"))
+    d = d.withColumn("bucket", bucket_of("id")).withColumn("also", guest_of("id"))
+    sent = (d.select("id", "text", F.explode(F.when(F.col("also") < 0, F.array(home)).otherwise(F.array(home, away))).alias("to"))
             .select("id", "text", "to.bucket", "to.guest"))
     rows = sent.repartitionById(max(len(bounds) + 1, 1), F.col("bucket")).sortWithinPartitions("guest", "id", "text")
     return rows.mapInArrow(_walk, "id long, n_chars long, edited_sha256 string, fingerprint string, "
