@@ -47,7 +47,9 @@ def test_objective_and_gradient_ops(lineitem, li_np):
     sse = ((x @ w - y) ** 2).sum()
     assert row["train_error"] == pytest.approx(sse / n, rel=1e-12)
     assert row["objective"] == pytest.approx((sse + n * 0.5 * w @ w) / (2 * n), rel=1e-12)
-    g = dict(ridge.ridge_gradient(lineitem, "features", "label", w, 0.5).collect())
+    out = ridge.ridge_gradient(lineitem, "features", "label", w, 0.5)
+    g = {r["j"]: r["grad"] for r in out.collect()}
+    assert out.first()["train_error"] == pytest.approx(sse / n, rel=1e-12)
     want = x.T @ (x @ w - y) + n * 0.5 * w
     assert np.allclose([g[j] for j in range(3)], want, rtol=1e-10)
     mse = ridge.linear_mse(lineitem, "features", "label", w).first()["mse"]
