@@ -1,10 +1,12 @@
-"""Fits on the whole 64-wide embedding rows, with oracles in DuckDB SQL.
+"""Fits on the whole 64-wide embedding rows and on 64 random features, with
+oracles in DuckDB SQL.
 
 Conjugate gradient is a recursive CTE over (iteration, output): the Gram table
 is a list of rows, and each step is a handful of list products. Training errors
 are summed over row residuals. SVD results are checked by the spectral moments
 tr(G), tr(G²), tr(G³) of the Gram table (k = d) and by certificates that hold
-for any correct rank-k result.
+for any correct rank-k result. The random-feature fits run to convergence; their
+SQL takes more steps than that needs (``CLASS_STEPS``, ``REGRESSION_STEPS``).
 """
 
 from __future__ import annotations
@@ -12,30 +14,43 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import features as feat
 from ..operators import kmeans, moments, ridge, svd
+from ..session import scratch_path
+from ..sources import csv as csv_src
 from . import oracle as O
-from .queries import EMB_D, K, R, emb, register
+from . import pipelines
+from .queries import EMB_D, GAMMA_SCALED, K, MT_GAMMA, R, RFF_SIGMA, emb, li, register
 
 GAMMA = 1e-3
 STEPS = 8                     # iterations of both sides; neither has converged by then
 RANK = 10
+WIDE_S = 64                   # random features of the wide RFF queries
+CLASS_STEPS, REGRESSION_STEPS = 64, 200
 
 _LIST = f"range(1, {EMB_D + 1})"
-_GRAM = f"""{O.EMB}, {O.emb_long()},
+
+
+def _gram(points: str) -> str:
+    """CTEs of the Gram table of ``points``, SQL of pts(vec_id, label, x)."""
+    return f"""{points}, {O.emb_long()},
 gram AS MATERIALIZED (
   SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS g FROM el a JOIN el b USING (vec_id) GROUP BY ALL),
 gram_rows AS (SELECT i, list(g ORDER BY j) AS r FROM gram GROUP BY i),
 gram_list AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM gram_rows)"""
 
 
-def _cg(targets: str) -> str:
+_GRAM = _gram(O.EMB)
+
+
+def _cg(targets: str, points: str = O.EMB, gamma: float = GAMMA, steps: int = STEPS) -> str:
     """CTEs of CG: cg(t, c, w, r, p) after t steps for each output c.
 
     ``targets``: SQL of (c, vec_id, y)."""
-    return f"""{_GRAM}, targets AS ({targets}),
+    return f"""{_gram(points)}, targets AS ({targets}),
 rhs AS (SELECT c, j, sum(v * y) AS s FROM el JOIN targets USING (vec_id) GROUP BY c, j),
 start AS MATERIALIZED (
-  SELECT c, list(s ORDER BY j) AS b, any_value(m) AS m, (SELECT count(*) FROM pts) * {O.lit(GAMMA)} AS ng
+  SELECT c, list(s ORDER BY j) AS b, any_value(m) AS m, (SELECT count(*) FROM pts) * {O.lit(gamma)} AS ng
   FROM rhs, gram_list GROUP BY c),
 cg AS (
   SELECT 0 AS t, c, [CAST(0 AS DOUBLE) for i in b] AS w, b AS r, b AS p FROM start
@@ -47,7 +62,7 @@ cg AS (
         SELECT *, rs / list_dot_product(p, ap) AS alpha FROM (
           SELECT t, g.c, w, r, p, list_dot_product(r, r) AS rs,
                  [list_dot_product(m[i], p) + ng * p[i] for i in {_LIST}] AS ap
-          FROM cg g JOIN start s ON s.c = g.c WHERE t < {STEPS})))))"""
+          FROM cg g JOIN start s ON s.c = g.c WHERE t < {steps})))))"""
 
 
 _ONE = "SELECT 0 AS c, vec_id, CAST(label AS DOUBLE) AS y FROM pts"
@@ -190,3 +205,64 @@ def q_kmeans_parallel(spark, sf):
     return spark.createDataFrame(
         [(j, float(v), sum(sizes.values()), len(fit.centers), moved, cost[0] <= 1.05 * cost[1]) for j, v in enumerate(total)],
         "j long, sum_x double, n long, k long, not_nearest long, cost_bound boolean").withColumn("sum_x", R("sum_x", 6))
+
+
+# ---------------------------------------------------------------------------
+# E2' / E3 / C9 on 64 random features
+# ---------------------------------------------------------------------------
+
+_Z, _V = feat.rff_params(EMB_D, WIDE_S, RFF_SIGMA)
+_RFF = (O.EMB.replace("pts", "raw", 1) + f", pts AS MATERIALIZED (SELECT vec_id, label, [" + ", ".join(
+    f"sqrt(2.0 / {WIDE_S}) * cos(list_dot_product(x, {O.dlist(_Z[i])}) + {O.lit(_V[i])})" for i in range(WIDE_S))
+    + "] AS x FROM raw)")
+_RFF_BEST = f"""WITH RECURSIVE {_cg(_CLASSES, _RFF, MT_GAMMA, CLASS_STEPS)},
+scores AS (SELECT vec_id, label, c, list_dot_product(x, w) AS s FROM pts, cg WHERE t = {CLASS_STEPS}),
+best AS (SELECT vec_id, any_value(label) AS label, arg_max(c, s) AS prediction FROM scores GROUP BY vec_id)"""
+_RFF_ERRORS = _RFF_BEST + """
+SELECT count(*) FILTER (prediction <> label) AS errors, count(*) AS n,
+       round(count(*) FILTER (prediction <> label) / count(*), 10) AS rate FROM best"""
+
+
+@register("pipeline_rfm_classification_wide", _RFF_ERRORS)
+def q_rfm_class(spark, sf):
+    run = pipelines.rfm_classification(emb(spark, sf), K, WIDE_S, MT_GAMMA, RFF_SIGMA, d=EMB_D)
+    return run.errors.select("errors", "n", R("rate", 10).alias("rate"))
+
+
+@register("pipeline_rfm_classification_csv_wide", _RFF_ERRORS)
+def q_rfm_class_csv(spark, sf):
+    path = scratch_path(spark, "e3-csv-wide")
+    csv_src.write_labeled_csv(emb(spark, sf), path, EMB_D)
+    run = pipelines.rfm_classification_csv(spark, path, K, WIDE_S, MT_GAMMA, RFF_SIGMA, num_features=EMB_D)
+    return run.errors.select("errors", "n", R("rate", 10).alias("rate"))
+
+
+@register("argmax_class_wide", _RFF_BEST + """
+SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(prediction AS BIGINT) AS prediction FROM best""")
+def q_argmax(spark, sf):
+    mapped = feat.rbf_random_features(emb(spark, sf), "features", EMB_D, WIDE_S, RFF_SIGMA, keep=["vec_id", "label"])
+    res = ridge.ridge_multitask_cg(mapped, "features", "label", MT_GAMMA, WIDE_S, K)
+    out = ridge.predict_class(mapped, "features", res.weights, keep=["vec_id", "label"])
+    return out.select("vec_id", F.col("label").cast("long"), F.col("prediction").cast("long"))
+
+
+_Z3, _V3 = feat.rff_params(3, WIDE_S, 1.0)         # Z for sigma = 1; divided by the estimate below
+_RFF_LI = (O.li_scaled() + ", bw AS (SELECT sqrt(2 * (var_pop(x0) + var_pop(x1) + var_pop(x2))) AS sg FROM lis), "
+           "pts AS MATERIALIZED (SELECT row_number() OVER () AS vec_id, y AS label, [" + ", ".join(
+               f"sqrt(2.0 / {WIDE_S}) * cos("
+               + " + ".join(f"x{j} * ({O.lit(_Z3[i, j])} / sg)" for j in range(3)) + f" + {O.lit(_V3[i])})"
+               for i in range(WIDE_S)) + "] AS x FROM lis, bw)")
+
+
+@register("pipeline_rfm_regression_wide", f"""WITH RECURSIVE {_cg(_ONE, _RFF_LI, GAMMA_SCALED, REGRESSION_STEPS)},
+fit AS (SELECT w FROM cg WHERE t = {REGRESSION_STEPS}),
+err AS (SELECT avg(pow(list_dot_product(x, w) - label, 2)) AS mse FROM pts, fit)
+SELECT CAST(unnest(range({WIDE_S})) AS BIGINT) AS j, round(unnest(w), 4) AS weight,
+       round((mse + {O.lit(GAMMA_SCALED)} * list_dot_product(w, w)) / 2, 6) AS objective,
+       round(mse, 6) AS train_error FROM fit, err""")
+def q_rfm_regression(spark, sf):
+    """Weights with the last objective and training error."""
+    run = pipelines.rfm_regression(li(spark, sf), GAMMA_SCALED, WIDE_S, rel_tol=1e-13, d=3)
+    _, objective, error = run.result.history[-1]
+    return run.weights.select("j", R("weight", 4).alias("weight"), F.round(F.lit(objective), 6).alias("objective"),
+                              F.round(F.lit(error), 6).alias("train_error"))
