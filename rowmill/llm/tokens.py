@@ -4,8 +4,9 @@ A text is cut where the vocabulary's own pre-tokenizer always cuts: around
 white space and, in words of plain letters, digits and punctuation, between
 letters and the rest. Each distinct unit of a worker is encoded once by the
 library; texts become array lookups. Words with apostrophes or characters
-outside Latin-1 letters stay whole, and texts with rare white space go to the
-library as they are. The remembered units are bounded (``REMEMBER``).
+outside Latin-1 letters stay whole, and texts with rare white space or with the
+string of an added token (``<|endoftext|>``), which the library matches first,
+go to the library as they are. The remembered units are bounded (``REMEMBER``).
 """
 
 from __future__ import annotations
@@ -48,9 +49,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True         # their strings in a text are ordinary text
         self.model = self.library.model
-        pre = json.loads(spec)["pre_tokenizer"]
+        parts = json.loads(spec)
+        pre, added = parts["pre_tokenizer"], parts.get("added_tokens") or []
+        self.added = [t["content"].encode() for t in added if t["content"]]
+        # those matched in normalised text cannot be found in the bytes: every text goes to the library
+        self.whole = bool(parts.get("normalizer")) and any(t["normalized"] for t in added)
         self.spaced = pre["type"] == "ByteLevel"          # a space belongs to the word after it
         self.lower = not self.spaced
         self.letters = byte_letters()
@@ -98,7 +102,13 @@ class Encoder:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offs) - 1
         raw = buf.tobytes()
-        odd = np.zeros(n, bool)
+        odd = np.full(n, self.whole)
+        for mark in self.added:
+            at = raw.find(mark)
+            while at >= 0:
+                d = int(np.searchsorted(offs, at, "right")) - 1
+                odd[d] = True
+                at = raw.find(mark, int(offs[d + 1]))
         if self.spaced:
             for m in RARE_WHITE.finditer(raw):
                 odd[np.searchsorted(offs, m.start(), "right") - 1] = True
