@@ -1,7 +1,9 @@
 """Toxicity scores from a bidirectional gated recurrent network.
 
 A word's input joins a word vector and the scaled sum of its character n-gram
-vectors (both hashed, so no vocabulary is kept). Two gated recurrent passes
+vectors (both hashed, so no vocabulary is kept). A word of more than ``PIECE``
+bytes, as whole sentences are in scripts without spaces, is read as overlapping
+pieces that each count as a word, so every byte of a text is read. Two gated recurrent passes
 read a window of ``WINDOW`` words, attention pools their states, and a logistic
 unit scores the window. Windows overlap by half and cover the whole text; a
 document's score is that of its highest window.
@@ -35,9 +37,25 @@ WORD_DIM, GRAM_DIM, HIDDEN = 6, 8, 8
 GRAMS = (3, 5)              # bytes of character n-grams, word ends marked
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 700, 1100, 24
 EPOCHS, BATCH, RATE = 6, 24, 0.02
+PIECE, PIECE_STRIDE = 64, 48    # bytes of the pieces of longer words
 CHUNK = 1 << 19
 
 
+def words(buf: np.ndarray, offs: np.ndarray) -> Words:
+    """Words of some texts, longer ones cut into overlapping pieces."""
+    w = Words(buf, offs, ALNUM, True)
+    n = 1 + np.maximum(-(-(w.ends - w.starts - PIECE) // PIECE_STRIDE), 0)
+    if n.max(initial=1) > 1:
+        word = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        w.starts = w.starts[word] + PIECE_STRIDE * nth
+        w.ends = np.minimum(w.starts + PIECE, w.ends[word])
+        w.doc = w.doc[word]
+        w.first = np.searchsorted(w.starts, offs)
+        w.counts = np.diff(w.first)
+    return w
+
+
 class Features:
     """Distinct words of some texts: word bucket and n-gram buckets of each."""
 
@@ -46,7 +64,7 @@ class Features:
         _, first, self.word = np.unique(h, return_index=True, return_inverse=True)
         s, e = w.starts[first], w.ends[first]
         self.bucket = (h[first] % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        size = np.minimum(e - s, 64) + 2                     # ^word$
+        size = e - s + 2                                     # ^word$
         at = np.concatenate([[0], np.cumsum(size)])
         inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
         where = np.repeat(s, size) + inside - 1
@@ -257,7 +275,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Network:
     g = np.random.default_rng(seed)
     batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
     (_, buf, offs), = chunks(batch, "text", 1 << 62)
-    w = Words(buf, offs, ALNUM, True)
+    w = words(buf, offs)
     f = Features(w)
     idx, mask, doc = frames(w, f, len(texts))
     order = np.lexsort((g.random(len(doc)), doc))
@@ -291,7 +309,7 @@ def _score(batches, sent):
             if net is None:
                 score = np.full(n, constant)
             else:
-                score = 1 / (1 + np.exp(-logits(net, Words(buf, offs, ALNUM, True), n).astype(float)))
+                score = 1 / (1 + np.exp(-logits(net, words(buf, offs), n).astype(float)))
             yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), pa.array(score)],
                                              names=["row", "text", "score"])
 
