@@ -13,7 +13,9 @@
 
 Left out everywhere: scripts, styles and other elements without prose, nav,
 header, footer, aside, form and dialog elements, and elements whose class, id
-or role has one of the words in ``NOISE``. White space in a block becomes one
+or role has one of the words in ``NOISE`` (not 'with-sidebar', 'no-sidebar' or
+'ad-free'). A form or a noisy block around the article is a wrapper and left out
+itself only (``wrappers``). White space in a block becomes one
 space, blocks are joined by a newline, nothing is capped.
 
 Defined results: null html or html without text gives the empty text; a null
@@ -52,6 +54,10 @@ NOISE = set(
     "pagination pager newsletter subscribe signup login search widget toolbar complementary contentinfo "
     "gdpr paywall skip copyright disclaimer".split())
 
+WITHOUT, FREE = set("with without no non not has hide".split()), {"free", "less"}    # before and after a word that is no noise
+WRAP = {"form", "fieldset"}      # silent unless around the article
+PROSE = 40                       # unlinked characters from which a block counts as running text
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -75,23 +81,76 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """Generalised classes, and whether a name marks the element as noise."""
-    classes, noisy = "", False
+@dataclass
+class Soft:
+    """A form or noisy block: silent unless it is around the article."""
+
+    parent: int
+    noise: int
+    main: bool = False
+    article: bool = False
+    heading: bool = False
+    weight: float = 0.0
+    wraps: bool = False
+
+
+def _noise(name: str) -> int:
+    """2 if a class or id name says noise, 1 if it has such a word before another ('sidebar-layout'), 0 without."""
+    words = [w for w in PIECES.split(name) if w and not w.isdigit()]
+    level = 0
+    for k, w in enumerate(words):
+        if w in NOISE and not (k and words[k - 1] in WITHOUT) and not (k + 1 < len(words) and words[k + 1] in FREE):
+            level = max(level, 2 if k + 1 == len(words) else 1)
+    return level
+
+
+def _names(attrs: str) -> tuple[str, int]:
+    """Generalised classes, and how far a name marks the element as noise."""
+    classes, noisy = "", 0
     for m in ATTR.finditer(attrs):
         value = entities.unescape(m[2] or m[3] or m[4] or "")
-        words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        noisy |= not NOISE.isdisjoint(PIECES.split(words))
+        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+            noisy = max(noisy, _noise(name))
         if m[1].lower() == "class":
             classes = ".".join(sorted(re.sub(r"\d+", "N", value.lower()).split()))
     return classes, noisy
 
 
+def wrappers(softs: list[Soft], blocks: list[tuple[int, str, int, int]]) -> None:
+    """Marks the forms and noisy blocks that are around the article.
+
+    A main element inside makes one; so does an article of its own, in a form or
+    with most of the page's unlinked text; so does most of the text in a form, or
+    in a noisy block if no running text is outside and no name plainly says noise
+    or it holds the page's h1."""
+    weigh = [max(len(line) - 2 * linked, 0) for _, line, linked, _ in blocks]
+    if any(w >= PROSE for w in weigh):
+        weigh = [w if w >= PROSE else 0 for w in weigh]
+    total = sum(weigh)
+    for w, (_, _, _, k) in zip(weigh, blocks, strict=True):
+        while k >= 0:
+            softs[k].weight += w
+            k = softs[k].parent
+    direct = [0] * (len(softs) + 1)                                # the last is the text outside of all
+    for w, b in zip(weigh, blocks, strict=True):
+        direct[b[3]] += w
+    seen = direct[-1]
+    for k, s in enumerate(softs):
+        if s.parent >= 0 and not softs[s.parent].wraps:
+            continue
+        most = 2 * s.weight > total
+        s.wraps = s.main or (s.article and (most or not s.noise)) or (most and not s.noise) or (
+            most and not seen and (s.noise == 1 or s.heading))
+        if s.wraps:
+            seen += direct[k]
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
     """Containers, and text blocks as (container, text, characters in links)."""
     nodes = [Node("html", "html", -1)]
-    blocks: list[tuple[int, str, int]] = []
-    stack: list[tuple[str, int, bool]] = [("html", 0, False)]     # open block elements: tag, container, silent
+    blocks: list[tuple[int, str, int, int]] = []
+    softs: list[Soft] = []
+    stack: list[tuple[str, int, bool, int]] = [("html", 0, False, -1)]     # open block elements: tag, container, silent, soft
     text: list[str] = []
     link, linked, inline_noise = 0, 0, []
 
@@ -100,7 +159,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         if text:
             line = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if line:
-                blocks.append((stack[-1][1], line, min(linked, len(line))))
+                blocks.append((stack[-1][1], line, min(linked, len(line)), stack[-1][3]))
             text.clear()
         linked = 0
 
@@ -149,21 +208,34 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
             continue
         if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th"):
             stack.pop()                                            # its end tag is implied
-        _, inside, silent = stack[-1]
+        _, inside, silent, soft = stack[-1]
         if tag == "body":
-            inside, silent = 0, False
+            inside, silent, soft = 0, False, -1
         attrs = m["attrs"] or m["attrs2"] or ""
-        classes, noisy = _names(attrs) if attrs else ("", False)
-        silent = silent or tag in SILENT or (noisy and tag not in ("body", "main", "article", "html"))
+        classes, noisy = _names(attrs) if attrs else ("", 0)
+        silent = silent or tag in SILENT - WRAP
+        if not silent:
+            if tag in ("main", "article", "h1"):
+                k = soft
+                while k >= 0:
+                    softs[k].main |= tag == "main"
+                    softs[k].article |= tag == "article" and not noisy
+                    softs[k].heading |= tag == "h1"
+                    k = softs[k].parent
+            if tag in WRAP or (noisy and tag not in ("body", "main", "article", "html")):
+                softs.append(Soft(soft, noisy))
+                soft = len(softs) - 1
         if tag in CONTAINERS and not silent:
             nodes.append(Node(tag, f"{nodes[inside].path}/{tag}" + (f".{classes}" if classes else ""), inside))
             nodes[inside].children.append(len(nodes) - 1)
             inside = len(nodes) - 1
-        stack.append((tag, inside, silent))
+        stack.append((tag, inside, silent, soft))
     if at < len(page) and not stack[-1][2] and not inline_noise:
         text.append(page[at:])
     close_block()
-    return nodes, blocks
+    if softs:
+        wrappers(softs, blocks)
+    return nodes, [(c, line, linked) for c, line, linked, k in blocks if k < 0 or softs[k].wraps]
 
 
 def best_container(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> int:
