@@ -3,8 +3,9 @@
 1. Every page is parsed once for votes. Its containers (body, main, article,
    section, div, table cells, ...) are scored by the characters of their clean
    text, links counted against them; from the body the walk goes down while one
-   child holds at least ``SHARE`` of the score, and stops at an article, or
-   at a main element without one. The generalised path of the place it ends at (tags with classes,
+   child holds at least ``SHARE`` of the score and no running text is left behind
+   (or a main or article element inside it holds the share), and stops at an
+   article, or at a main element without one. The generalised path of the place it ends at (tags with classes,
    digits as N) gets the score as its vote.
 2. Votes are summed per host and path in Spark (partial sums first), and each
    host's best path wins.
@@ -78,6 +79,8 @@ class Node:
     parent: int
     own: float = 0.0
     total: float = 0.0
+    prose: float = 0.0
+    marked: float = 0.0                  # the largest total of a main or article element in it
     children: list[int] = field(default_factory=list)
 
 
@@ -241,11 +244,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
 def best_container(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> int:
     """Where the walk from the root ends."""
     for c, line, linked in blocks:
-        nodes[c].own += max(len(line) - 2 * linked, 0)
+        w = max(len(line) - 2 * linked, 0)
+        nodes[c].own += w
+        nodes[c].prose += w if w >= PROSE else 0
     for k in range(len(nodes) - 1, -1, -1):
-        nodes[k].total += nodes[k].own
-        if nodes[k].parent >= 0:
-            nodes[nodes[k].parent].total += nodes[k].total
+        n = nodes[k]
+        n.total += n.own
+        if n.tag in ("main", "article"):
+            n.marked = n.total
+        if n.parent >= 0:
+            up = nodes[n.parent]
+            up.total += n.total
+            up.prose += n.prose
+            up.marked = max(up.marked, n.marked)
     at = 0
     while nodes[at].tag != "article":
         best = max(nodes[at].children, key=lambda c: nodes[c].total, default=None)
@@ -253,6 +264,8 @@ def best_container(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> int
             break
         if nodes[at].tag == "main" and nodes[best].tag != "article":
             break
+        if nodes[best].prose < nodes[at].prose and nodes[best].marked < SHARE * nodes[at].total:
+            break
         at = best
     return at
 
