@@ -10,8 +10,10 @@ at once; occurrences walk back to a sampled position, become word spans, and
 spans are merged.
 
 A test phrase is 13 consecutive item words, or a whole shorter item. The
-benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` text, one pass
-of the same tasks after the other, so its broadcast is bounded.
+benchmark goes through the driver to the tasks in blocks of about ``BLOCK_BYTES``
+text. With more than one, each block is a pass over the documents of its own that
+writes out its hits before the block is released, so one block is held at a time;
+the last pass starts from the hits of the others.
 
 Defined results: null text has no words; an item without words has no phrase;
 items that repeat an id are one item; a null item id reads as the empty
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import packed, ship_package
+from rowmill.llm.common import packed, ship_package, written
 from rowmill.llm.text import ALNUM, Words, chunks, span_hashes
 
 WINDOW = 13
@@ -206,7 +208,7 @@ def _search(batches, sent):
             for d in range(len(offs) - 1):
                 a, b = cut[d], cut[d + 1]
                 if a == b:
-                    spans_of.append(old_spans[d])
+                    spans_of.append(merged(np.frombuffer(old_spans[d], np.int64).reshape(-1, 2)).tobytes())
                     items_of.append(old_items[d])
                     continue
                 s = start[a:b] - w.first[d]
@@ -242,13 +244,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                              F.col(item_text).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = packed(docs, id_col, text_col).select(
-        "row", "text", F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("spans"),
-        F.array().cast("array<string>").alias("items"))
-    kind = f"row {out.schema['row'].dataType.simpleString()}, text string, n_words long"
-    for k in range(blocks):
+    out = packed(docs, id_col, text_col).select("row", "text")
+    empty = F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items")
+
+    def phrases(k: int):
         some = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast(Phrases([tuple(r) for r in some]))
-        out = out.mapInArrow(lambda it, sent=sent: _search(it, sent), f"{kind}, spans binary, items array<string>")
+        return spark.sparkContext.broadcast(Phrases([tuple(r) for r in some]))
+
+    def search(df: DataFrame, sent) -> DataFrame:
+        return df.mapInArrow(lambda it: _search(it, sent), f"row {df.schema['row'].dataType.simpleString()}, text string, "
+                                                           "n_words long, spans binary, items array<string>")
+
+    if blocks > 1:
+        out = written(out.withColumn("at", F.monotonically_increasing_id()), "numbered")
+        hits = None
+        for k in range(blocks - 1):
+            sent = phrases(k)
+            found = search(out.select(F.struct("at").alias("row"), "text", *empty), sent)
+            found = written(found.where("octet_length(spans) > 0").select("row.at", "spans", "items"), "hits")
+            sent.destroy()
+            hits = found if hits is None else hits.union(found)
+        hits = hits.groupBy("at").agg(
+            F.aggregate(F.collect_list("spans"), F.lit(b""), lambda x, y: F.concat(x, y)).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.join(hits, "at", "left").select("row", "text", F.coalesce("spans", empty[0]).alias("spans"),
+                                                  F.coalesce("items", empty[1]).alias("items"))
+    else:
+        out = out.select("row", "text", *empty)
+    out = search(out, phrases(blocks - 1))
+    kind = f"row {out.schema['row'].dataType.simpleString()}, text string, n_words long"
     out = out.mapInArrow(_spans, f"{kind}, n_hit long, items array<string>, spans array<array<bigint>>")
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
