@@ -4,8 +4,10 @@ A spot signature is a common word (anchor) with the next ``CHAIN`` content words
 after it, skipping other anchors. A text's signatures form a set of 64-bit
 hashes; its fingerprint names the partition by set length, the set's digest and
 its ``SHOWN`` smallest signatures. Likeness is the Jaccard similarity of two
-signature sets; a bound from the set lengths prunes pairs below a floor before
-any set is read, which also says which length partitions can meet.
+signature sets. Only neighbours are compared, and their likeness is always the
+whole Jaccard value: the pruning by length (``floor`` of ``likeness``, meetings of
+``length_partition``) is off here, and the partition only names part of the
+fingerprint.
 
 Neighbours in id order are compared without a global sort of one task: ids
 alone give the range of each partition and its first document, and that one
