@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from rowmill.plans.queries import ORACLES, QUERIES
-from conftest import SF_SMALL
+from settings import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()

@@ -1,7 +1,7 @@
 """The registered random-feature pipelines at 64 features, against numpy."""
 
 import numpy as np
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from rowmill.operators import features as feat
 from rowmill.plans.queries import GAMMA_SCALED, K, MT_GAMMA, QUERIES, RFF_SIGMA
 
