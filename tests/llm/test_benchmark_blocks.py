@@ -2,7 +2,7 @@
 
 import os
 
-import brute
+import llm_brute as brute
 import rowmill.llm.decontaminate as D
 
 

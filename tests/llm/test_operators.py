@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-import brute
+import llm_brute as brute
 from rowmill.llm.decontaminate import FMIndex, contamination
 from rowmill.llm.html_extract import extract, main_text
 from rowmill.llm.line_dedup import dedup_lines

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-import brute
+import llm_brute as brute
 from rowmill.llm.packing import pack
 from rowmill.llm.text import chunks
 from rowmill.llm.token_files import read_tokens, write_tokens
