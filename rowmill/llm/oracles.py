@@ -115,3 +115,16 @@ SELECT c.conv_id, c.turn, c.role, CAST(coalesce(o.quote_depth, 0) AS BIGINT) AS
        array_to_string(h.path, '/') AS reply_path, sha256(coalesce(o.own_text, '')) AS own_sha256
 FROM conversations c LEFT JOIN own o USING (conv_id, turn) LEFT JOIN parents p USING (conv_id, turn)
 LEFT JOIN paths h ON h.conv_id = c.conv_id AND h.turn = c.turn"""
+
+
+NEIGHBOURS = r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS INT) AS rank
+  FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id AND len(c.e) = len(q.e)
+  WHERE q.vec_id % 20 = 0)
+WHERE rank <= 20"""

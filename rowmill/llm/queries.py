@@ -12,6 +12,7 @@ from rowmill.llm.decontaminate import contamination
 from rowmill.llm.html_extract import main_text
 from rowmill.llm.line_dedup import dedup_lines
 from rowmill.llm.minhash_dedup import near_duplicates, null_id
+from rowmill.llm.neighbours import nearest
 from rowmill.llm.packing import pack
 from rowmill.llm.quotes import link_quotes
 from rowmill.llm.spotsigs import spot_fingerprints
@@ -107,3 +108,9 @@ def op9_html_extract(spark, sf_dir):
     out = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return out.select("row.page_id", "row.url", F.col("main_text").alias("text"),
                       F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query(oracles.NEIGHBOURS)
+def op13_vantage_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
