@@ -128,3 +128,40 @@ SELECT query_id, rank, vec_id, score FROM (
   FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id AND len(c.e) = len(q.e)
   WHERE q.vec_id % 20 = 0)
 WHERE rank <= 20"""
+
+
+DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS MATERIALIZED (SELECT id, lang, source, unnest(w) AS term FROM docs),
+kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS size FROM kept GROUP BY lang),
+groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(n.size, 0) AS size
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, count(*) AS size FROM words JOIN kept USING (lang, term) GROUP BY ALL) n
+  USING (lang, source)),
+cells AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+share AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.size + 2 * g.v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (k.total + 2) // (l.size + 2 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+  FROM share WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10"""

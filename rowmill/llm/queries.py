@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import oracles
 from rowmill.llm.decontaminate import contamination
+from rowmill.llm.divergence import source_divergence
 from rowmill.llm.html_extract import main_text
 from rowmill.llm.line_dedup import dedup_lines
 from rowmill.llm.minhash_dedup import near_duplicates, null_id
@@ -114,3 +115,8 @@ def op9_html_extract(spark, sf_dir):
 def op13_vantage_neighbours(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query(oracles.DIVERGENCE)
+def op12_divergence_quadtree(spark, sf_dir):
+    return source_divergence(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source"))
