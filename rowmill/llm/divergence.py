@@ -158,9 +158,9 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
         "lang", "left")
     full = F.ceil(F.col("cells") / F.lit(unit_cells))
     spread = F.least(F.lit(parts(spark)), F.ceil(F.col("cells") / F.lit(LEAST_CELLS)))
-    langs = langs.select("lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_size", F.lit(0)).alias("lang_size"),
+    langs = written(langs.select("lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_size", F.lit(0)).alias("lang_size"),
                          F.coalesce(F.greatest(full, spread), F.lit(1)).cast("int").alias("shards"),
-                         F.ceil(F.col("groups") / F.lit(block_rows)).cast("int").alias("blocks"))
+                         F.ceil(F.col("groups") / F.lit(block_rows)).cast("int").alias("blocks")), "langs")
     g = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     groups = written(groups.join(by_group, ["lang", "source"], "left").fillna(0, ["size"]).withColumn("g", g)
                      .join(langs, "lang"), "groups")
