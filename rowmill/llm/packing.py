@@ -3,12 +3,13 @@
 A configuration says how many pieces of each length share one sequence. The
 length histogram (at most ``capacity`` rows, whatever the input) goes to the
 driver, where the program min sum(x) with all pieces covered is solved by
-multiplicative weights: lengths still short of pieces weigh more, and a
-knapsack dynamic program over token positions prices the best configuration.
-Whole multiples of configurations are kept (``rounded``), what is left is
-packed by best fit on the histogram, and the better of this and best fit alone
-is taken. The plan then says, for each length, which ranks go to which sequence
-and place; pieces get their ranks in Spark, counted first per (length, salt).
+multiplicative weights: lengths that lag behind ask for the configurations that a
+knapsack dynamic program over token positions prices best, prices fall with the
+part covered, and steps are bounded for every length. The knapsack's worth is the
+program's dual, a lower bound (``Program.bound``) on any packing. The fractional
+runs are rounded to whole ones; best fit packs only the pieces that these leave.
+The plan then says, for each length, which ranks go to which sequence and place;
+pieces get their ranks in Spark, counted first per (length, salt).
 
 Pieces: a document's ids are cut only if it has more than ``capacity``; all
 pieces but the first are then full.
@@ -21,6 +22,7 @@ ties in any order; empty table, empty result.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ from rowmill.llm.common import packed, parts, ship_package, written
 from rowmill.llm.text import chunks
 from rowmill.llm.tokens import encoder, vocabulary
 
-ROUNDS = 160                # knapsacks solved for one histogram
-RATE = 0.35                 # step of the multiplicative weights
+ROUNDS = 400                # knapsacks solved for one cover, at most
+GAP = 1e-3                  # of the bound, at which the program counts as solved
+RATE = 1.0                  # step of the multiplicative weights that learn prices
+FALL = 0.03                 # how prices fall with the part covered
+TIE = 1e-4                  # parts of a sequence's worth that make no difference
 
 
 def _pieces(batches, sent, capacity: int, end_id: int):
@@ -55,51 +60,153 @@ def _pieces(batches, sent, capacity: int, end_id: int):
                 names=["id", "piece", "start", "length", "ids_crc32"])
 
 
-def knapsack(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """Copies of each length with the largest total value in one sequence."""
-    best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
-    lengths = np.flatnonzero(value > 0)
-    gain = value[lengths]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        best[c] = best[c - 1]
-        if k:
-            total = best[c - lengths[:k]] + gain[:k]
-            j = int(np.argmax(total))
-            if total[j] > best[c]:
-                best[c], take[c] = total[j], lengths[j]
-    out: dict[int, int] = {}
-    c = capacity
-    while c:
-        if take[c]:
-            out[int(take[c])] = out.get(int(take[c]), 0) + 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    return out
+class Prices:
+    """Knapsack over token positions: the worth of the best sequence of each
+    size, for one price per length, and the configurations that reach it."""
+
+    def __init__(self, worth: np.ndarray, capacity: int):
+        gain = np.where(worth > 0, worth, -np.inf)
+        best = np.zeros(capacity + 1)
+        back = best[::-1]
+        for c in range(1, capacity + 1):
+            best[c] = max(best[c - 1], (back[capacity - c + 1:] + gain[1:c + 1]).max())    # best[c - 1], ..., best[0]
+        self.best, self.worth, self.capacity = best, worth, capacity
+
+    def holding(self, held: np.ndarray, weight: np.ndarray, chance) -> tuple[np.ndarray, np.ndarray]:
+        """For each length in ``held`` a best configuration (up to ``TIE``) among
+        those with a piece of it; ties go by chance, in proportion to ``weight``.
+        (place in ``held``, length) of every piece."""
+        rows, got = [np.arange(len(held))], [held]
+        sizes = np.flatnonzero((self.worth > 0) & (weight > 0))
+        room = self.capacity - held
+        live = np.flatnonzero(room >= sizes.min(initial=self.capacity + 1))
+        while len(live):
+            c = room[live][:, None]
+            after = self.best[np.maximum(c - sizes, 0)] + self.worth[sizes]
+            odds = np.where((sizes <= c) & (after >= self.best[c] - TIE), weight[sizes], 0).cumsum(axis=1)
+            some = odds[:, -1] > 0
+            live, odds = live[some], odds[some]
+            piece = sizes[(odds <= chance.random(len(live))[:, None] * odds[:, -1:]).sum(axis=1)]
+            rows.append(live)
+            got.append(piece)
+            room[live] -= piece
+            live = live[room[live] >= sizes.min(initial=0)]
+        return np.concatenate(rows), np.concatenate(got)
+
+
+@dataclass
+class Program:
+    """Fractional solution: configuration ``row`` holds one piece of length
+    ``piece`` per entry and runs ``times[row]`` sequences. ``value`` is their sum,
+    ``bound`` a lower bound on any solution, whole or fractional."""
+    row: np.ndarray
+    piece: np.ndarray
+    times: np.ndarray
+    value: float
+    bound: float
+
+
+def _dual(need: np.ndarray, prices: np.ndarray, table: Prices) -> float:
+    """No sequence is worth more than ``best``, so all pieces need this many."""
+    return float((need * prices).sum() / table.best[-1])
+
+
+def _learned(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Prices by multiplicative weights: the best configuration runs at every
+    round, lengths that it covers get cheaper. Those of the best bound are kept."""
+    log, kept, bound, chance = np.log(lengths / capacity), lengths / capacity, 0.0, np.random.default_rng(1)
+    for k in range(ROUNDS):
+        worth = np.zeros(capacity + 1)
+        worth[lengths] = np.exp(log)
+        table = Prices(worth, capacity)
+        now = _dual(need, worth[lengths], table)
+        if now > bound:
+            bound, kept = now, worth[lengths] / table.best[-1]
+        top = lengths[int(np.argmax(worth[lengths] + table.best[capacity - lengths]))]
+        _, pieces = table.holding(np.array([top]), worth, chance)
+        cover = np.bincount(pieces, minlength=capacity + 1)[lengths] / need
+        log -= RATE / np.sqrt(k + 1) * cover / cover.max()
+    return kept, bound
+
 
+def _covered(lengths: np.ndarray, need: np.ndarray, prices: np.ndarray, capacity: int, step: float) -> Program:
+    """Cover all pieces round by round. Every length that lags behind asks for the
+    best configuration that holds it; no length is covered by more than ``step``
+    of its pieces in a round (the width), and prices fall with the part covered."""
+    size, chance = len(lengths), np.random.default_rng(len(lengths))
+    place = np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(size)
+    done, volume = np.zeros(size), float((need * prices).sum())
+    rows, pieces, times, bound, at = [], [], [], 0.0, 0
 
-def solve(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations that cover the histogram ``hist[length]``."""
-    need = hist.astype(float)
-    size = np.arange(len(hist)) / capacity
-    cover = np.zeros(len(hist))
-    total: dict[tuple, float] = {}
-    for _ in range(ROUNDS):
-        short = np.where(need > 0, np.maximum(0.0, 1 - cover / np.maximum(need, 1)), 0)
-        if short.max(initial=0) < 1e-3:
+    def add(asked, got, x):
+        nonlocal at
+        rows.append(asked + at)
+        pieces.append(got)
+        times.append(x)
+        at += len(x)
+
+    for k in range(ROUNDS):
+        left = np.maximum(1 - done, 0)
+        open_ = np.flatnonzero(left > 1e-9)
+        if (need * prices * left).sum() <= GAP / 2 * volume:
             break
-        weight = np.exp((short - 1) / RATE)
-        conf = knapsack(np.where(short > 1e-3, size * (1 + weight), 0), capacity)
-        at = np.array(list(conf))
-        many = np.array(list(conf.values()), float)
-        left = (need - cover)[at]
-        step = max(float((left / many).min()), 1.0)
-        cover[at] += step * many
-        key = tuple(sorted(conf.items()))
-        total[key] = total.get(key, 0.0) + step
-    return [(dict(k), x) for k, x in total.items()]
+        worth = np.zeros(capacity + 1)
+        worth[lengths] = prices
+        if k == 0:
+            bound = _dual(need, prices, Prices(worth, capacity))
+        worth[lengths] *= np.exp(-FALL * (done - done.min()))
+        worth[lengths[left <= 1e-9]] = 0
+        table = Prices(worth, capacity)
+        lag = open_[np.lexsort((chance.random(len(open_)), np.round(done[open_], 2)))][:max(40, len(open_) // 10)]
+        weight = np.zeros(capacity + 1)
+        weight[lengths] = left * need * lengths
+        asked, got = table.holding(lengths[lag], weight, chance)
+        spot = place[got]
+        own = np.bincount(asked, spot == lag[asked], minlength=len(lag))
+        short = 1 - (worth[lengths[lag]] + table.best[capacity - lengths[lag]]) / table.best[-1]
+        x = np.minimum(step, left[lag]) * need[lag] / own * np.exp(-50 * short)
+        room = np.minimum(step, left) * need
+        for _ in range(3):                                   # configurations that share a length share its room
+            use = np.bincount(spot, x[asked], minlength=size)
+            cut = np.ones(len(lag))
+            np.minimum.at(cut, asked, np.minimum(1, room / np.maximum(use, 1e-30))[spot])
+            x = x * cut
+        done += np.bincount(spot, x[asked], minlength=size) / need
+        add(asked, got, x)
+    rest = np.flatnonzero(done < 1 - 1e-9)
+    if len(rest):                                            # cover may exceed the need from here on
+        worth = np.zeros(capacity + 1)
+        worth[lengths] = prices
+        asked, got = Prices(worth, capacity).holding(lengths[rest], worth, chance)
+        own = np.bincount(asked, got == lengths[rest][asked], minlength=len(rest))
+        add(asked, got, (1 - done[rest]) * need[rest] / own)
+    times = np.concatenate(times)
+    return Program(np.concatenate(rows), np.concatenate(pieces), times, float(times.sum()), bound)
+
+
+def solve(hist: np.ndarray, capacity: int) -> Program:
+    """Configurations, each run a fractional number of times, that cover the
+    histogram ``hist[length]``; ``value`` is within ``GAP`` of ``bound``, or the
+    best found in a fixed number of rounds.
+
+    Prices start at a length's share of a sequence. Where those leave a gap (no
+    mix of lengths fills sequences to the last token) they are learned first,
+    and the cover is found in smaller and smaller steps.
+    """
+    lengths = np.flatnonzero(hist)
+    need = hist[lengths].astype(float)
+    found = _covered(lengths, need, lengths / capacity, capacity, 0.5)
+    bound = found.bound
+    if found.value > (1 + GAP) * bound + 1:
+        prices, bound = _learned(lengths, need, capacity)
+        for step in (0.1, 0.03):
+            other = _covered(lengths, need, prices, capacity, step)
+            found, bound = min(found, other, key=lambda p: p.value), max(bound, other.bound, found.bound)
+            if found.value <= (1 + GAP) * bound + 1:
+                break
+    found.bound = bound
+    return found
 
 
 def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -128,18 +235,33 @@ def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return out
 
 
+def rounded(program: Program, hist: np.ndarray) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole runs of the program's configurations, and the pieces they leave.
+
+    Fractions are carried from one configuration to the next, so that the runs
+    add up to the program's; a run stops where a length has no pieces left."""
+    left = hist.copy()
+    order = np.argsort(program.row, kind="stable")
+    cuts = np.searchsorted(program.row[order], np.arange(len(program.times) + 1))
+    out, owed = [], 0.0
+    for k in np.argsort(-program.times, kind="stable").tolist():
+        size, n = np.unique(program.piece[order[cuts[k]:cuts[k + 1]]], return_counts=True)
+        owed += program.times[k]
+        runs = min(int(owed + 1e-9), int((left[size] // n).min()))
+        if runs > 0:
+            left[size] -= runs * n
+            owed -= runs
+            out.append((dict(zip(size.tolist(), n.tolist(), strict=True)), runs))
+        owed = min(owed, 1.0)
+    return out, left
+
+
 def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Whole configurations that hold the histogram exactly."""
-    plain = best_fit(hist, capacity)
-    left, rounded = hist.copy(), []
-    for conf, x in sorted(solve(hist, capacity), key=lambda c: -c[1]):
-        times = min(int(x + 1e-9), *(int(left[s]) // n for s, n in conf.items()))
-        if times > 0:
-            rounded.append((conf, times))
-            for s, n in conf.items():
-                left[s] -= times * n
-    rounded += best_fit(left, capacity)
-    return min(rounded, plain, key=lambda p: sum(t for _, t in p))
+    if not hist.any():
+        return []
+    runs, left = rounded(solve(hist, capacity), hist)
+    return runs + best_fit(left, capacity)
 
 
 class Places:
