@@ -12,12 +12,14 @@
 3. Pages are parsed again and the text is taken from the elements of the winning
    path; a page without such an element uses its own best container.
 
-Left out everywhere: scripts, styles and other elements without prose, nav,
-header, footer, aside, form and dialog elements, and elements whose class, id
-or role has one of the words in ``NOISE`` (not 'with-sidebar', 'no-sidebar' or
-'ad-free'). A form or a noisy block around the article is a wrapper and left out
-itself only (``wrappers``). White space in a block becomes one
-space, blocks are joined by a newline, nothing is capped.
+Left out everywhere: scripts, styles and other elements without prose, hidden
+elements, nav, header, footer, aside, form and dialog elements, and blocks whose
+class, id or role has one of the words in ``NOISE`` (not 'with-sidebar',
+'no-sidebar', 'ad-free' or 'related-work'). Headings and inline elements are kept
+whatever their names, but for inline adverts. An article inside an article, or
+with a remark's name, is a reader's comment. A form or a noisy block around the
+article is a wrapper and left out itself only (``wrappers``). White space in a
+block becomes one space, blocks are joined by a newline, nothing is capped.
 
 Defined results: null html or html without text gives the empty text; a null
 url belongs to the host ''; repeated rows vote as often as they occur; ties go
@@ -34,19 +36,24 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rowmill.llm.common import ship_package, written
 
 SHARE = 0.7
-BROADCAST_HOSTS = 200_000        # winners are broadcast up to this many hosts, joined by shuffle beyond
+BROADCAST_BYTES = 32 << 20       # winners are broadcast up to this size, joined by shuffle beyond
 
 # Elements by what they do to the text.
-RAW = "script style noscript template svg iframe object select textarea title canvas video audio math".split()
+RAW = "script style noscript template textarea title".split()                # read to their end, or the page's
+EMBEDDED = "svg math iframe object select canvas video audio".split()        # skipped if they are closed
+FOREIGN = "svg math".split()                                                 # may be closed in their own tag
 SILENT = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "head", "button", "fieldset"}
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "center"}
 BLOCKS = CONTAINERS | SILENT | set(
     "html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption blockquote pre figure figcaption "
     "address hr details summary".split())
+NAMED = CONTAINERS | {"ul", "ol", "dl", "table"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 NOISE = set(
     "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads advert adverts advertisement "
@@ -55,17 +62,30 @@ NOISE = set(
     "pagination pager newsletter subscribe signup login search widget toolbar complementary contentinfo "
     "gdpr paywall skip copyright disclaimer".split())
 
+REMARKS = set("comment comments reply replies disqus respond".split())
+ADS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+# After a noise word: 'related-posts' is noise, 'related-work' is not.
+PARTS = set(
+    "area articles author avatar bar block body bottom box button buttons card cell closed col column container content "
+    "count counter entry field foot footer form frame group head holder icon icons inner input item items label layout left "
+    "line link links list main meta module msg message new node open outer page pages panel parent placeholder policy pop "
+    "popup post posts rail region results right row section separator settings slot stories story strip table tab tabs text "
+    "thread title toggle top tree unit view wrap wrapper zone".split())
+
 WITHOUT, FREE = set("with without no non not has hide".split()), {"free", "less"}    # before and after a word that is no noise
 WRAP = {"form", "fieldset"}      # silent unless around the article
 PROSE = 40                       # unlinked characters from which a block counts as running text
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:" + "|".join(FOREIGN) + r")\b(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<skip>" + "|".join(EMBEDDED) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</(?P=skip)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>", re.S | re.I)
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"']")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 PIECES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
@@ -97,26 +117,53 @@ class Soft:
     wraps: bool = False
 
 
-def _noise(name: str) -> int:
-    """2 if a class or id name says noise, 1 if it has such a word before another ('sidebar-layout'), 0 without."""
+def _noise(name: str, among: set[str] = NOISE) -> int:
+    """2 if a class or id name says noise, 1 if it has such a word before a part of a page ('sidebar-layout'), 0 without."""
     words = [w for w in PIECES.split(name) if w and not w.isdigit()]
     level = 0
     for k, w in enumerate(words):
-        if w in NOISE and not (k and words[k - 1] in WITHOUT) and not (k + 1 < len(words) and words[k + 1] in FREE):
-            level = max(level, 2 if k + 1 == len(words) else 1)
+        if w in among and not (k and words[k - 1] in WITHOUT) and not (k + 1 < len(words) and words[k + 1] in FREE):
+            last = k + 1 == len(words)
+            level = max(level, 2 if last else int(words[k + 1] in PARTS | NOISE or w in REMARKS))
     return level
 
 
-def _names(attrs: str) -> tuple[str, int]:
-    """Generalised classes, and how far a name marks the element as noise."""
-    classes, noisy = "", 0
-    for m in ATTR.finditer(attrs):
-        value = entities.unescape(m[2] or m[3] or m[4] or "")
+@dataclass
+class Attributes:
+    """What the attributes of a tag say: generalised classes, how far class, role or
+    id mark noise, and remarks or adverts above all, and whether it is shown."""
+
+    classes: str = ""
+    noise: int = 0
+    remark: int = 0
+    advert: int = 0
+    hidden: bool = False
+
+
+PLAIN = Attributes()
+
+
+def attributes(tag: str, text: str) -> Attributes:
+    """Attributes in order by name, the first of a name counts. Ids mark noise on
+    ``NAMED`` elements alone (those of headings and others are made from their
+    text), on sections only as remarks."""
+    values: dict[str, str] = {}
+    for m in ATTR.finditer(text):
+        if m[1]:
+            values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    out = Attributes(hidden="hidden" in values or bool(UNSEEN.search(entities.unescape(values.get("style", "")))))
+    for key in ("class", "role", "id"):
+        value = entities.unescape(values.get(key, ""))
+        if key == "class":
+            out.classes = ".".join(sorted(re.sub(r"\d+", "N", value.lower()).split()))
+        if not value or key == "id" and tag not in NAMED:
+            continue
         for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
-            noisy = max(noisy, _noise(name))
-        if m[1].lower() == "class":
-            classes = ".".join(sorted(re.sub(r"\d+", "N", value.lower()).split()))
-    return classes, noisy
+            out.remark = max(out.remark, _noise(name, REMARKS))
+            if key != "id" or tag != "section":
+                out.noise, out.advert = max(out.noise, _noise(name)), max(out.advert, _noise(name, ADS))
+    out.noise = max(out.noise, out.remark)
+    return out
 
 
 def wrappers(softs: list[Soft], blocks: list[tuple[int, str, int, int]]) -> None:
@@ -192,8 +239,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
                         inline_noise.append(tag)
                 else:
                     attrs = m["attrs"] or m["attrs2"] or ""
-                    if attrs and not attrs.endswith("/") and ("class" in attrs or "id" in attrs or "role" in attrs):
-                        if _names(attrs)[1]:
+                    if attrs:
+                        said = attributes(tag, attrs)
+                        if said.hidden or said.advert:
                             inline_noise.append(tag)
             continue
         close_block()
@@ -215,8 +263,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
         if tag == "body":
             inside, silent, soft = 0, False, -1
         attrs = m["attrs"] or m["attrs2"] or ""
-        classes, noisy = _names(attrs) if attrs else ("", 0)
-        silent = silent or tag in SILENT - WRAP
+        said = attributes(tag, attrs) if attrs else PLAIN
+        noisy = 0 if tag in HEADINGS else said.noise
+        if tag == "article":                                       # an article in an article is a remark on it
+            noisy = max(said.remark, int(any(x[0] == "article" for x in stack)))
+        silent = silent or tag in SILENT - WRAP or (said.hidden and tag not in ("html", "body"))
         if not silent:
             if tag in ("main", "article", "h1"):
                 k = soft
@@ -225,11 +276,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, int]]]:
                     softs[k].article |= tag == "article" and not noisy
                     softs[k].heading |= tag == "h1"
                     k = softs[k].parent
-            if tag in WRAP or (noisy and tag not in ("body", "main", "article", "html")):
+            if tag in WRAP or (noisy and tag not in ("body", "main", "html")):
                 softs.append(Soft(soft, noisy))
                 soft = len(softs) - 1
         if tag in CONTAINERS and not silent:
-            nodes.append(Node(tag, f"{nodes[inside].path}/{tag}" + (f".{classes}" if classes else ""), inside))
+            nodes.append(Node(tag, f"{nodes[inside].path}/{tag}" + (f".{said.classes}" if said.classes else ""), inside))
             nodes[inside].children.append(len(nodes) - 1)
             inside = len(nodes) - 1
         stack.append((tag, inside, silent, soft))
@@ -327,7 +378,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     winners = written(votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
                       .groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), "path")).alias("path")),
                       "host-paths")
-    small = winners.count() <= BROADCAST_HOSTS
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    small = size <= BROADCAST_BYTES
     joined = p.join(F.broadcast(winners) if small else winners, "host", "left")
     return joined.select("row", "html", "path").mapInArrow(
-        _extract, f"row {p.schema['row'].dataType.simpleString()}, main_text string")
+        _extract, StructType([p.schema["row"], StructField("main_text", StringType())]))
