@@ -117,6 +117,33 @@ def row_chunks(rows: int, width: int):
         yield start, min(rows, start + step)
 
 
+class RowMap:
+    """A row-wise map x (d) -> phi(x) (s) that kernels apply inside their pass,
+    so that the mapped rows are never a column, stored or shuffled."""
+
+    d: int
+    s: int
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def release(self) -> None:
+        """Drop what was shipped for the map."""
+
+
+def pieces(batch, features: str, d: int, rows: "RowMap | None" = None):
+    """``(lo, hi, block)``: the features of a batch as dense blocks of width ``d``,
+    mapped a chunk of rows at a time when there is a row map."""
+    if rows is None:
+        yield 0, batch.num_rows, to_matrix(batch.column(features), d, features)
+        return
+    if rows.s != d:
+        raise ValueError(f"{features}: the row map gives {rows.s} values a row, expected {d}")
+    x = to_matrix(batch.column(features), rows.d, features)
+    for lo, hi in row_chunks(x.shape[0], max(rows.s, rows.d)):
+        yield lo, hi, rows(x[lo:hi])
+
+
 def exchange_free_partitions(df: DataFrame) -> int | None:
     """Partition count of a frame whose plan has no shuffle (scans, cached
     scans, projections, maps), read without running anything; None when
@@ -139,7 +166,9 @@ class Prepared:
     values. When a scan-like input has many more partitions than 4x the
     cluster's cores, it is coalesced (narrow, no shuffle) to that many
     tasks: every core stays busy and the partial shuffle shrinks by the
-    coalescing factor. Inputs that end in a
+    coalescing factor. Wide partials (``WIDE_PARTIAL`` values) go down to one
+    task a core: each adds up several input partitions locally before anything
+    is shuffled. Inputs that end in a
     shuffle already have spark.sql.shuffle.partitions (AQE-coalesced)
     partitions and are left alone."""
     df: DataFrame
@@ -193,6 +222,9 @@ def persist_for_passes(df: DataFrame, columns: list, persist: bool = True) -> Pa
     return PassFrame(frame, parts, owned=True)
 
 
+WIDE_PARTIAL = 1 << 16       # values of a partial from which tasks add up all they can before the shuffle
+
+
 def coalesce_target(spark) -> int | None:
     """Map-task count to coalesce partial aggregates to: 4 x the cluster's
     cores. Under dynamic allocation the registered cores are only those
@@ -217,6 +249,8 @@ def prepare(df: DataFrame, columns: list, partial_values: int,
     src = df.select(*columns)
     parts = exchange_free_partitions(src) if partitions == -1 else partitions
     target = coalesce_target(df.sparkSession)
+    if target is not None and partial_values >= WIDE_PARTIAL:
+        target = max(1, target // 4)
     if target is not None and parts is not None and partial_values >= 64 and parts > target:
         return Prepared(src.coalesce(target), target)
     return Prepared(src, parts)
@@ -338,19 +372,18 @@ def normal_equation_length(d: int, k: int = 1, with_label: bool = True,
 
 def normal_equation_partials(df, features: str, d: int, label: str | None = None,
                              k: int = 1, label_kind: str = "scalar",
-                             with_xx: bool = True) -> DataFrame:
+                             with_xx: bool = True, rows: RowMap | None = None) -> DataFrame:
     """One pass: X'X (upper triangle), X'Y, diag(Y'Y) and n per partition.
     ``label_kind``: 'scalar' (k=1), 'vector' (array<double> of length k) or
-    'class' (int id one-hot encoded in the block, never a column)."""
+    'class' (int id one-hot encoded in the block, never a column). With ``rows``
+    X is the mapped matrix (d its width)."""
     cols = [features] + ([label] if label else [])
     iu = np.triu_indices(d)
 
     def update(state, b):
-        x = to_matrix(b.column(features), d, features)
         if state is None:
             state = [np.zeros((d, d)) if with_xx else None, np.zeros((d, k)), np.zeros(k), 0.0]
-        if with_xx:
-            state[0] += x.T @ x
+        y = None
         if label:
             if label_kind == "scalar":
                 y = to_vector(b.column(label), label)[:, None]
@@ -358,9 +391,13 @@ def normal_equation_partials(df, features: str, d: int, label: str | None = None
                 y = one_hot_block(to_vector(b.column(label), label), k)
             else:
                 y = to_matrix(b.column(label), k, label)
-            state[1] += x.T @ y
             state[2] += (y * y).sum(axis=0)
-        state[3] += x.shape[0]
+        for lo, hi, x in pieces(b, features, d, rows):
+            if with_xx:
+                state[0] += x.T @ x
+            if label:
+                state[1] += x.T @ y[lo:hi]
+        state[3] += b.num_rows
         return state
 
     def emit(state):
@@ -411,25 +448,28 @@ def gram_full_partials(df, features: str, d: int) -> DataFrame:
 # Matrix-free Gram products  X'X P  (P: d x k)
 # ---------------------------------------------------------------------------
 
-def gram_times_partials(df, features: str, d: int, p: np.ndarray, handle=None) -> DataFrame:
-    """X'X P per partition, row-major d x k."""
+def gram_times_partials(df, features: str, d: int, p: np.ndarray, handle=None,
+                        rows: RowMap | None = None) -> DataFrame:
+    """X'X P per partition, row-major d x k; X is the mapped matrix with ``rows``."""
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     handle = handle or ship(_session(df), p)
 
     def update(state, b):
-        x = to_matrix(b.column(features), d, features)
-        part = x.T @ (x @ handle.value)
-        return part if state is None else state + part
+        for _, _, x in pieces(b, features, d, rows):
+            part = x.T @ (x @ handle.value)
+            state = part if state is None else state + part
+        return state
 
     return partial_frame(df, [features], update, lambda st: st.reshape(-1), p.size)
 
 
-def gram_times(df: "DataFrame | Prepared", features: str, d: int, p: np.ndarray) -> np.ndarray:
+def gram_times(df: "DataFrame | Prepared", features: str, d: int, p: np.ndarray,
+               rows: RowMap | None = None) -> np.ndarray:
     p = np.asarray(p, dtype=np.float64).reshape(d, -1)
     src = df if isinstance(df, Prepared) else prepare(df, [features], p.size)
     handle = ship(_session(src), p)
     try:
-        part = gram_times_partials(src, features, d, p, handle)
+        part = gram_times_partials(src, features, d, p, handle, rows)
         return reduce_vector(part, p.size, src.partitions).reshape(p.shape)
     finally:
         release(handle)          # one broadcast per iteration, not one per fit

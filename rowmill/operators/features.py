@@ -44,6 +44,29 @@ def rff_params(d: int, s: int, sigma: float, rng: str = "java48",
     return z, u * TWO_PI
 
 
+class FourierMap(blocks.RowMap):
+    """sqrt(2/s)·cos(Z x + v) as a row map of the fits' kernels."""
+
+    def __init__(self, spark, z: np.ndarray, v: np.ndarray):
+        self.s, self.d = z.shape
+        self._sent = blocks.ship(spark, np.vstack([z.T, v[None, :]]))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        zt_v = self._sent.value
+        phi = x @ zt_v[:self.d]
+        phi += zt_v[self.d]
+        np.cos(phi, out=phi)
+        phi *= math.sqrt(2.0 / self.s)
+        return phi
+
+    def release(self) -> None:
+        blocks.release(self._sent)
+
+
+def fourier_map(spark, d: int, s: int, sigma: float, rng: str = "java48") -> FourierMap:
+    return FourierMap(spark, *rff_params(d, s, sigma, rng))
+
+
 def rbf_random_features(df: DataFrame, features: str, d: int, s: int, sigma: float,
                         keep: list[str] | None = None, out: str = "features",
                         rng: str = "java48") -> DataFrame:
@@ -55,8 +78,7 @@ def apply_rff(df: DataFrame, features: str, z: np.ndarray, v: np.ndarray,
               keep: list[str] | None = None, out: str = "features") -> DataFrame:
     s, d = z.shape
     keep = [c for c in (keep or []) if c != out]
-    handle = blocks.ship(df.sparkSession, np.vstack([z.T, v[None, :]]))
-    scale = math.sqrt(2.0 / s)
+    phi_of = FourierMap(df.sparkSession, z, v)
     src = df.select(*keep, features)
     kept = [f for f in src.schema.fields if f.name in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] +
@@ -66,10 +88,7 @@ def apply_rff(df: DataFrame, features: str, z: np.ndarray, v: np.ndarray,
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = blocks.to_matrix(b.column(features), d, features)
-            zt_v = handle.value
-            for lo, hi in blocks.row_chunks(x.shape[0], max(s, d)):
-                phi = np.cos(x[lo:hi] @ zt_v[:d] + zt_v[d]) * scale
+            for lo, hi, phi in blocks.pieces(b, features, s, phi_of):
                 cols = {name: b.column(name).slice(lo, hi - lo) for name in keep}
                 cols[out] = blocks.list_array(phi)
                 yield pa.RecordBatch.from_pydict(cols)

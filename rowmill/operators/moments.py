@@ -42,10 +42,12 @@ def _label_terms(label: str, label_kind: str, k: int, c: int):
 
 
 def moments(df: DataFrame, features: str, d: int, label: str | None = None,
-            k: int = 1, label_kind: str = "scalar", method: str = "auto") -> Moments:
-    """X'X, X'Y, diag(Y'Y) and n, collected to the driver (model-sized)."""
-    if _pick(method, d, k if label is not None else 0) == "arrow":
-        parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind)
+            k: int = 1, label_kind: str = "scalar", method: str = "auto",
+            rows: blocks.RowMap | None = None) -> Moments:
+    """X'X, X'Y, diag(Y'Y) and n, collected to the driver (model-sized); of the
+    mapped rows when there is a row map."""
+    if rows is not None or _pick(method, d, k if label is not None else 0) == "arrow":
+        parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind, rows=rows)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)
     aggs = [F.count(F.lit(1)).alias("n"), _bad_rows(features, d, label).alias("bad_rows")]

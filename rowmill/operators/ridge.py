@@ -88,7 +88,7 @@ def linear_mse(df: DataFrame, features: str, label: str, w) -> DataFrame:
 
 # Up to this many score terms (k·d) class scores are plain Column
 # arithmetic (codegen); above it one GEMM per Arrow batch computes them.
-SCORE_EXPR_TERMS = 4096
+SCORE_EXPR_TERMS = 64
 
 
 def class_scores(features: str, W: np.ndarray) -> F.Column:
@@ -101,11 +101,13 @@ def _argmax_rows(x: np.ndarray, W: np.ndarray) -> np.ndarray:
     return np.argmax(x @ W, axis=1)        # first maximum wins, as array_position
 
 
-def predict_class(df: DataFrame, features: str, W, keep: list[str] | None = None) -> DataFrame:
-    """Argmax class of x·W (first maximum wins); row-local."""
+def predict_class(df: DataFrame, features: str, W, keep: list[str] | None = None,
+                  rows: blocks.RowMap | None = None) -> DataFrame:
+    """Argmax class of x·W (first maximum wins); row-local. With ``rows`` x is the
+    mapped row."""
     W = np.asarray(W, dtype=np.float64)
     keep = list(keep or [])
-    if W.size <= SCORE_EXPR_TERMS:
+    if W.size <= SCORE_EXPR_TERMS and rows is None:
         return df.select(*keep, V.argmax(class_scores(features, W)).alias("prediction"))
     import pyarrow as pa
     d = W.shape[0]
@@ -118,20 +120,20 @@ def predict_class(df: DataFrame, features: str, W, keep: list[str] | None = None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = blocks.to_matrix(b.column(features), d, features)
             cols = {name: b.column(name) for name in keep}
-            cols["prediction"] = pa.array(_argmax_rows(x, handle.value).astype(np.int32))
+            best = [_argmax_rows(x, handle.value) for _, _, x in blocks.pieces(b, features, d, rows)]
+            cols["prediction"] = pa.array(np.concatenate(best).astype(np.int32))
             yield pa.RecordBatch.from_pydict(cols)
 
     return src.mapInArrow(run, schema)
 
 
 def misclassification(df: DataFrame, features: str, label: str, W,
-                      label_kind: str = "class") -> DataFrame:
+                      label_kind: str = "class", rows: blocks.RowMap | None = None) -> DataFrame:
     """``(errors, n, rate)``: rows whose argmax score differs from the label
     (a class id, or the argmax of a one-hot vector)."""
     W = np.asarray(W, dtype=np.float64)
-    if W.size <= SCORE_EXPR_TERMS:
+    if W.size <= SCORE_EXPR_TERMS and rows is None:
         pred = V.argmax(class_scores(features, W))
         truth = (V.required(F.col(label).cast("int"), None, "label is null") if label_kind == "class"
                  else V.argmax(label))
@@ -142,13 +144,13 @@ def misclassification(df: DataFrame, features: str, label: str, W,
         handle = blocks.ship(df.sparkSession, W)
 
         def update(state, b):
-            x = blocks.to_matrix(b.column(features), d, features)
             if label_kind == "class":
                 truth = blocks.to_vector(b.column(label), label).astype(np.int64)
             else:
                 truth = np.argmax(blocks.to_matrix(b.column(label), k, label), axis=1)
-            part = np.array([np.count_nonzero(_argmax_rows(x, handle.value) != truth),
-                             x.shape[0]], dtype=np.float64)
+            wrong = sum(np.count_nonzero(_argmax_rows(x, handle.value) != truth[lo:hi])
+                        for lo, hi, x in blocks.pieces(b, features, d, rows))
+            part = np.array([wrong, b.num_rows], dtype=np.float64)
             return part if state is None else state + part
 
         cells = blocks.partial_sums(df, [features, label], update, lambda st: st, 2)
@@ -186,74 +188,81 @@ class _GramOperator:
 class _DistributedOperator:
     """Applies X'X to a block with one Spark job."""
 
-    def __init__(self, df, features, d, k, partitions):
+    def __init__(self, df, features, d, k, partitions, rows=None):
         self.src = blocks.prepare(df, [features], d * k, partitions=partitions)   # planned once
-        self.features, self.d = features, d
+        self.features, self.d, self.rows = features, d, rows
 
     def __call__(self, p):
-        return blocks.gram_times(self.src, self.features, self.d, p)
+        return blocks.gram_times(self.src, self.features, self.d, p, self.rows)
 
 
 def _prepare(df: DataFrame, features: str, label: str, d: int, k: int,
-             label_kind: str, method: str, persist: bool = True):
+             label_kind: str, method: str, persist: bool = True, rows: blocks.RowMap | None = None):
     if method == "auto":
         method = "gram" if d <= GRAM_MAX_D else "matrix_free"
     if method == "gram":
-        m = moments(df, features, d, label, k, label_kind)
+        m = moments(df, features, d, label, k, label_kind, rows=rows)
         return method, m, _GramOperator(m.xx), None
     passes = blocks.persist_for_passes(df, [features, label], persist)
-    parts = _cross_only(passes.df, features, d, label, k, label_kind)
-    return method, parts, _DistributedOperator(passes.df, features, d, k, passes.partitions), passes
+    parts = _cross_only(passes.df, features, d, label, k, label_kind, rows)
+    return method, parts, _DistributedOperator(passes.df, features, d, k, passes.partitions, rows), passes
 
 
-def _cross_only(df, features, d, label, k, label_kind):
+def _cross_only(df, features, d, label, k, label_kind, rows=None):
     """n, X'Y and diag(Y'Y) without X'X (matrix-free path)."""
     parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind,
-                                            with_xx=False)
+                                            with_xx=False, rows=rows)
     return blocks.collect_moments(parts, d, k, with_xx=False)
 
 
 EVALUATE_BYTES = 32 << 20      # iterates shipped to one evaluation pass
 
 
-def residual_sums(df: DataFrame, features: str, label: str, d: int, iterates: np.ndarray) -> np.ndarray:
+SUM_TERMS = 64                 # weights of all iterates up to which errors are plain sums (codegen)
+
+
+def residual_sums(df: DataFrame, features: str, label: str, d: int, iterates: np.ndarray,
+                  rows: blocks.RowMap | None = None) -> np.ndarray:
     """||X w - y||² for every column w of ``iterates`` (d x h), summed over row
-    residuals: no digits are lost to cancellation. One pass for all columns, or
-    a pass per ``EVALUATE_BYTES`` of them."""
+    residuals: no digits are lost to cancellation. One pass for all columns (plain
+    sums for few weights, Arrow blocks beyond), or a pass per ``EVALUATE_BYTES`` of
+    them."""
+    if rows is None and 0 < iterates.size <= SUM_TERMS:
+        sums = [F.sum(_residual_sq(features, label, w)) for w in iterates.T]
+        return np.array([v or 0.0 for v in df.agg(*sums).first()])
     step = max(1, EVALUATE_BYTES // (8 * d))
     out = []
     for a in range(0, iterates.shape[1], step):
         w = iterates[:, a:a + step]
-        h = w.shape[1]
         handle = blocks.ship(df.sparkSession, w)
 
         def update(state, b, handle=handle):
-            x = blocks.to_matrix(b.column(features), d, features)
             y = blocks.to_vector(b.column(label), label)
-            r = x @ handle.value - y[:, None]
-            part = np.einsum("nh,nh->h", r, r)
-            return part if state is None else state + part
-
-        cells = blocks.partial_sums(df, [features, label], update, lambda st: st, h).collect()
-        sums = np.zeros(h)
-        for c in cells:
-            sums[c["idx"]] = c["v"]
+            for lo, hi, x in blocks.pieces(b, features, d, rows):
+                r = x @ handle.value - y[lo:hi, None]
+                part = np.einsum("nh,nh->h", r, r)
+                state = part if state is None else state + part
+            return state
+
+        part = blocks.partial_frame(df, [features, label], update, lambda st: st, w.shape[1])
+        out.append(blocks.reduce_vector(part, w.shape[1]))
         blocks.release(handle)
-        out.append(sums)
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
              max_iter: int = 500, rel_tol: float | None = 1e-10,
-             method: str = "auto", record_every: int = 2, persist: bool = True) -> RidgeResult:
-    """Single-output ridge by CG from w0 = 0.
+             method: str = "auto", record_every: int = 2, persist: bool = True,
+             rows: blocks.RowMap | None = None) -> RidgeResult:
+    """Single-output ridge by CG from w0 = 0. With ``rows`` the matrix is that of
+    the mapped rows (d its width), mapped anew inside every pass.
 
     History rows ``(iter, objective, train_error)`` are recorded at every
     ``record_every``-th iteration t (t = 0, 2, 4, ...) after that step's
     update and before the stop test.
     """
     t0 = time.perf_counter()
-    method, m, apply_xx, frame = _prepare(df, features, label, d, 1, "scalar", method, persist)
+    method, m, apply_xx, frame = _prepare(df, features, label, d, 1, "scalar", method, persist, rows)
     try:
         n = m.n
         elapsed = []
@@ -286,7 +295,7 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
             p = r + beta * p
             rs = rs_new
         sse = residual_sums(frame.df if frame is not None else df, features, label, d,
-                            np.array([v for _, v in hist]).T) if n and hist else np.zeros(len(hist))
+                            np.array([v for _, v in hist]).T, rows) if n and hist else np.zeros(len(hist))
         hist = [(t, (s + ng * float(v @ v)) / (2.0 * n), s / n) if n else (t, 0.0, 0.0)
                 for (t, v), s in zip(hist, sse.tolist())]
         return RidgeResult(w, hist, int(n), it, converged, method, elapsed)
@@ -298,8 +307,10 @@ def ridge_cg(df: DataFrame, features: str, label: str, gamma: float, d: int,
 def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d: int, k: int,
                        label_kind: str = "class", max_iter: int = 500,
                        tol: float = 1e-8, rel_tol: float | None = 1e-10,
-                       method: str = "auto", persist: bool = True) -> RidgeResult:
-    """k independent CGs sharing each data pass (block CG).
+                       method: str = "auto", persist: bool = True,
+                       rows: blocks.RowMap | None = None) -> RidgeResult:
+    """k independent CGs sharing each data pass (block CG); ``rows`` as in
+    :func:`ridge_cg`.
 
     ``label`` is a class id in [0, k) (one-hot encoded inside the pass) or a
     k-vector. A column whose residual or curvature is exactly zero (a class
@@ -307,7 +318,7 @@ def ridge_multitask_cg(df: DataFrame, features: str, label: str, gamma: float, d
     turning NaN. History rows: ``(iter, residual_sq)`` with Σ_c r_c·r_c.
     """
     t0 = time.perf_counter()
-    method, m, apply_xx, frame = _prepare(df, features, label, d, k, label_kind, method, persist)
+    method, m, apply_xx, frame = _prepare(df, features, label, d, k, label_kind, method, persist, rows)
     try:
         n = m.n
         elapsed = []

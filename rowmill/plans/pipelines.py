@@ -11,6 +11,7 @@ E4 truncated SVD        : matrix -> ||A||_F² -> SVD -> rank-k error
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -86,28 +87,39 @@ def rfm_regression(df: DataFrame, gamma: float, num_random: int,
                    features: str = "features", label: str = "label", sigma: float | None = None,
                    max_iter: int = 500, rng: str = "java48",
                    rel_tol: float | None = 1e-10, durable_features: bool = False,
-                   d: int | None = None) -> RidgeRun:
+                   d: int | None = None, method: str = "auto") -> RidgeRun:
     """E2 with the random-feature step enabled; sigma defaults to the
-    bandwidth estimate of the scaled features."""
+    bandwidth estimate of the scaled features. The map is applied inside every
+    pass (``durable_features`` stores the mapped rows instead)."""
     spark = df.sparkSession
     d = d or infer_dim(df, features)
     data, sc = stats.center_maxabs_scale(df.select(label, features), label, features, d)
-    data = cached(data)
-    try:
-        if sigma is None:
-            sigma = stats.bandwidth_value(data, features, d)
-        mapped = feat.rbf_random_features(data, features, d, num_random, sigma, keep=[label], rng=rng)
-        if durable_features or num_random > ridge.GRAM_MAX_D:     # the Gram fit reads it once
-            mapped = _hold(mapped, durable_features)
-        res = ridge.ridge_cg(mapped, features, label, gamma, num_random,
-                             max_iter=max_iter, rel_tol=rel_tol)
-        mapped.unpersist()
-    finally:
-        data.unpersist()
+    if sigma is None:
+        sigma = stats.bandwidth_value(data, features, d)
+    with _mapped(data, features, label, d, num_random, sigma, rng, durable_features) as (rows, phi):
+        res = ridge.ridge_cg(rows, features, label, gamma, num_random, max_iter=max_iter, rel_tol=rel_tol,
+                             method=method, rows=phi)
     return RidgeRun(res, sc, ridge.history_frame(spark, res.history),
                     ridge.weights_frame(spark, res.weights))
 
 
+@contextmanager
+def _mapped(df: DataFrame, features: str, label: str, d: int, s: int, sigma: float, rng: str, stored: bool):
+    """(frame, row map): the input with the map to apply to it, or the stored mapped rows without one."""
+    if stored:
+        mapped = _hold(feat.rbf_random_features(df, features, d, s, sigma, keep=[label], rng=rng), True)
+        try:
+            yield mapped, None
+        finally:
+            mapped.unpersist()
+        return
+    phi = feat.fourier_map(df.sparkSession, d, s, sigma, rng)
+    try:
+        yield df.select(features, label), phi
+    finally:
+        phi.release()
+
+
 @dataclass
 class RfmClassification:
     result: ridge.RidgeResult
@@ -120,18 +132,16 @@ def rfm_classification(df: DataFrame, num_classes: int, num_random: int, gamma:
                        max_iter: int = 500, rng: str = "java48",
                        rel_tol: float | None = 1e-10,
                        durable_features: bool = False,
-                       d: int | None = None) -> RfmClassification:
-    """Kernel ridge classification: RFF map, one-hot targets (encoded inside
-    the data pass), block CG, training misclassification."""
+                       d: int | None = None, method: str = "auto") -> RfmClassification:
+    """Kernel ridge classification: RFF map, one-hot targets (both inside the
+    data pass), block CG, training misclassification. No mapped row is ever
+    stored, unless ``durable_features`` asks for it."""
     d = d or infer_dim(df, features)
-    mapped = _hold(feat.rbf_random_features(df, features, d, num_random, sigma,
-                                            keep=[label], rng=rng), durable_features)
-    try:
-        res = ridge.ridge_multitask_cg(mapped, features, label, gamma, num_random, num_classes,
-                                       label_kind="class", max_iter=max_iter, rel_tol=rel_tol)
-        row = ridge.misclassification(mapped, features, label, res.weights).first()
-    finally:
-        mapped.unpersist()
+    with _mapped(df, features, label, d, num_random, sigma, rng, durable_features) as (rows, phi):
+        res = ridge.ridge_multitask_cg(rows, features, label, gamma, num_random, num_classes,
+                                       label_kind="class", max_iter=max_iter, rel_tol=rel_tol,
+                                       method=method, rows=phi)
+        row = ridge.misclassification(rows, features, label, res.weights, rows=phi).first()
     errors = df.sparkSession.createDataFrame(
         [(int(row["errors"]), int(row["n"]), float(row["rate"]))],
         "errors long, n long, rate double")

@@ -28,9 +28,6 @@ RANK = 10
 WIDE_S = 64                   # random features of the wide RFF queries
 CLASS_STEPS, REGRESSION_STEPS = 64, 200
 
-_LIST = f"range(1, {EMB_D + 1})"
-
-
 def _gram(points: str) -> str:
     """CTEs of the Gram table of ``points``, SQL of pts(vec_id, label, x)."""
     return f"""{points}, {O.emb_long()},
@@ -43,10 +40,11 @@ gram_list AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM gram_rows)"""
 _GRAM = _gram(O.EMB)
 
 
-def _cg(targets: str, points: str = O.EMB, gamma: float = GAMMA, steps: int = STEPS) -> str:
+def _cg(targets: str, points: str = O.EMB, gamma: float = GAMMA, steps: int = STEPS, width: int = EMB_D) -> str:
     """CTEs of CG: cg(t, c, w, r, p) after t steps for each output c.
 
-    ``targets``: SQL of (c, vec_id, y)."""
+    ``targets``: SQL of (c, vec_id, y); ``width``: features of a point."""
+    _LIST = f"range(1, {width + 1})"
     return f"""{_gram(points)}, targets AS ({targets}),
 rhs AS (SELECT c, j, sum(v * y) AS s FROM el JOIN targets USING (vec_id) GROUP BY c, j),
 start AS MATERIALIZED (
@@ -180,7 +178,12 @@ def q_rank10(spark, sf):
 
 @register("svd_subspace_rank10", _CERTIFICATE)
 def q_subspace(spark, sf):
-    return _certificate(spark, sf, "subspace")
+    return _certificate(spark, sf, "krylov")
+
+
+@register("svd_tsqr_rank10", _CERTIFICATE)
+def q_tsqr(spark, sf):
+    return _certificate(spark, sf, "tsqr")
 
 
 @register("kmeans_fit_parallel_init", f"""WITH {O.EMB}, {O.emb_long()}
@@ -246,6 +249,32 @@ def q_argmax(spark, sf):
     return out.select("vec_id", F.col("label").cast("long"), F.col("prediction").cast("long"))
 
 
+FUSED_S, FUSED_STEPS = 512, 8          # random features of the fused fit, and its iterations on both sides
+_ZF, _VF = feat.rff_params(EMB_D, FUSED_S, RFF_SIGMA)
+
+
+def _points(z: np.ndarray, v: np.ndarray) -> str:
+    """CTEs of pts(vec_id, label, x) with x the random features, Z as a list of rows."""
+    s = len(v)
+    rows = ", ".join(O.dlist(z[i]) for i in range(s))
+    return (O.EMB.replace("pts", "raw", 1) + f", zs AS MATERIALIZED (SELECT [{rows}] AS z, {O.dlist(v)} AS v), "
+            f"pts AS MATERIALIZED (SELECT vec_id, label, [sqrt(2.0 / {s}) * cos(list_dot_product(x, z[i]) + v[i]) "
+            f"for i in range(1, {s + 1})] AS x FROM raw, zs)")
+
+
+@register("pipeline_rfm_classification_fused", f"""WITH RECURSIVE {_cg(_CLASSES, _points(_ZF, _VF), MT_GAMMA, FUSED_STEPS, FUSED_S)},
+scores AS (SELECT vec_id, label, c, list_dot_product(x, w) AS s FROM pts, cg WHERE t = {FUSED_STEPS}),
+best AS (SELECT vec_id, any_value(label) AS label, arg_max(c, s) AS prediction FROM scores GROUP BY vec_id)
+SELECT count(*) FILTER (prediction <> label) AS errors, count(*) AS n,
+       (SELECT round(sum(list_dot_product(w, w)), 2) FROM cg WHERE t = {FUSED_STEPS}) AS weights_sq FROM best""")
+def q_rfm_fused(spark, sf):
+    """E3 on 512 features, matrix-free: every pass maps the 64-wide rows itself,
+    no mapped row is stored."""
+    run = pipelines.rfm_classification(emb(spark, sf), K, FUSED_S, MT_GAMMA, RFF_SIGMA, d=EMB_D, max_iter=FUSED_STEPS,
+                                       rel_tol=None, method="matrix_free")
+    return run.errors.select("errors", "n", F.round(F.lit(float((run.result.weights ** 2).sum())), 2).alias("weights_sq"))
+
+
 _Z3, _V3 = feat.rff_params(3, WIDE_S, 1.0)         # Z for sigma = 1; divided by the estimate below
 _RFF_LI = (O.li_scaled() + ", bw AS (SELECT sqrt(2 * (var_pop(x0) + var_pop(x1) + var_pop(x2))) AS sg FROM lis), "
            "pts AS MATERIALIZED (SELECT row_number() OVER () AS vec_id, y AS label, [" + ", ".join(

@@ -14,20 +14,17 @@ def read_labeled_csv(spark: SparkSession, path: str, d: int | None = None,
                      num_splits: int | None = None, coalesce: bool = True) -> DataFrame:
     """``(label int, features array<double>)`` with label = class - 1.
 
-    With ``d`` (feature count) an explicit schema is used; without it the
-    columns are read as text and the width comes from the file. Either way a
+    ``d`` is the feature count; without it the first line gives the width. A
     malformed or missing number and a line of another width fail the query."""
-    if d is not None:
-        schema = ", ".join(["c0 double"] + [f"c{j + 1} double" for j in range(d)])
-        raw = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST").csv(path)
-        cols = [F.col(f"c{j + 1}") for j in range(d)]
-        first = F.col("c0")
-    else:
-        raw = spark.read.option("header", "false").csv(path)
-        first = F.col(raw.columns[0]).cast("double")
-        cols = [F.col(c).cast("double") for c in raw.columns[1:]]
+    if d is None:
+        d = len(spark.read.option("header", "false").csv(path).columns) - 1
+        if d < 0:
+            raise ValueError(f"{path}: no lines, so the width is not known; pass d")
+    schema = ", ".join(["c0 double"] + [f"c{j + 1} double" for j in range(d)])
+    raw = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST").csv(path)
+    cols = [F.col(f"c{j + 1}") for j in range(d)]
     raw = partition_control(raw, num_splits, coalesce)
-    first = V.required(first.cast("double"), None, "missing class in a CSV line")
+    first = V.required(F.col("c0"), None, "missing class in a CSV line")
     return raw.select(V.class_shift(first).alias("label"),
                       V.required(F.array(*cols), V.is_row(F.array(*cols), len(cols)),
                                  "missing number in a CSV line").alias("features"))

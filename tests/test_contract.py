@@ -143,3 +143,17 @@ def test_training_error_keeps_its_digits(spark):
 def test_statistics_refuse_bad_rows(spark):
     df = frame(spark, 3, "long row")
     fails(_run(lambda: stats.center_maxabs_scale(df, "label", "features", 3)[0].collect()))
+
+
+@pytest.mark.parametrize("d", [None, 2])
+@pytest.mark.parametrize("bad", ["2,3,4,5", "2,3", "2,3,x", "2,,3"])
+def test_csv_line_of_another_width_fails(spark, tmp_path, d, bad):
+    from rowmill.sources.csv import read_labeled_csv
+
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "a.csv").write_text("1,2,3\n2,3,4\n")
+    assert sorted(tuple(r.features) for r in read_labeled_csv(spark, str(good), d).collect()) == [(2.0, 3.0), (3.0, 4.0)]
+    (good / "b.csv").write_text(f"1,2,3\n{bad}\n")
+    with pytest.raises(Exception):
+        read_labeled_csv(spark, str(good), d).collect()
