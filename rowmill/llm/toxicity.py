@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import packed, ship_package
+from rowmill.llm.common import packed, ship_package, with_row
 from rowmill.llm.text import ALNUM, Words, chunks, mix
 
 WINDOW, STRIDE = 48, 24
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 16
 WORD_DIM, GRAM_DIM, HIDDEN = 6, 8, 8
 GRAMS = (3, 5)              # bytes of character n-grams, word ends marked
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 700, 1100, 24
+SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1100
 EPOCHS, BATCH, RATE = 6, 24, 0.02
 PIECE, PIECE_STRIDE = 64, 48    # bytes of the pieces of longer words
 CHUNK = 1 << 19
@@ -278,10 +278,6 @@ def fit(texts: list[str | None], toxic: np.ndarray, seed: int = 11) -> Network:
     w = words(buf, offs)
     f = Features(w)
     idx, mask, doc = frames(w, f, len(texts))
-    order = np.lexsort((g.random(len(doc)), doc))
-    nth = np.arange(len(doc)) - np.searchsorted(doc, doc)            # at most SAMPLE_WINDOWS of a document
-    keep = np.sort(order[nth < SAMPLE_WINDOWS])
-    idx, mask, doc = idx[keep], mask[keep], doc[keep]
     net = Network()
     for epoch in range(EPOCHS):
         now = g.random(len(doc)).astype(np.float32)
@@ -328,7 +324,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         return []
     chosen = docs.sparkSession.createDataFrame(ids, "id long, y int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    got = texts.dropDuplicates(["id"]).select("text", "y", "id").collect()
+    got = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()     # of a repeated id the first text in order
     return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: r["id"])]
 
 
@@ -348,4 +344,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     sent = spark.sparkContext.broadcast(model)
     d = packed(docs, id_col, text_col).select("row", "text")
     return d.mapInArrow(lambda it: _score(it, sent),
-                        f"row {d.schema['row'].dataType.simpleString()}, text string, score double")
+                        with_row(d, "text string, score double"))
