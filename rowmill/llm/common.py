@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType, StructType
 
 from rowmill import session
 from rowmill.session import scratch_path
@@ -43,7 +44,18 @@ def key_of(name: str) -> Column:
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, row): the row keeps all other columns, whatever their names."""
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(key_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.struct(*cols).alias("row"))
+    """(id, text, row): the row keeps all other columns, whatever their names.
+    Ids must be integers."""
+    names = docs.columns
+    kind = docs.schema.fields[names.index(id_col)].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise ValueError(f"{id_col}: ids must be integers, not {kind.simpleString()}")
+    flat = docs.toDF(*[f"c{k}" for k in range(len(names))])      # names may clash but for their case
+    cols = [F.col(f"c{k}").alias(c) for k, c in enumerate(names) if k != names.index(text_col)]
+    return flat.select(key_of(f"c{names.index(id_col)}").alias("id"),
+                       F.col(f"c{names.index(text_col)}").cast("string").alias("text"), F.struct(*cols).alias("row"))
+
+
+def with_row(df: DataFrame, columns: str) -> StructType:
+    """Schema of ``row`` as it is in ``df``, and more columns."""
+    return StructType([df.schema["row"], *StructType.fromDDL(columns).fields])

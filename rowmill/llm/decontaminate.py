@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import packed, ship_package, written
+from rowmill.llm.common import packed, ship_package, with_row, written
 from rowmill.llm.text import ALNUM, Words, chunks, span_hashes
 
 WINDOW = 13
@@ -252,8 +252,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return spark.sparkContext.broadcast(Phrases([tuple(r) for r in some]))
 
     def search(df: DataFrame, sent) -> DataFrame:
-        return df.mapInArrow(lambda it: _search(it, sent), f"row {df.schema['row'].dataType.simpleString()}, text string, "
-                                                           "n_words long, spans binary, items array<string>")
+        return df.mapInArrow(lambda it: _search(it, sent), with_row(df, "text string, n_words long, spans binary, items array<string>"))
 
     if blocks > 1:
         out = written(out.withColumn("at", F.monotonically_increasing_id()), "numbered")
@@ -272,6 +271,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     else:
         out = out.select("row", "text", *empty)
     out = search(out, phrases(blocks - 1))
-    kind = f"row {out.schema['row'].dataType.simpleString()}, text string, n_words long"
-    out = out.mapInArrow(_spans, f"{kind}, n_hit long, items array<string>, spans array<array<bigint>>")
+    out = out.mapInArrow(_spans, with_row(out, "text string, n_words long, n_hit long, items array<string>, "
+                                               "spans array<array<bigint>>"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import packed, parts, ship_package, written
+from rowmill.llm.common import packed, parts, ship_package, with_row, written
 
 BITS_PER_LINE = 12
 MAX_BITS = 1 << 29                  # 64 MB for each task at any input size
@@ -184,6 +184,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     ship_package(docs.sparkSession)
     d = packed(docs, id_col, text_col)
     lost = repeated_keys(d, min_chars, min_docs)
-    kind = d.schema["row"].dataType.simpleString()
     return d.join(lost, "id", "left").select("row", "text", "lost").mapInArrow(
-        lambda it: _drop(it, None), f"row {kind}, n_lines long, n_dropped long, kept_text string")
+        lambda it: _drop(it, None), with_row(d, "n_lines long, n_dropped long, kept_text string"))

@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rowmill.llm.common import ship_package, written
 
@@ -141,10 +142,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     others = [F.col(f"`{c}`") for c in messages.columns if c != text_col]
     m = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                         F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = m.schema["row"].dataType.simpleString()
     parsed = m.select("conv", "turn", "row", "text").mapInArrow(
-        _parse, f"conv long, turn long, row {kind}, own_text string, plain array<bigint>, quoted array<bigint>, "
-                "levels array<int>, words array<array<bigint>>, quote_depth int")
+        _parse, StructType([*m.schema.fields[:3], *StructType.fromDDL(
+            "own_text string, plain array<bigint>, quoted array<bigint>, levels array<int>, words array<array<bigint>>, "
+            "quote_depth int").fields]))
     asked = (parsed.where("quote_depth > 0 and conv is not null and turn is not null")
              .select("conv", "turn", F.explode(F.arrays_zip("quoted", "levels", "words")).alias("q"))
              .groupBy("conv", "turn", F.col("q.quoted").alias("h"), F.col("q.levels").alias("level"))

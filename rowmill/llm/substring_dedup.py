@@ -34,14 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from rowmill.llm.common import packed, parts, ship_package
+from rowmill.llm.common import packed, parts, ship_package, with_row
 from rowmill.llm.text import MULT_A, MULT_B, NON_WHITE, Words, chunks, mix, windows
 from rowmill.session import scratch_path
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 64 << 20     # of texts whose hashes meet in one bucket, about: a bucket is held by one task
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -267,13 +269,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = parts(spark)
     blocks = max(n, -(-size // BLOCK_BYTES))
+    buckets = max(n, -(-size // BUCKET_BYTES))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     d = d.withColumn("block", block)
     firsts = (d.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(F.min("id").alias("first"))
               .select("first").distinct().withColumn("block", F.pmod(F.xxhash64("first"), F.lit(blocks)).cast("int")))
-    kind = d.schema["row"].dataType.simpleString()
+    given = d.schema["row"].dataType
+    plain = StructType([StructField(f"f{k}", f.dataType) for k, f in enumerate(given.fields)])     # a table's names may not clash
+    d = d.withColumn("row", F.col("row").cast(plain))
     settled = d.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(
-        _settle, f"block int, id long, row {kind}, text string, done string, n_words long")
+        _settle, StructType.fromDDL("block int, id long").add(d.schema["row"]).add("text", "string").add("done", "string").add("n_words", "long"))
     name = f"rowmill_blocks_{uuid.uuid4().hex[:12]}"
     (settled.write.bucketBy(n, "block").option("path", scratch_path(spark, name))
      .option("compression", "zstd").saveAsTable(name))
@@ -281,10 +286,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = kept.select("block", "id", "text").where("text is not null")
 
     anchors = texts.groupBy("block").applyInArrow(
-        lambda t: _send_anchors(t, n), "bucket int, block int, hashes binary, several binary")
-    shared = anchors.repartition(n, "bucket").mapInArrow(_shared, "block int, hashes binary")
+        lambda t: _send_anchors(t, buckets), "bucket int, block int, hashes binary, several binary")
+    shared = anchors.repartition(buckets, "bucket").mapInArrow(_shared, "block int, hashes binary")
     sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        lambda t, r: _send_windows(t, r, n), "bucket int, block int, a binary, b binary, low binary, high binary")
-    least = sent.repartition(n, "bucket").mapInArrow(_smallest, "block int, a binary, b binary, low binary")
-    return kept.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(
-        _remove, f"row {kind}, n_words long, n_removed long, kept_text string")
+        lambda t, r: _send_windows(t, r, buckets), "bucket int, block int, a binary, b binary, low binary, high binary")
+    least = sent.repartition(buckets, "bucket").mapInArrow(_smallest, "block int, a binary, b binary, low binary")
+    out = kept.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(
+        _remove, with_row(d, "n_words long, n_removed long, kept_text string"))
+    return out.withColumn("row", F.col("row").cast(given))
