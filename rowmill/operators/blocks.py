@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sparse import SparseBlock
+
 # Arrays larger than this many bytes travel as a broadcast variable rather
 # than inside the pickled task closure.
 BROADCAST_BYTES = 1 << 20
@@ -117,6 +119,11 @@ def row_chunks(rows: int, width: int):
         yield start, min(rows, start + step)
 
 
+def to_block(arr, d: int, name: str = "features") -> "np.ndarray | SparseBlock":
+    """Rows of either form: dense (array<double>) or sparse (see :mod:`sparse`)."""
+    return SparseBlock.of(arr, d, name) if pa.types.is_struct(arr.type) else to_matrix(arr, d, name)
+
+
 class RowMap:
     """A row-wise map x (d) -> phi(x) (s) that kernels apply inside their pass,
     so that the mapped rows are never a column, stored or shuffled."""
@@ -135,11 +142,11 @@ def pieces(batch, features: str, d: int, rows: "RowMap | None" = None):
     """``(lo, hi, block)``: the features of a batch as dense blocks of width ``d``,
     mapped a chunk of rows at a time when there is a row map."""
     if rows is None:
-        yield 0, batch.num_rows, to_matrix(batch.column(features), d, features)
+        yield 0, batch.num_rows, to_block(batch.column(features), d, features)
         return
     if rows.s != d:
         raise ValueError(f"{features}: the row map gives {rows.s} values a row, expected {d}")
-    x = to_matrix(batch.column(features), rows.d, features)
+    x = to_block(batch.column(features), rows.d, features)
     for lo, hi in row_chunks(x.shape[0], max(rows.s, rows.d)):
         yield lo, hi, rows(x[lo:hi])
 
@@ -502,6 +509,8 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     re-decided with exact differences, so the assignment equals the exact
     centre-by-centre rule; the reported distance is always exact."""
     k, d = centers.shape
+    if isinstance(x, SparseBlock):
+        return _nearest_sparse(x, centers)
     if k < 2 or k * d < 256:
         return _nearest_exact(x, centers)
     xx = np.einsum("ij,ij->i", x, x)
@@ -517,17 +526,37 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     return arg, np.einsum("ij,ij->i", diff, diff)
 
 
+def _nearest_sparse(x: SparseBlock, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`nearest_center`; rows that rounding leaves open are compared densely,
+    a bounded chunk at a time."""
+    k, d = centers.shape
+    xx, cc = x.norms_sq(), np.einsum("ij,ij->i", centers, centers)
+    approx = xx[:, None] - 2.0 * (x @ centers.T) + cc[None, :]
+    arg = np.argmin(approx, axis=1)
+    dist = np.maximum(approx[np.arange(len(x)), arg], 0.0)
+    bound = 8.0 * (d + 2) * np.finfo(np.float64).eps * (xx + cc.max())
+    two = np.partition(approx, 1, axis=1)[:, :2] if k > 1 else np.column_stack([dist, np.full(len(x), np.inf)])
+    open_ = np.flatnonzero((two[:, 1] - two[:, 0] <= 2.0 * bound) | (dist <= 1e3 * bound))
+    for lo, hi in row_chunks(len(open_), d):
+        rows = np.vstack([x[i:i + 1].dense() for i in open_[lo:hi].tolist()])
+        arg[open_[lo:hi]], dist[open_[lo:hi]] = _nearest_exact(rows, centers)
+    return arg, dist
+
+
 def centroid_partials(df, features: str, d: int, centers: np.ndarray, handle=None) -> DataFrame:
     """Layout: [per-cluster sums (k x d) | counts (k) | cost]."""
     k = centers.shape[0]
     handle = handle or ship(_session(df), np.asarray(centers, dtype=np.float64))
 
     def update(state, b):
-        x = to_matrix(b.column(features), d, features)
+        x = to_block(b.column(features), d, features)
         arg, dist = nearest_center(x, handle.value)
         if state is None:
             state = [np.zeros((k, d)), np.zeros(k), 0.0]
-        np.add.at(state[0], arg, x)
+        if isinstance(x, SparseBlock):
+            x.add_rows(state[0], arg)
+        else:
+            np.add.at(state[0], arg, x)
         state[1] += np.bincount(arg, minlength=k)
         state[2] += dist.sum()
         return state

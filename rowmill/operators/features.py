@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import JavaRandom
 from . import blocks
+from .sparse import SparseBlock
 
 # Fixed seeds and constant of the original random feature maps.
 RFF_SEED_Z = 1234
@@ -63,6 +64,24 @@ class FourierMap(blocks.RowMap):
         blocks.release(self._sent)
 
 
+class ScaleMap(blocks.RowMap):
+    """x_j / m_j as a row map; a zero divisor gives 0. Sparse rows stay sparse."""
+
+    def __init__(self, spark, divisors):
+        m = np.asarray(divisors, dtype=np.float64)
+        self.s = self.d = m.size
+        self._sent = blocks.ship(spark, m)
+
+    def __call__(self, x):
+        m = self._sent.value
+        if isinstance(x, SparseBlock):
+            return x.scaled(m)
+        return np.divide(x, m, out=np.zeros_like(x), where=m != 0)
+
+    def release(self) -> None:
+        blocks.release(self._sent)
+
+
 def fourier_map(spark, d: int, s: int, sigma: float, rng: str = "java48") -> FourierMap:
     return FourierMap(spark, *rff_params(d, s, sigma, rng))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
+from .sparse import is_sparse
 
 
 @dataclass
@@ -39,6 +40,11 @@ def first_rows_init(df: DataFrame, features: str, k: int, order_by: str) -> np.n
     rows = df.orderBy(order_by).select(features).limit(k).collect()
     if len(rows) < k:
         raise ValueError(f"need at least k={k} rows, found {len(rows)}")
+    if is_sparse(df, features):
+        out = np.zeros((k, rows[0][0]["size"]))
+        for c, (x,) in enumerate(rows):
+            out[c, x["indices"]] = x["values"]
+        return out
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
@@ -52,6 +58,8 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
     (``initial_centers``), or 'k-means||' / 'random' (delegated to Spark
     ML's KMeans, which runs the same Lloyd steps in the JVM).
     """
+    if init == "k-means||" and is_sparse(df, features):
+        init, initial_centers = "given", parallel_init(df, features, k, d, seed)
     if init in ("k-means||", "random"):
         return _ml_kmeans(df, features, k, max_iter, init, epsilon, seed)
     if init == "given":
@@ -80,6 +88,68 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
         passes.release()
 
 
+ROUNDS, OVERSAMPLE = 5, 2.0      # of k-means||: sampling passes, and candidates of each as a multiple of k
+
+
+def parallel_init(df: DataFrame, features: str, k: int, d: int, seed: int = 42) -> np.ndarray:
+    """k-means|| on rows of either form. Every pass keeps each row with probability
+    ``OVERSAMPLE * k`` times its part of the cost; one more pass counts the rows
+    nearest to each candidate, and weighted k-means++ picks k of them on the driver
+    (about ``ROUNDS * OVERSAMPLE * k`` rows meet there, whatever the input)."""
+    rng = np.random.default_rng(seed)
+    row = df.where(F.col(features).isNotNull()).orderBy(F.xxhash64(F.col(features), F.lit(seed))).select(features).limit(1)
+    centers = first_rows_init(row.withColumn("at", F.lit(0)), features, 1, "at")
+    src = blocks.prepare(df, [features], ROUNDS * k * d)
+    for turn in range(ROUNDS):
+        _, _, cost = blocks.centroid_sums(src, features, d, centers)
+        if cost <= 0:
+            break
+        handle = blocks.ship(df.sparkSession, centers)
+
+        def sample(batches, handle=handle, cost=cost, turn=turn):
+            from pyspark import TaskContext
+            g = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                x = blocks.to_block(b.column(features), d, features)
+                _, dist = blocks.nearest_center(x, handle.value)
+                kept = np.flatnonzero(g.random(len(dist)) < OVERSAMPLE * k * dist / cost)
+                if len(kept):
+                    rows = [x[i:i + 1] for i in kept.tolist()]
+                    dense = np.vstack([r if isinstance(r, np.ndarray) else r.dense() for r in rows])
+                    yield pa.RecordBatch.from_arrays([blocks.list_array(dense)], names=["x"])
+
+        got = src.df.mapInArrow(sample, "x array<double>").collect()
+        blocks.release(handle)
+        if got:
+            centers = np.unique(np.vstack([centers, np.array([r["x"] for r in got])]), axis=0)
+    _, weight, _ = blocks.centroid_sums(src, features, d, centers)
+    return _weighted_plus_plus(centers, weight, k, rng)
+
+
+def _weighted_plus_plus(points: np.ndarray, weight: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++ over weighted candidates, then Lloyd steps among them. Fewer distinct
+    candidates than k: the last is repeated."""
+    chosen = [int(rng.choice(len(points), p=weight / weight.sum()))]
+    near = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        odds = near * weight
+        chosen.append(int(rng.choice(len(points), p=odds / odds.sum())) if odds.sum() > 0 else chosen[-1])
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    centers = points[chosen].copy()
+    for _ in range(30):
+        arg, _ = blocks.nearest_center(points, centers)
+        total = np.bincount(arg, weight, minlength=k)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, arg, points * weight[:, None])
+        new = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centers)
+        if np.array_equal(new, centers):
+            break
+        centers = new
+    return centers
+
+
 def _ml_kmeans(df, features, k, max_iter, init, epsilon, seed) -> KMeansResult:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -110,7 +180,7 @@ def assign(df: DataFrame, features: str, centers, keep: list[str] | None = None,
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = blocks.to_matrix(b.column(features), dd, features)
+            x = blocks.to_block(b.column(features), dd, features)
             arg, dist = blocks.nearest_center(x, handle.value)
             cols = {name: b.column(name) for name in keep}
             cols["prediction"] = pa.array(arg.astype(np.int32))

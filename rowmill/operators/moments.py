@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import blocks
 from .blocks import Moments
+from .sparse import is_sparse
 
 SQL_MAX_D = 16
 # The sql path is one aggregate with this many sum columns at most.
@@ -46,7 +47,7 @@ def moments(df: DataFrame, features: str, d: int, label: str | None = None,
             rows: blocks.RowMap | None = None) -> Moments:
     """X'X, X'Y, diag(Y'Y) and n, collected to the driver (model-sized); of the
     mapped rows when there is a row map."""
-    if rows is not None or _pick(method, d, k if label is not None else 0) == "arrow":
+    if rows is not None or is_sparse(df, features) or _pick(method, d, k if label is not None else 0) == "arrow":
         parts = blocks.normal_equation_partials(df, features, d, label, k, label_kind, rows=rows)
         return blocks.collect_moments(parts, d, k, with_label=label is not None)
     x = F.col(features)

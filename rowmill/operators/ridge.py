@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import blocks
 from .moments import moments
+from .sparse import is_sparse
 
 GRAM_MAX_D = 2048
 
@@ -107,7 +108,7 @@ def predict_class(df: DataFrame, features: str, W, keep: list[str] | None = None
     mapped row."""
     W = np.asarray(W, dtype=np.float64)
     keep = list(keep or [])
-    if W.size <= SCORE_EXPR_TERMS and rows is None:
+    if W.size <= SCORE_EXPR_TERMS and rows is None and not is_sparse(df, features):
         return df.select(*keep, V.argmax(class_scores(features, W)).alias("prediction"))
     import pyarrow as pa
     d = W.shape[0]
@@ -133,7 +134,7 @@ def misclassification(df: DataFrame, features: str, label: str, W,
     """``(errors, n, rate)``: rows whose argmax score differs from the label
     (a class id, or the argmax of a one-hot vector)."""
     W = np.asarray(W, dtype=np.float64)
-    if W.size <= SCORE_EXPR_TERMS and rows is None:
+    if W.size <= SCORE_EXPR_TERMS and rows is None and not is_sparse(df, features):
         pred = V.argmax(class_scores(features, W))
         truth = (V.required(F.col(label).cast("int"), None, "label is null") if label_kind == "class"
                  else V.argmax(label))
@@ -227,7 +228,7 @@ def residual_sums(df: DataFrame, features: str, label: str, d: int, iterates: np
     residuals: no digits are lost to cancellation. One pass for all columns (plain
     sums for few weights, Arrow blocks beyond), or a pass per ``EVALUATE_BYTES`` of
     them."""
-    if rows is None and 0 < iterates.size <= SUM_TERMS:
+    if rows is None and 0 < iterates.size <= SUM_TERMS and not is_sparse(df, features):
         sums = [F.sum(_residual_sq(features, label, w)) for w in iterates.T]
         return np.array([v or 0.0 for v in df.agg(*sums).first()])
     step = max(1, EVALUATE_BYTES // (8 * d))

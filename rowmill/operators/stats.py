@@ -128,6 +128,23 @@ def scale_stats(df: DataFrame, label: str, features: str, d: int) -> ScaleStats:
     return ScaleStats(float(rows[0]["y_mean"]), [float(r["max_abs"]) for r in rows])
 
 
+def sparse_scale_stats(df: DataFrame, label: str, features: str, d: int) -> ScaleStats:
+    """:func:`scale_stats` of sparse rows: stored values are exploded and their
+    maxima combined before the shuffle; features never stored have maximum 0."""
+    x = F.col(features)
+    row = df.agg(F.avg(F.col(label).cast("double")).alias("mu"), F.count(F.lit(1)).alias("n"),
+                 F.sum(F.when(x.isNull() | F.col(label).isNull() | (x["size"] != d), 1).otherwise(0)).alias("bad")).first()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} rows are null, of a length other than {d}, or have a null element or label")
+    if not row["n"]:
+        raise ValueError("empty matrix")
+    stored = df.select(F.explode(F.arrays_zip(x["indices"].alias("j"), x["values"].alias("v"))).alias("e"))
+    top = np.zeros(d)
+    for j, v in stored.groupBy(F.col("e.j").alias("j")).agg(F.max(F.abs("e.v")).alias("m")).collect():     # d rows at most
+        top[j] = v
+    return ScaleStats(float(row["mu"]), top.tolist())
+
+
 def center_maxabs_scale(df: DataFrame, label: str = "label", features: str = "features",
                         d: int | None = None, stats: ScaleStats | None = None,
                         keep: list[str] | None = None) -> tuple[DataFrame, ScaleStats]:

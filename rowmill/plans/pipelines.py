@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators import kmeans, nmi, ridge, stats, svd
+from ..operators.sparse import is_sparse
 from ..session import cached, durable
 from ..sources.matrix import partition_control
 
@@ -27,7 +28,7 @@ def infer_dim(df: DataFrame, features: str = "features") -> int:
     """Row length from the first row (reads one split) when the caller does
     not pass ``d``. Every kernel re-checks the length of every row it
     touches, in the same pass."""
-    row = df.select(F.size(features)).first()
+    row = df.select(F.col(features)["size"] if is_sparse(df, features) else F.size(features)).first()
     if row is None:
         raise ValueError("empty matrix")
     return int(row[0])
@@ -65,12 +66,18 @@ def ridge_regression(df: DataFrame, gamma: float, features: str = "features",
                      d: int | None = None) -> RidgeRun:
     spark = df.sparkSession
     d = d or infer_dim(df, features)
-    sc = None
+    sc = rows = None
     data = df.select(label, features)
-    if normalize:
+    if normalize and is_sparse(df, features):                 # scaled inside the passes, so that rows stay sparse
+        sc = stats.sparse_scale_stats(data, label, features, d)
+        data = data.select((F.col(label).cast("double") - F.lit(sc.label_mean)).alias(label), features)
+        rows = feat.ScaleMap(spark, sc.max_abs)
+    elif normalize:
         data, sc = stats.center_maxabs_scale(data, label, features, d)
     data = partition_control(data, num_splits, coalesce=False)
-    res = ridge.ridge_cg(data, features, label, gamma, d, max_iter=max_iter, rel_tol=rel_tol)
+    res = ridge.ridge_cg(data, features, label, gamma, d, max_iter=max_iter, rel_tol=rel_tol, rows=rows)
+    if rows is not None:
+        rows.release()
     return RidgeRun(res, sc, ridge.history_frame(spark, res.history),
                     ridge.weights_frame(spark, res.weights))
 
@@ -183,7 +190,7 @@ def kmeans_nmi_libsvm(spark, path: str, k: int, num_features: int | None, out_pa
     from ..sources import libsvm as libsvm_src
     from ..sources import matrix as matrix_src
 
-    data = cached(libsvm_src.read_libsvm(spark, path, num_features, label_cast="float_int"))
+    data = cached(libsvm_src.read_libsvm_sparse(spark, path, num_features, label_cast="float_int"))
     try:
         d = num_features if num_features is not None else infer_dim(data)
         fit = kmeans.kmeans_fit(data, "features", k, d, max_iter=max_iter, init=init,
@@ -202,7 +209,7 @@ def ridge_regression_libsvm(spark, path: str, num_features: int | None, gamma: f
     max-abs scale -> repartition -> CG -> history."""
     from ..sources import libsvm as libsvm_src
 
-    data = libsvm_src.read_libsvm(spark, path, num_features, label_cast="float_double")
+    data = libsvm_src.read_libsvm_sparse(spark, path, num_features, label_cast="float_double")
     return ridge_regression(data, gamma, num_splits=num_splits, max_iter=max_iter,
                             rel_tol=rel_tol, d=num_features)
 

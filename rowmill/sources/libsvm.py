@@ -42,6 +42,24 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
                       vector_to_array(F.col("features")).alias("features"))
 
 
+def read_libsvm_sparse(spark: SparkSession, path: str, num_features: int | None = None,
+                       label_cast: str = "double", num_splits: int | None = None,
+                       coalesce: bool = True) -> DataFrame:
+    """(label, features struct<size, indices, values>): the stored entries alone, with
+    0-based indices, parsed by column expressions. No row is made dense. Without
+    ``num_features`` one more pass finds the largest index. Malformed entries fail."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    tokens = F.split(F.trim("value"), r"\s+")
+    entries = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.split(t, ":"))
+    raw = lines.select(tokens[0].alias("label"), F.transform(entries, lambda e: e[0].cast("int") - 1).alias("indices"),
+                       F.transform(entries, lambda e: e[1].cast("double")).alias("values"))
+    if num_features is None:
+        num_features = (raw.agg(F.max(F.array_max("indices"))).first()[0] or 0) + 1
+    raw = partition_control(raw, num_splits, coalesce)
+    return raw.select(_cast_label(F.col("label"), label_cast).alias("label"),
+                      F.struct(F.lit(num_features).cast("int").alias("size"), "indices", "values").alias("features"))
+
+
 def format_libsvm(df: DataFrame, label: str, sparse: str) -> DataFrame:
     """One ``value`` text line per row: ``label i:x ...`` with 1-based,
     ascending indices, nonzero entries only. ``sparse`` is a map<int,double>
