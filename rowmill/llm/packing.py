@@ -35,6 +35,7 @@ from rowmill.llm.tokens import encoder, vocabulary
 
 ROUNDS = 400                # knapsacks solved for one cover, at most
 GAP = 1e-3                  # of the bound, at which the program counts as solved
+LEARN = 5e-3                # gap from which prices are learned
 RATE = 1.0                  # step of the multiplicative weights that learn prices
 FALL = 0.03                 # how prices fall with the part covered
 TIE = 1e-4                  # parts of a sequence's worth that make no difference
@@ -187,18 +188,18 @@ def _covered(lengths: np.ndarray, need: np.ndarray, prices: np.ndarray, capacity
 
 def solve(hist: np.ndarray, capacity: int) -> Program:
     """Configurations, each run a fractional number of times, that cover the
-    histogram ``hist[length]``; ``value`` is within ``GAP`` of ``bound``, or the
+    histogram ``hist[length]``; ``value`` is within ``LEARN`` of ``bound``, or the
     best found in a fixed number of rounds.
 
-    Prices start at a length's share of a sequence. Where those leave a gap (no
-    mix of lengths fills sequences to the last token) they are learned first,
-    and the cover is found in smaller and smaller steps.
+    Prices start at a length's share of a sequence. Where those leave a larger gap
+    (no mix of lengths fills sequences to the last token) they are learned first,
+    and the cover is found in smaller and smaller steps until it is within ``GAP``.
     """
     lengths = np.flatnonzero(hist)
     need = hist[lengths].astype(float)
     found = _covered(lengths, need, lengths / capacity, capacity, 0.5)
     bound = found.bound
-    if found.value > (1 + GAP) * bound + 1:
+    if found.value > (1 + LEARN) * bound + 1:
         prices, bound = _learned(lengths, need, capacity)
         for step in (0.1, 0.03):
             other = _covered(lengths, need, prices, capacity, step)
