@@ -55,21 +55,21 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
     """Fit k centres.
 
     ``init``: 'first' (k smallest ``order_by`` rows), 'given'
-    (``initial_centers``), or 'k-means||' / 'random' (delegated to Spark
-    ML's KMeans, which runs the same Lloyd steps in the JVM).
+    (``initial_centers``), 'k-means||' (:func:`parallel_init`), or 'random'
+    (delegated to Spark ML's KMeans, which runs the same Lloyd steps in the JVM).
     """
-    if init == "k-means||" and is_sparse(df, features):
-        init, initial_centers = "given", parallel_init(df, features, k, d, seed)
-    if init in ("k-means||", "random"):
+    if init == "random":
         return _ml_kmeans(df, features, k, max_iter, init, epsilon, seed)
     if init == "given":
         centers = np.asarray(initial_centers, dtype=np.float64).reshape(k, d)
-    else:
+    elif init == "first":
         if order_by is None:
             raise ValueError("init='first' needs order_by: rows have no order otherwise")
         centers = first_rows_init(df, features, k, order_by)
     passes = blocks.persist_for_passes(df, [features], persist)
     try:
+        if init == "k-means||":
+            centers = parallel_init(passes.df, features, k, d, seed, passes.partitions)
         src = blocks.prepare(passes.df, [features], k * d + k + 1, partitions=passes.partitions)
         costs, converged, it = [], False, 0
         for it in range(1, max_iter + 1):
@@ -91,15 +91,16 @@ def kmeans_fit(df: DataFrame, features: str, k: int, d: int, max_iter: int = 20,
 ROUNDS, OVERSAMPLE = 5, 2.0      # of k-means||: sampling passes, and candidates of each as a multiple of k
 
 
-def parallel_init(df: DataFrame, features: str, k: int, d: int, seed: int = 42) -> np.ndarray:
+def parallel_init(df: DataFrame, features: str, k: int, d: int, seed: int = 42,
+                  partitions: int | None = -1) -> np.ndarray:
     """k-means|| on rows of either form. Every pass keeps each row with probability
     ``OVERSAMPLE * k`` times its part of the cost; one more pass counts the rows
     nearest to each candidate, and weighted k-means++ picks k of them on the driver
     (about ``ROUNDS * OVERSAMPLE * k`` rows meet there, whatever the input)."""
     rng = np.random.default_rng(seed)
     row = df.where(F.col(features).isNotNull()).orderBy(F.xxhash64(F.col(features), F.lit(seed))).select(features).limit(1)
-    centers = first_rows_init(row.withColumn("at", F.lit(0)), features, 1, "at")
-    src = blocks.prepare(df, [features], ROUNDS * k * d)
+    centers = first_rows_init(row.withColumn("at", F.lit(0)), features, 1, "at")      # fails on an empty frame
+    src = blocks.prepare(df, [features], ROUNDS * k * d, partitions=partitions)
     for turn in range(ROUNDS):
         _, _, cost = blocks.centroid_sums(src, features, d, centers)
         if cost <= 0:
