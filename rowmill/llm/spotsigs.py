@@ -5,9 +5,13 @@ after it, skipping other anchors. A text's signatures form a set of 64-bit
 hashes; its fingerprint names the partition by set length, the set's digest and
 its ``SHOWN`` smallest signatures. Likeness is the Jaccard similarity of two
 signature sets. Only neighbours are compared, and their likeness is always the
-whole Jaccard value: the pruning by length (``floor`` of ``likeness``, meetings of
-``length_partition``) is off here, and the partition only names part of the
-fingerprint.
+whole Jaccard value: the pruning by length (``floor`` of ``likeness``) is off
+there, and the partition only names part of the fingerprint.
+
+``similar`` compares all texts at a floor: sets meet in inverted lists of their
+rarest signatures, kept by length partition, only with sets of their own and the
+next partition, only if lengths and places allow the floor, and pairs are decided
+by the whole Jaccard value.
 
 Neighbours in id order are compared without a global sort of one task: ids
 alone give the range of each partition and its first document, and that one
@@ -29,11 +33,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import packed, parts, ship_package
-from rowmill.llm.text import ALNUM, Words, mix, span_hashes
+from rowmill.llm.common import packed, parts, ship_package, written
+from rowmill.llm.text import ALNUM, Words, chunks, mix, span_hashes
 
 CHAIN = 2
 SHOWN = 4
@@ -209,3 +213,81 @@ def spot_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = sent.repartitionById(max(len(bounds) + 1, 1), F.col("bucket")).sortWithinPartitions("guest", "id", "text")
     return rows.mapInArrow(_walk, "id long, n_chars long, edited_sha256 string, fingerprint string, "
                                   "edited_fingerprint string, near_edited double, near_next double, n_signatures long")
+
+
+def _class_rows(batches):
+    for batch in batches:
+        for piece, buf, offs in chunks(batch, "text"):
+            sets = signature_sets([buf[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "digest", "sigs"])
+
+
+def _exploded(batches):
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column("sigs").to_pylist()]
+        size = [len(s) for s in sets]
+        if sum(size):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("id").to_numpy(), size)), pa.array(np.repeat(batch.column("n").to_numpy(), size)),
+                 pa.array(np.concatenate(sets))], names=["id", "n", "sig"])
+
+
+def _alike(batches, num: int, den: int):
+    for batch in batches:
+        keep, value = [], []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            total = len(a) + len(b) - same
+            keep.append(den * same >= num * total)
+            value.append(same / total)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())],
+                                         names=["a", "b", "likeness"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+            ) -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)``: ``(id, class_id)`` for every row, where rows of equal
+    signature sets share the smallest id, and ``(a, b, likeness)``, a < b, for all
+    classes whose sets are at least num / den alike. Empty sets stand alone.
+
+    A set of n signatures has at least num n / den in common with a partner, so the
+    rarest common one is among its n - num n / den + 1 rarest: only those are listed.
+    Of two sets that meet there, the smaller has at least num (n + m) / (num + den)
+    signatures from that one on, and so has the larger. A signature that very many
+    sets hold is listed only for sets made of such signatures.
+    """
+    if not 0 < num <= den:
+        raise ValueError(f"a likeness of {num} / {den} is not in (0, 1]")
+    ship_package(docs.sparkSession)
+    d = packed(docs, id_col, text_col).select("id", "text")
+    rows = written(d.mapInArrow(_class_rows, "id long, n long, digest binary, sigs binary"), "signatures")
+    reps = written(rows.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sigs").alias("sigs")), "classes")
+    members = rows.join(reps.select("digest", F.col("id").alias("class_id")), "digest").select("id", "class_id")
+
+    every = reps.mapInArrow(_exploded, "id long, n long, sig long")
+    shared = every.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    from_rarest = Window.partitionBy("id").orderBy(F.desc("df"), "sig")
+    # r: signatures from this one on, in order of frequency; those no other set holds come after all and are not listed
+    lists = (every.join(shared, "sig").withColumn("r", F.row_number().over(from_rarest)).where(f"{den} * r >= {num} * n")
+             .withColumn("part", _partition(F.col("n"), num, den)))
+    small = written(lists.where(f"{num + den} * r >= {2 * num} * n").select(
+        "sig", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("r").alias("pr"),
+        F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")), "smaller-sets")
+    large = written(lists.select("sig", "part", "id", "n", "r"), "larger-sets")
+    met = (small.join(large, ["sig", "part"])
+           .where(f"(n > pn or n = pn and id > p) and {den} * pn >= {num} * n and {num + den} * least(r, pr) >= {num} * (n + pn)")
+           .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+    pairs = (met.join(reps.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a")
+             .join(reps.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b"))
+    return members, pairs.mapInArrow(lambda it: _alike(it, num, den), "a long, b long, likeness double")
+
+
+def _partition(n, num: int, den: int):
+    """Length partition at this floor: a set's partners of more signatures stand in its own or the next one."""
+    if num == den:
+        return n.cast("int")
+    return F.floor(F.log(n) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
