@@ -9,7 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -207,6 +208,35 @@ def rbf_bandwidth(df: DataFrame, features: str = "features", d: int | None = Non
     return agg.select("sigma_sq", F.sqrt("sigma_sq").alias("sigma"))
 
 
+PAIR_ROWS = 500              # rows of a block whose pairs are taken, as in the bandwidth's definition
+
+
+def pairwise_sqdist(df: DataFrame, block: str, id_col: str = "id", features: str = "features", d: int | None = None,
+                    rows: int = PAIR_ROWS) -> DataFrame:
+    """``(block, a, b, sqdist)``: squared distances of all pairs of the first ``rows``
+    rows of each block in order of id, each row with itself included. A block's rows are
+    limited before they are shuffled; its pairs come from one kernel call."""
+    if d is None:
+        _, d = require_dims(df, features)
+    first = Window.partitionBy("block").orderBy("id")
+    some = (df.select(F.col(block).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(features).alias("x"))
+            .withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows))
+    kind = some.schema["block"].dataType.simpleString()
+
+    def pairs(table: pa.Table) -> pa.Table:
+        x = blocks.to_matrix(table.column("x"), d, features)
+        ids = table.column("id").to_numpy()
+        out = np.empty((len(ids), len(ids)))
+        for i in range(len(ids)):
+            diff = x - x[i]
+            out[i] = np.einsum("ij,ij->i", diff, diff)
+        n = len(ids)
+        return pa.table({"block": table.column("block").take(pa.array(np.zeros(n * n, np.int64))),
+                         "a": np.repeat(ids, n), "b": np.tile(ids, n), "sqdist": out.reshape(-1)})
+
+    return some.groupBy("block").applyInArrow(pairs, f"block {kind}, a long, b long, sqdist double")
+
+
 def bandwidth_value(df: DataFrame, features: str = "features", d: int | None = None,
                     by: str | None = None) -> float:
     return float(rbf_bandwidth(df, features, d, by).first()["sigma"])

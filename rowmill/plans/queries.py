@@ -25,7 +25,7 @@ from ..operators import features as feat
 from ..operators import kmeans, moments, nmi, ridge, stats, svd
 from ..session import scratch_path, ship_package
 from ..sources import csv as csv_src
-from ..sources import libsvm, matrix
+from ..sources import array_files, libsvm, matrix
 from . import oracle as O
 from . import pipelines
 
@@ -596,6 +596,41 @@ def q_pipeline_svd(spark, sf):
                             R("relative_error", 10).alias("relative_error"), "rank")
 
 
+PAIR_ROWS = 40                    # rows of each block whose pairs are taken
+
+
+@register("pairwise_sqdist", f"""
+WITH {O.EMB}, firsts AS (
+  SELECT label, vec_id, x FROM pts QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= {PAIR_ROWS})
+SELECT a.label AS block, a.vec_id AS a, b.vec_id AS b, round({O.sqdist_sql('a.x', 'b.x')}, 8) AS sqdist
+FROM firsts a JOIN firsts b ON b.label = a.label""")
+def q_pairwise(spark, sf):
+    out = stats.pairwise_sqdist(emb(spark, sf), "label", "vec_id", "features", EMB_D, PAIR_ROWS)
+    return out.select("block", "a", "b", R("sqdist", 8).alias("sqdist"))
+
+
+def _array_files(spark, sf):
+    path = scratch_path(spark, "array-files")
+    array_files.write_array_files(emb(spark, sf), path, EMB_D, "features", "vec_id")
+    return path
+
+
+@register("array_file_scan", f"WITH {O.EMB}, {O.emb_long()} SELECT vec_id, j, v AS x FROM el")
+def q_array_scan(spark, sf):
+    """embeddings -> array files -> scan by row range."""
+    rows = array_files.read_array_files(spark, _array_files(spark, sf), split_rows=256)
+    return matrix.to_long(rows).withColumnRenamed("id", "vec_id")
+
+
+@register("array_file_rows", f"""
+WITH {O.EMB}, h AS (SELECT * FROM pts ORDER BY vec_id LIMIT 130 OFFSET 70)
+SELECT vec_id, CAST(unnest(range(len(x))) AS BIGINT) AS j, unnest(x) AS x FROM h""")
+def q_array_rows(spark, sf):
+    """Rows 70 to 199 of the whole matrix: only their ranges are planned and mapped."""
+    rows = array_files.read_array_files(spark, _array_files(spark, sf), 70, 200)
+    return matrix.to_long(rows).withColumnRenamed("id", "vec_id")
+
+
 @register("sqdist_to_mean", f"""
 WITH {O.EMB}, {O.emb_long()}, mu AS (SELECT list(m ORDER BY j) AS m FROM (SELECT j, avg(v) AS m FROM el GROUP BY j))
 SELECT vec_id, round({O.sqdist_sql('x', 'm')}, 8) AS sqdist FROM pts, mu""")
