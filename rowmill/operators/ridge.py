@@ -45,7 +45,7 @@ def linear_score(df: DataFrame, features: str, w, keep: list[str] | None = None)
     return df.select(*(keep or []), V.dot_const(features, w).alias("score"))
 
 
-def _residual_sq(features: str, label: str, w) -> F.Column:
+def residual_sq(features: str, label: str, w) -> F.Column:
     y = V.required(F.col(label).cast("double"), None, "label is null")
     r = V.dot_const(features, w) - y
     return r * r
@@ -55,7 +55,7 @@ def ridge_objective(df: DataFrame, features: str, label: str, w, gamma: float) -
     """``(train_error, objective)`` at w: ||Xw-y||²/n and
     (||Xw-y||² + nγ||w||²)/(2n)."""
     wn = float(np.dot(w, w))
-    agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_residual_sq(features, label, w)).alias("sse"))
+    agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(residual_sq(features, label, w)).alias("sse"))
     return agg.select(
         (F.col("sse") / F.col("n")).alias("train_error"),
         ((F.col("sse") + F.col("n") * F.lit(gamma * wn)) / (F.lit(2.0) * F.col("n"))).alias("objective"))
@@ -84,7 +84,7 @@ def ridge_gradient(df: DataFrame, features: str, label: str, w, gamma: float) ->
 
 
 def linear_mse(df: DataFrame, features: str, label: str, w) -> DataFrame:
-    return df.agg(F.avg(_residual_sq(features, label, w)).alias("mse"))
+    return df.agg(F.avg(residual_sq(features, label, w)).alias("mse"))
 
 
 # Up to this many score terms (k·d) class scores are plain Column
@@ -229,7 +229,7 @@ def residual_sums(df: DataFrame, features: str, label: str, d: int, iterates: np
     sums for few weights, Arrow blocks beyond), or a pass per ``EVALUATE_BYTES`` of
     them."""
     if rows is None and 0 < iterates.size <= SUM_TERMS and not is_sparse(df, features):
-        sums = [F.sum(_residual_sq(features, label, w)) for w in iterates.T]
+        sums = [F.sum(residual_sq(features, label, w)) for w in iterates.T]
         return np.array([v or 0.0 for v in df.agg(*sums).first()])
     step = max(1, EVALUATE_BYTES // (8 * d))
     out = []

@@ -11,11 +11,13 @@ SQL takes more steps than that needs (``CLASS_STEPS``, ``REGRESSION_STEPS``).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
-from ..operators import kmeans, moments, ridge, svd
+from ..operators import exact, kmeans, moments, ridge, svd
 from ..session import scratch_path
 from ..sources import csv as csv_src
 from . import oracle as O
@@ -135,6 +137,21 @@ def q_misclassification(spark, sf):
     return out.select("errors", "n", R("rate", 10).alias("rate"))
 
 
+_LINE = [math.sin(j + 1.0) for j in range(EMB_D)]          # a given linear model on the 64-wide rows
+
+
+@register("exact_statistics", f"""WITH {O.EMB}, {O.emb_long()},
+row_errors AS (SELECT pow(list_dot_product(x, {O.dlist(_LINE)}) - label, 2) AS e FROM pts)
+SELECT round(avg(label), 10) AS label_mean, round((SELECT fsum(v * v) FROM el), 8) AS fro_sq,
+       round((SELECT favg(e) FROM row_errors), 8) AS mse FROM pts""")
+def q_exact(spark, sf):
+    """Statistics over exact sums: the same bits for any partitioning of the rows."""
+    e = emb(spark, sf)
+    out = exact.label_mean(e).crossJoin(exact.frobenius_norm_sq(e, "features", EMB_D))       # one row each
+    out = out.crossJoin(exact.linear_mse(e, "features", "label", _LINE))
+    return out.select(R("label_mean", 10).alias("label_mean"), R("fro_sq", 8).alias("fro_sq"), R("mse", 8).alias("mse"))
+
+
 @register("svd_spectral_moments", f"""WITH {_GRAM},
 traces AS (
   SELECT (SELECT sum(g) FROM gram WHERE i = j) AS t1, (SELECT sum(g * g) FROM gram) AS t2,
