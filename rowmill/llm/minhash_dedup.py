@@ -161,11 +161,11 @@ def _sorted_lists(batches):
 
 def _hub_pairs(post: DataFrame, sizes: Sizes) -> DataFrame:
     """Each member of a list with the list's smallest id."""
-    first = post.groupBy("v").agg(F.min(F.struct("id", "n", "comp")).alias("hub"),
-                                  F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return (post.join(first.select("v", "hub"), "v").where("comp <> hub.comp")
-            .where(sizes.lengths("n", "hub.n"))
-            .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
+    first = (post.groupBy("v").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hn"), F.min_by("comp", "id").alias("hcomp"),
+                                   F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"))
+    return (post.join(written(first.select("v", "hub", "hn", "hcomp"), "hubs"), "v").where("comp <> hcomp")
+            .where(sizes.lengths("n", "hn"))
+            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
 
 
 def _neighbour_pairs(post: DataFrame, place: int, sizes: Sizes) -> DataFrame:
@@ -206,8 +206,8 @@ def _rest_pairs(post: DataFrame, texts: DataFrame, sizes: Sizes) -> DataFrame:
              .where(f"{den} * r >= {num} * n").select("v", "id", "n", "r"))
     lists = written(lists.join(ids, "id"), "full-lists")
     by_comp = lists.groupBy("v", "comp").count()
-    top = (by_comp.groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("k"))
-           .where("k > 1").select("v", "top"))
+    top = written(by_comp.groupBy("v").agg(F.max_by("comp", "count").alias("top"), F.count("*").alias("k"))
+                  .where("k > 1").select("v", "top"), "main-components")
     some = lists.join(top, "v").select("v", "id", "n", "r", "comp", (F.col("comp") == F.col("top")).alias("main"))
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)) + F.lit(1e-9)).cast("int")
     widest = F.least(F.floor(F.col("n") * den / num), F.floor(F.col("r") * (num + den) / num) - F.col("n"))
