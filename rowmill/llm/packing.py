@@ -7,7 +7,8 @@ multiplicative weights: lengths that lag behind ask for the configurations that
 knapsack dynamic program over token positions prices best, prices fall with the
 part covered, and steps are bounded for every length. The knapsack's worth is the
 program's dual, a lower bound (``Program.bound``) on any packing. The fractional
-runs are rounded to whole ones; best fit packs only the pieces that these leave.
+runs are rounded to whole ones (small programs in several orders, of which the one
+with the fewest sequences stands); best fit packs only the pieces that these leave.
 The plan then says, for each length, which ranks go to which sequence and place;
 pieces get their ranks in Spark, counted first per (length, salt).
 
@@ -37,6 +38,8 @@ ROUNDS = 400                # knapsacks solved for one cover, at most
 GAP = 1e-3                  # of the bound, at which the program counts as solved
 LEARN = 5e-3                # gap from which prices are learned
 RATE = 1.0                  # step of the multiplicative weights that learn prices
+ROUNDINGS, ROUNDING_STEPS = 24, 60_000     # roundings tried, and configurations looked at in all of them
+PARTS = (1.0, 0.9, 0.75, 0.5)              # of the program's sequences that roundings run
 FALL = 0.03                 # how prices fall with the part covered
 TIE = 1e-4                  # parts of a sequence's worth that make no difference
 
@@ -236,22 +239,27 @@ def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return out
 
 
-def rounded(program: Program, hist: np.ndarray) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+def rounded(program: Program, hist: np.ndarray, seed: int | None = None, part: float = 1.0
+            ) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """Whole runs of the program's configurations, and the pieces they leave.
 
     Fractions are carried from one configuration to the next, so that the runs
-    add up to the program's; a run stops where a length has no pieces left."""
+    add up to the program's; a run stops where a length has no pieces left. The
+    longest runs come first, or with a ``seed`` an order drawn in proportion; after
+    ``part`` of the program's sequences the rest is left."""
     left = hist.copy()
     order = np.argsort(program.row, kind="stable")
     cuts = np.searchsorted(program.row[order], np.arange(len(program.times) + 1))
-    out, owed = [], 0.0
-    for k in np.argsort(-program.times, kind="stable").tolist():
+    out, owed, still = [], 0.0, int(np.ceil(part * program.value))
+    first = program.times if seed is None else program.times ** 0.2 * np.random.default_rng(seed).random(len(program.times))
+    for k in np.argsort(-first, kind="stable").tolist():
         size, n = np.unique(program.piece[order[cuts[k]:cuts[k + 1]]], return_counts=True)
         owed += program.times[k]
-        runs = min(int(owed + 1e-9), int((left[size] // n).min()))
+        runs = min(int(owed + 1e-9), int((left[size] // n).min()), still)
         if runs > 0:
             left[size] -= runs * n
             owed -= runs
+            still -= runs
             out.append((dict(zip(size.tolist(), n.tolist(), strict=True)), runs))
         owed = min(owed, 1.0)
     return out, left
@@ -261,8 +269,18 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Whole configurations that hold the histogram exactly."""
     if not hist.any():
         return []
-    runs, left = rounded(solve(hist, capacity), hist)
-    return runs + best_fit(left, capacity)
+    program = solve(hist, capacity)
+    best, fewest = [], None
+    tries = [(None, p) for p in PARTS] + [(s, p) for s in range(ROUNDING_STEPS // len(program.times) // len(PARTS)) for p in PARTS]
+    for seed, part in tries[:ROUNDINGS]:
+        runs, left = rounded(program, hist, seed, part)
+        whole = runs + best_fit(left, capacity)
+        count = sum(t for _, t in whole)
+        if fewest is None or count < fewest:
+            best, fewest = whole, count
+        if fewest <= np.ceil(program.bound - 1e-9):
+            break
+    return best
 
 
 class Places:
