@@ -39,7 +39,7 @@ GAP = 1e-3                  # of the bound, at which the program counts as solve
 LEARN = 5e-3                # gap from which prices are learned
 RATE = 1.0                  # step of the multiplicative weights that learn prices
 ROUNDINGS, ROUNDING_STEPS = 24, 60_000     # roundings tried, and configurations looked at in all of them
-PARTS = (1.0, 0.9, 0.75, 0.5)              # of the program's sequences that roundings run
+PARTS, SMALL = (1.0, 0.9, 0.75, 0.5), 500  # of the program's sequences that roundings run; all of them beyond SMALL sequences
 FALL = 0.03                 # how prices fall with the part covered
 TIE = 1e-4                  # parts of a sequence's worth that make no difference
 
@@ -271,7 +271,9 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
         return []
     program = solve(hist, capacity)
     best, fewest = [], None
-    tries = [(None, p) for p in PARTS] + [(s, p) for s in range(ROUNDING_STEPS // len(program.times) // len(PARTS)) for p in PARTS]
+    parts_ = PARTS if program.value <= SMALL else PARTS[:1]
+    seeds = [None, *range(ROUNDING_STEPS // len(program.times) // len(parts_))]
+    tries = [(s, p) for s in seeds for p in parts_]
     for seed, part in tries[:ROUNDINGS]:
         runs, left = rounded(program, hist, seed, part)
         whole = runs + best_fit(left, capacity)
